@@ -2,44 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import uuid  # noqa: F401  names of stored files
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import shared_dir, stage  # noqa: F401
+
 #: One white-space character, and a word: the text between white space (ASCII space and U+0009 to U+000D).
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (local tests) a temporary folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or (_own_dir[0] if _own_dir else None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="brindle-")
-        _own_dir.append(path)
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet under the shared folder and reads it back.
-
-    This cuts lineage: a lost executor costs a re-read, not a recomputation.
-    """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
