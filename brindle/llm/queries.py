@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, secrets, simhash, tokenstore
+from . import bpe, fingerprints, mixing, secrets, simhash, tokenstore, topk
 
 QUERIES = {
     "op1_scaled_sketch": fingerprints.op1_scaled_sketch,
     "op3_content_addressed_store": tokenstore.op3_content_addressed_store,
     "op5_golay_simhash": simhash.op5_golay_simhash,
     "op6_numpy_bpe": bpe.op6_numpy_bpe,
+    "op7_dual_tree_top_k": topk.op7_dual_tree_top_k,
     "op8_linked_secrets": secrets.op8_linked_secrets,
     "op10_water_filling_mix": mixing.op10_water_filling_mix,
 }
-SQL = {"op10_water_filling_mix": mixing.OP10_SQL}
+SQL = {"op7_dual_tree_top_k": topk.OP7_SQL, "op10_water_filling_mix": mixing.OP10_SQL}
