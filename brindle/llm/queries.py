@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, secrets, simhash, tokenstore, topk
+from . import bpe, fingerprints, htmltext, mixing, secrets, simhash, tokenstore, topk
 
 QUERIES = {
     "op1_scaled_sketch": fingerprints.op1_scaled_sketch,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_numpy_bpe": bpe.op6_numpy_bpe,
     "op7_dual_tree_top_k": topk.op7_dual_tree_top_k,
     "op8_linked_secrets": secrets.op8_linked_secrets,
+    "op9_min_cut_text": htmltext.op9_min_cut_text,
     "op10_water_filling_mix": mixing.op10_water_filling_mix,
 }
 SQL = {"op7_dual_tree_top_k": topk.OP7_SQL, "op10_water_filling_mix": mixing.OP10_SQL}
