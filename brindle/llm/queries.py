@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, htmltext, mixing, quality, secrets, simhash, tokenstore, topk
+from . import bpe, fingerprints, htmltext, lm, mixing, quality, secrets, simhash, tokenstore, topk
 
 QUERIES = {
     "op1_scaled_sketch": fingerprints.op1_scaled_sketch,
     "op2_random_indexing_quality": quality.op2_random_indexing_quality,
     "op3_content_addressed_store": tokenstore.op3_content_addressed_store,
+    "op4_ppm_score": lm.op4_ppm_score,
     "op5_golay_simhash": simhash.op5_golay_simhash,
     "op6_numpy_bpe": bpe.op6_numpy_bpe,
     "op7_dual_tree_top_k": topk.op7_dual_tree_top_k,
