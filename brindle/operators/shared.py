@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+_staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,4 +30,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the tables that this process has staged, once the results that read them are written; returns how many."""
+    n = len(_staged)
+    while _staged:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return n

@@ -30,3 +30,14 @@ def test_random_graph_chain_and_hub(spark):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_staged_tables_are_discarded(spark):
+    import os
+
+    from brindle.operators import shared
+
+    df = shared.stage(spark.range(5), "numbers")
+    path = shared._staged[-1]
+    assert df.count() == 5 and os.path.isdir(path)
+    assert shared.discard(spark) >= 1 and not os.path.exists(path)
