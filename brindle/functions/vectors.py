@@ -81,3 +81,12 @@ def argmax(v: Column) -> Column:
 
 def argmin(v: Column) -> Column:
     return (F.array_position(v, F.array_min(v)) - 1).cast("int")
+
+
+def matmul(v: Column, matrix: Sequence[Sequence[float]]) -> Column:
+    """The row vector times a small matrix (one row for each feature)."""
+    return F.array(*[dot(v, literal(column)) for column in zip(*matrix, strict=True)])
+
+
+def center(v: Column, mean: Sequence[float]) -> Column:
+    return F.zip_with(v, literal(mean), lambda x, m: x - m)

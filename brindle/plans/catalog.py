@@ -470,3 +470,19 @@ def scalar_functions(spark, sf):
 @query(f"WITH e AS ({_UNNEST}), s AS (SELECT vec_id, sum(exp(x)) AS s, any_value(label) AS label FROM e GROUP BY 1) SELECT s.vec_id AS id, round(-ln(greatest(1e-7, exp(e.x) / s.s)), 6) AS cross_entropy FROM s JOIN e ON e.vec_id = s.vec_id AND e.i = s.label")
 def softmax_cross_entropy(spark, sf):
     return embeddings(spark, sf).withColumn("p", V.softmax(F.col("features"))).select("id", r(V.cross_entropy(F.col("p"), F.col("label"))).alias("cross_entropy"))
+
+
+@query("SELECT p_partkey AS id, round(2.0 * p_size - 0.5 * p_retailprice, 6) + 0.0 AS f0, round(CAST(p_size AS DOUBLE), 6) AS f1 FROM part")
+def matrix_product(spark, sf):
+    return _two(parts(spark, sf).withColumn("features", V.matmul(F.col("features"), [[2.0, 1.0], [-0.5, 0.0]])))
+
+
+@query("SELECT p_partkey AS id, round(p_size - (SELECT avg(p_size) FROM part), 6) + 0.0 AS f0, round(p_retailprice - (SELECT avg(p_retailprice) FROM part), 6) + 0.0 AS f1 FROM part")
+def center_columns(spark, sf):
+    mean, _ = stats.moments(df := parts(spark, sf), 2)
+    return _two(df.withColumn("features", V.center(F.col("features"), mean)))
+
+
+@query("SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS norm2 FROM embeddings")
+def row_norms(spark, sf):
+    return embeddings(spark, sf).select("id", r(V.norm_squared(F.col("features"))).alias("norm2"))
