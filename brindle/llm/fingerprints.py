@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE = 5
-SCALE = 16
+SCALE = 8
 
 
 def _limit(scale: int) -> int:
