@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 from zlib import crc32
 
@@ -35,7 +36,7 @@ WORDS, SHAPES, DIM, ONES = 8192, 1024, 64, 4
 #: Labelled documents that the network is fitted to, at most: those with the smallest hashes of their ids.
 SAMPLE = 20_000
 THRESHOLD = 0.7
-STEP, KNOWN = 600_000, 300_000
+STEP, KNOWN = 600_000, 1_000_000
 PUNCTUATION = string.punctuation + "«»„“”‘’–—…¡¿"
 
 
@@ -49,6 +50,11 @@ def index_vectors() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=100_000)
+def _shape(before: str, kind: str, after: str) -> int:
+    return WORDS + crc32(f"{before}{kind}{after}".encode()) % SHAPES
+
+
 class Items:
     """The buckets of words; distinct words are looked at once and kept up to a limit."""
 
@@ -58,11 +64,15 @@ class Items:
 
     @staticmethod
     def of(w: str) -> tuple[int, int]:
-        core = w.strip(PUNCTUATION)
-        i = w.find(core)
-        kind = "" if not core else "X" if core.isupper() and len(core) > 1 else "Xx" if core[0].isupper() else "9" if core.isdigit() else "x" if core.isalpha() else "m"
-        shape = f"{w[:i][:3]}{kind}{w[i + len(core) :][:3]}"
-        return crc32(core.lower().encode()) % WORDS, WORDS + crc32(shape.encode()) % SHAPES
+        """The word's bucket and its shape's: what is before its core, the core's kind, what is after it."""
+        core = w if w.isalpha() else w.strip(PUNCTUATION)
+        low = core.lower()
+        if low == core and core.isalpha():
+            kind = "x"
+        else:
+            kind = "" if not core else "X" if core.isupper() and len(core) > 1 else "Xx" if core[0].isupper() else "9" if core.isdigit() else "x" if core.isalpha() else "m"
+        i = 0 if len(core) == len(w) else w.find(core)
+        return crc32(low.encode()) % WORDS, _shape(w[:i][:3], kind, w[i + len(core) :][:3])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For all words in a row: word and shape buckets, whether each repeats the one before, and the words per text."""
@@ -131,13 +141,18 @@ def pool(items: Items, vectors: np.ndarray, texts: list[str]) -> np.ndarray:
     """(texts, 2 * DIM + 2); zeros for a text without words."""
     word, shape, repeats, n = items(texts)
     out = np.zeros((len(texts), 2 * DIM + 2), np.float32)
-    some = n > 0
-    if some.any():
-        first, count = (np.cumsum(n) - n)[some], n[some, None].astype(np.float32)
-        out[some, :DIM] = np.add.reduceat(vectors[word], first, axis=0) / count
-        out[some, DIM : 2 * DIM] = np.add.reduceat(vectors[shape], first, axis=0) / count
-        out[some, 2 * DIM] = np.add.reduceat(repeats.astype(np.float32), first) / count[:, 0]
-        out[:, 2 * DIM + 1] = np.log1p(n) / 10
+    ends = np.cumsum(n)
+    for at in range(0, len(texts), 128):
+        # Counts of buckets by document, times the buckets' vectors.
+        own, m = n[at : at + 128], min(128, len(texts) - at)
+        rows = slice(ends[at] - n[at], ends[at + m - 1])
+        doc = np.repeat(np.arange(m), own)
+        some = np.maximum(own, 1)[:, None].astype(np.float32)
+        for ids, low, size, to in ((word, 0, WORDS, 0), (shape, WORDS, SHAPES, DIM)):
+            count = np.bincount(doc * size + (ids[rows] - low), minlength=m * size).reshape(m, size).astype(np.float32)
+            out[at : at + m, to : to + DIM] = count @ vectors[low : low + size] / some
+        out[at : at + m, 2 * DIM] = np.bincount(doc, repeats[rows], m) / some[:, 0]
+    out[:, 2 * DIM + 1] = np.log1p(n) / 10
     return out
 
 
