@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .wordpool import WordPool, steps
+from .wordpool import PieceCache, WordPool, steps
 
 #: Characters of text that one numpy step works on.
 STEP = 1_500_000
@@ -53,7 +53,7 @@ class Bpe:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         self.arrow_tokens = pa.array(self.tokens, pa.string())
-        self.words = regex.compile(split["pattern"]["Regex"])
+        self.words = regex.compile(split["pattern"]["Regex"] + r"|\n")
         self.specials = regex.compile("(" + "|".join(sorted(map(regex.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
         letters = byte_letters()
         self.first = np.array([vocab[x] for x in letters], np.int64)
@@ -73,20 +73,26 @@ class Bpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], rank[order], made[order]
 
-    def pieces(self, word: str) -> list[bytes | int]:
-        """What a blank-separated word is cut into: UTF-8 pieces and ids of special tokens."""
-        out: list[bytes | int] = []
-        for part in self.specials.split(word) if self.specials else [word]:
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                # One letter at a time: a capital sigma never becomes a final one.
-                low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += [p.encode() for p in self.words.findall(low)]
-        return out
-
-    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def cut(self, words: list[str]) -> list[str | int | None]:
+        """The pieces of blank-separated words and the ids of special tokens in a row, with None after each word.
+
+        All words go through normalization and pattern as one text with a line break after each.
+        """
+        text = "\n".join([*words, ""])
+        if self.specials and self.specials.search(text):
+            out: list = []
+            for w in words:
+                for part in self.specials.split(w):
+                    out += [self.special[part]] if part in self.special else self.cut([part])[:-1]
+                out.append(None)
+            return out
+        # One letter at a time: a capital sigma never becomes a final one.
+        low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return [None if p == "\n" else p for p in self.words.findall(low)]
+
+    def merge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces in a row, and how many each has."""
+        pieces = [t.encode() for t in texts]
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
         data = np.frombuffer(b"".join(pieces), np.uint8)
         sym, ends = self.first[data], np.cumsum(lens)
@@ -120,27 +126,6 @@ class Bpe:
         order = np.argsort(word, kind="stable")
         return sym[order].astype(np.int32), np.bincount(word, minlength=len(pieces))
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For ``WordPool``: ids in a row, and how many each word has. Equal pieces are merged once."""
-        at: dict[bytes | int, int] = {}
-        cut = [[at.setdefault(p, len(at)) for p in self.pieces(w)] for w in words]
-        plain = [p for p in at if isinstance(p, bytes)]
-        ids, n = self.merge(plain) if plain else (np.empty(0, np.int32), np.empty(0, np.int64))
-        starts, lens, pool = np.zeros(len(at), np.int64), np.ones(len(at), np.int64), [ids]
-        where = np.array([at[p] for p in plain], np.int64)
-        starts[where], lens[where] = np.cumsum(n) - n, n
-        for p, i in at.items():
-            if not isinstance(p, bytes):
-                starts[i] = sum(map(len, pool))
-                pool.append(np.array([p], np.int32))
-        pool = np.concatenate(pool)
-        p = np.fromiter((x for c in cut for x in c), np.int64)
-        each = lens[p]
-        ends = np.cumsum(each)
-        flat = pool[np.repeat(starts[p] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.append(0, ends)[np.cumsum([len(c) for c in cut])]
-        return flat, np.diff(upto, prepend=0)
-
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The tokens' strings joined by one space, as a vocabulary without a decoder gives them."""
         picked = pa.ListArray.from_arrays(ids.offsets, self.arrow_tokens.take(ids.values))
@@ -150,7 +135,7 @@ class Bpe:
 @lru_cache(maxsize=2)
 def _bpe(path: str) -> tuple[Bpe, WordPool]:
     bpe = Bpe(path)
-    return bpe, WordPool(bpe.encode_words)
+    return bpe, WordPool(PieceCache(bpe.cut, bpe.merge))
 
 
 def _ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:

@@ -5,21 +5,25 @@ has its low bits zero, so equal passages in different documents give equal
 chunks. A chunk's address is the SHA-256 of its bytes, and each chunk is stored
 once. The store is three Parquet datasets:
 
-* ``chunks``: hash binary, payload binary (ids as little-endian unsigned integers of ``width`` bytes)
-* ``recipes``: shard, doc_id, start, n_tokens, hashes array<binary>, root; in ascending doc_id order
+* ``chunks``: hash binary, payload binary (ids as little-endian unsigned integers of ``width`` bytes), and where
+  the chunk stands first (doc, pos), and whether it stands elsewhere, too (shared)
+* ``recipes``: shard, doc (the document's key in the store), doc_id, start, n_tokens, hashes array<binary>, root; in
+  ascending doc_id order
 * ``manifest``: level, node, root, width: a Merkle tree over the recipes' roots, 1,024 or fewer to a node
 
 Reading checks every chunk against its address, every recipe against its root,
-the whole tree against the manifest, and every length against its recipe.
+the whole tree against the manifest, and every document's chunks against its
+recipe. As most chunks stand in one place, writing and reading move payloads of
+shared chunks only; a document's own chunks go straight to it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import vocabulary
-from .wordpool import WordPool, steps
+from .bpe import Bpe, vocabulary
+from .wordpool import PieceCache, WordPool, gather, steps
 
 #: A chunk ends where the low BITS bits of the rolling hash are zero: 256 ids on average, within these bounds.
 BITS, SHORTEST, LONGEST = 8, 32, 2048
@@ -37,10 +41,15 @@ BITS, SHORTEST, LONGEST = 8, 32, 2048
 SHARD, FANOUT = 8_192, 1_024
 #: Characters of text in one step; chunk hashes a task remembers so as not to send a payload twice.
 STEP, SEEN = 1_500_000, 200_000
+#: The first letter beyond those that the words of Latin scripts are cut by here.
+LATIN = "\u0250"
+#: Marks of chunks with copies that are broadcast; beyond that they are joined by shuffle.
+BROADCAST_MARKS = 1_000_000
 
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
+    """The vocabulary's size, and what turns texts into (all ids in a row, how many each text has)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
     from tokenizers import Tokenizer
 
@@ -53,12 +62,44 @@ def _encoder(path: str):
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter((i for x in lists for i in x), np.int32, int(n.sum())), n
 
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-    # Where white space is dropped between pieces, a text's ids are those of its words in order.
-    blanks_dropped = parts[0].get("type") == "Split" and parts[0].get("invert") and parts[0].get("behavior") == "Removed" and parts[0]["pattern"].get("Regex", "").endswith(r"[^\s\p{L}\p{N}]+")
-    return t.get_vocab_size(), WordPool(encode) if blanks_dropped else encode
+    try:
+        cut = Bpe(path)
+    except (ValueError, KeyError, TypeError):  # another kind of vocabulary: whole texts
+        return t.get_vocab_size(), encode
+    is_end = np.array([x.endswith(cut.end) for x in cut.tokens])
+
+    def pieces(words: list[str]) -> list:
+        # Words of Latin letters are cut here as the library cuts them; others are left to it whole.
+        own = [w.isascii() or max(w) < LATIN for w in words]
+        if all(own):
+            return cut.cut(words)
+        got = cut.cut([w if o else "" for w, o in zip(words, own, strict=True)])
+        ends = (i for i, p in enumerate(got) if p is None)
+        for o, w, i in zip(own, words, ends, strict=True):
+            if not o:
+                got[i] = ((w,), None)
+        return list(chain.from_iterable(p if isinstance(p, tuple) and isinstance(p[0], tuple) else (p,) for p in got))
+
+    def encode_pieces(new: list) -> tuple[np.ndarray, np.ndarray]:
+        ids, n, order = [], [], []
+        plain = [i for i, p in enumerate(new) if isinstance(p, str)]
+        for at in range(0, len(plain), 20_000):
+            # White space is dropped and every piece ends with a token that says so.
+            own = plain[at : at + 20_000]
+            got = np.array(t.encode(" ".join([new[i] for i in own]), add_special_tokens=False).ids, np.int32)
+            ids.append(got)
+            n.append(np.diff(np.flatnonzero(is_end[got]), prepend=-1))
+            order += own
+        if others := [i for i, p in enumerate(new) if not isinstance(p, str)]:
+            got, each = encode([new[i][0] for i in others])
+            ids.append(got)
+            n.append(each)
+            order += others
+        ids, n = np.concatenate(ids), np.concatenate(n)
+        back = np.argsort(order)
+        return gather(ids, (np.cumsum(n) - n)[back], n[back]), n[back]
+
+    return t.get_vocab_size(), WordPool(PieceCache(pieces, encode_pieces))
 
 
 def gear(size: int) -> np.ndarray:
@@ -155,20 +196,29 @@ def _shard_roots(recipes: DataFrame) -> DataFrame:
 def write(docs: DataFrame, store: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the store. A null or empty text is the end id alone; repeated ids are kept, ordered by length and content; no rows give empty datasets."""
     spark = docs.sparkSession
-    parts = docs.sparkSession.read.parquet(_write(chunked(docs, path, end_id, id_col, text_col), f"{store}/parts"))
+    made = chunked(docs, path, end_id, id_col, text_col).withColumn("doc", F.monotonically_increasing_id())
+    parts = spark.read.parquet(_write(made, f"{store}/parts"))
     n = parts.count()
     parts = parts.withColumn("bucket", common.id_buckets(parts, "id", max(1, -(-n // (64 * SHARD)))))
-    _write(
-        parts.select(F.explode(F.arrays_zip("hashes", "payloads")).alias("c")).select(F.col("c.hashes").alias("hash"), F.col("c.payloads").alias("payload")).where("payload is not null").groupBy("hash").agg(F.first("payload").alias("payload")),
-        f"{store}/chunks",
-    )
+    refs = parts.select("doc", F.posexplode(F.arrays_zip("hashes", F.transform("payloads", lambda p: p.isNotNull()).alias("has"))).alias("pos", "c"))
+    refs = refs.select("doc", "pos", F.col("c.hashes").alias("hash"), F.col("c.has").alias("has"))
+    # A chunk's home is the first place that has its payload; the other places that have it lose theirs.
+    place = F.struct("doc", "pos")
+    many = refs.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.when(F.col("has"), place)).alias("home"), F.collect_list(F.when(F.col("has"), place)).alias("having")).where("n > 1")
+    marks = many.select("home", F.explode("having").alias("at")).select("at.doc", "at.pos", (F.col("at") != F.col("home")).alias("extra"))
+    marks = common.stage(marks, "marks")
+    if marks.count() <= BROADCAST_MARKS:
+        marks = F.broadcast(marks)
+    held = parts.select("doc", F.posexplode(F.arrays_zip("hashes", "payloads")).alias("pos", "c")).where("c.payloads is not null")
+    held = held.join(marks, ["doc", "pos"], "left").where("not coalesce(extra, false)")
+    _write(held.select(F.col("c.hashes").alias("hash"), F.col("c.payloads").alias("payload"), "doc", "pos", F.col("extra").isNotNull().alias("shared")), f"{store}/chunks")
     order = [F.col("id").asc_nulls_first(), F.col("n_tokens"), F.col("hashes")]
     w = Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # One row for each bucket: their number follows the rows / SHARD, not the rows.
     before = parts.groupBy("bucket").agg(F.sum("n_tokens").alias("all"))
     before = before.select(F.col("bucket").alias("shard"), (F.sum("all").over(Window.orderBy("bucket")) - F.col("all")).alias("offset"))
-    placed = parts.select("bucket", "id", "n_tokens", "hashes", (F.sum("n_tokens").over(w) - F.col("n_tokens")).alias("inside"))
-    recipes = placed.join(before, placed["bucket"] == before["shard"]).select("shard", F.col("id").alias("doc_id"), (F.col("inside") + F.col("offset")).alias("start"), "n_tokens", "hashes", _hash_list(F.col("hashes")).alias("root"))
+    placed = parts.select("bucket", "doc", "id", "n_tokens", "hashes", (F.sum("n_tokens").over(w) - F.col("n_tokens")).alias("inside"))
+    recipes = placed.join(before, placed["bucket"] == before["shard"]).select("shard", "doc", F.col("id").alias("doc_id"), (F.col("inside") + F.col("offset")).alias("start"), "n_tokens", "hashes", _hash_list(F.col("hashes")).alias("root"))
     _write(recipes.repartitionByRange("shard", "start").sortWithinPartitions("start"), f"{store}/recipes")
     _write(_tree(_shard_roots(spark.read.parquet(f"{store}/recipes"))).withColumn("width", F.lit(width_of(path))), f"{store}/manifest")
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/parts")
@@ -197,11 +247,17 @@ def read(spark: SparkSession, store: str) -> DataFrame:
     width = first[0] if first else 4
     chunks = spark.read.parquet(f"{store}/chunks")
     intact = F.sha2("payload", 256) == F.lower(F.hex("hash"))
-    chunks = chunks.select("hash", F.when(intact, F.col("payload")).otherwise(F.raise_error(F.lit("a chunk doesn't match its address"))).alias("payload"))
+    chunks = chunks.select("doc", "pos", "hash", "shared", F.when(intact, F.col("payload")).otherwise(F.raise_error(F.lit("a chunk doesn't match its address"))).alias("payload"))
     recipes = spark.read.parquet(f"{store}/recipes")
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    refs = recipes.select("doc_id", "start", "n_tokens", F.posexplode("hashes").alias("pos", "hash"))
-    whole = refs.join(chunks, "hash").groupBy("start", "doc_id", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("pos", "payload"))).alias("parts"))
+    refs = recipes.select("doc", F.posexplode("hashes").alias("pos", "hash"))
+    away = refs.join(chunks.select("doc", "pos"), ["doc", "pos"], "left_anti").join(chunks.where("shared").select("hash", "payload"), "hash")
+    cols = ["doc", "pos", "hash", "payload"]
+    whole = chunks.select(*cols).unionByName(away.select(*cols)).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "hash", "payload"))).alias("parts"))
+    # A document has the end id at least, so none is without chunks.
+    whole = recipes.select("doc", "doc_id", "start", "n_tokens", "hashes").join(whole, "doc", "left")
+    good = F.col("parts.hash").eqNullSafe(F.col("hashes"))
+    parts = F.when(good, F.col("parts.payload")).otherwise(F.raise_error(F.lit("a document's chunks differ from its recipe")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,8 +267,7 @@ def read(spark: SparkSession, store: str) -> DataFrame:
                 raise ValueError("a document's chunks don't add up to its recipe's length")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    # A document has the end id at least, so none is lost in the join and starts are unique.
-    return whole.select("doc_id", "start", "n_tokens", F.col("parts.payload").alias("parts")).mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids binary")
+    return whole.select("doc_id", "start", "n_tokens", parts.alias("parts")).mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids binary")
 
 
 def op3_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,47 @@ def steps(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def gather(pool: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The pieces of ``pool`` with these starts and lengths, in a row."""
+    ends = np.cumsum(lens)
+    return pool[np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class PieceCache:
+    """Encodes words by way of their distinct pieces, of which there are fewer; pieces are kept up to a limit."""
+
+    def __init__(self, cut: Callable[[list[str]], list], encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000):
+        """``cut`` gives the pieces of all words in a row with None after each word; a number is an id already. ``encode`` takes the others."""
+        self.cut, self.encode, self.limit = cut, encode, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        # None, which ends a word, has no ids.
+        self.at: dict = {None: 0}
+        self.ids, self.starts, self.lens = np.empty(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has."""
+        pieces = self.cut(words)
+        distinct = set(pieces)
+        new = distinct - self.at.keys()
+        if len(self.at) + len(new) > self.limit:
+            self._clear()
+            new = distinct - {None}
+        if new:
+            plain, numbers = [p for p in new if not isinstance(p, int)], [p for p in new if isinstance(p, int)]
+            ids, lens = self.encode(plain) if plain else (np.empty(0, np.int32), np.empty(0, np.int64))
+            lens = np.append(lens, np.ones(len(numbers), np.int64))
+            self.at.update(zip([*plain, *numbers], range(len(self.at), len(self.at) + len(new)), strict=True))
+            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lens) - lens)
+            self.ids, self.lens = np.concatenate([self.ids, ids, np.array(numbers, np.int32)]), np.append(self.lens, lens)
+        p = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+        lens = self.lens[p]
+        return gather(self.ids, self.starts[p], lens), np.diff(np.cumsum(lens)[p == 0], prepend=0)
+
+
 class WordPool:
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 250_000):
         """``encode`` turns words into (all their ids in a row, how many each has)."""
         self.encode, self.limit = encode, limit
         self._clear()
@@ -58,7 +97,5 @@ class WordPool:
             self._learn(list(new))
         w = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         lens = self.lens[w]
-        ends = np.cumsum(lens)
-        flat = self.ids[np.repeat(self.starts[w] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
         last = np.cumsum([len(s) for s in split]) - 1
-        return flat, np.diff(ends[last], prepend=0)
+        return gather(self.ids, self.starts[w], lens), np.diff(np.cumsum(lens)[last], prepend=0)

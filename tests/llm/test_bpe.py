@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from brindle.llm import bpe
-from brindle.llm.wordpool import WordPool, steps
+from brindle.llm.wordpool import PieceCache, WordPool, steps
 
 from .conftest import AWKWARD, sf
 
@@ -37,7 +37,8 @@ def test_random_texts(library):
     rng = random.Random(5)
     letters = ["'", "s", "t", "A", "é", "́", "̧", " ", "\n", "1", "!", "<|endoftext|>", "ll", "re", "Σ", "\x1f", "日", "aaa", "\t"]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["a" * 20_000, "<|startoftext|>" * 9]
-    pool = WordPool(bpe.Bpe(bpe.vocabulary()).encode_words, limit=500)
+    own = bpe.Bpe(bpe.vocabulary())
+    pool = WordPool(PieceCache(own.cut, own.merge, limit=400), limit=500)
     for i in range(0, len(texts), 700):
         flat, n = pool(texts[i : i + 700])
         ends = np.cumsum(n)

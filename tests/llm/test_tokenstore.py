@@ -63,3 +63,14 @@ def test_cuts_follow_content():
     assert len(set((a - 777).tolist()) & set(b.tolist())) >= len(b) - 3
     for x in (a, b):
         assert np.all(np.diff(x, prepend=0)[:-1] >= tokenstore.SHORTEST) and np.all(np.diff(x, prepend=0) <= tokenstore.LONGEST)
+
+
+def test_marks_joined_by_shuffle(spark, awkward, tmp_path, monkeypatch):
+    rows = []
+    for i, most in enumerate((1_000_000, -1)):
+        monkeypatch.setattr(tokenstore, "BROADCAST_MARKS", most)
+        tokenstore.write(awkward.repartition(5), str(tmp_path / str(i)), vocabulary())
+        rows.append(sorted(tuple(r)[1:] for r in tokenstore.read(spark, str(tmp_path / str(i))).collect()))
+        chunks = spark.read.parquet(str(tmp_path / str(i)) + "/chunks")
+        assert chunks.count() == chunks.select("hash").distinct().count()
+    assert rows[0] == rows[1]
