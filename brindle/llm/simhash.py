@@ -296,15 +296,20 @@ def _file(nodes: DataFrame, keys, key_lanes: list[str], keep: list[str]) -> Data
     return nodes.select(*cols).mapInArrow(run, ", ".join(["key long", "node long", *(f"{c} long" for c in keep)]))
 
 
+def _spread(nodes: DataFrame) -> DataFrame:
+    """As many tasks as a shuffle has: filing makes many rows of one, so tasks must not be merged by their input's size."""
+    return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+
+
 def link_exact(nodes: DataFrame) -> DataFrame:
     """Edges between the distinct 64-bit fingerprints ``node`` that join all those at 3 or fewer differing bits, and no others."""
     rows = nodes.select("node", F.col("node").alias("f"))
-    return _edges(_file(rows, lambda f: _exact_keys(f[:, 0]), ["f"], ["f"]), ["f"], 3)
+    return _edges(_file(_spread(rows), lambda f: _exact_keys(f[:, 0]), ["f"], ["f"]), ["f"], 3)
 
 
 def link_similar(nodes: DataFrame, key_lanes: list[str], lanes: list[str], limit: int) -> DataFrame:
     """Edges that join nodes whose ``lanes`` differ in ``limit`` bits or fewer and that share a pair of Golay keys of ``key_lanes``."""
-    return _edges(_file(nodes, _pair_keys, key_lanes, lanes), lanes, limit)
+    return _edges(_file(_spread(nodes), _pair_keys, key_lanes, lanes), lanes, limit)
 
 
 def _with_components(marked: DataFrame, node: str, edges: DataFrame) -> DataFrame:
@@ -331,13 +336,19 @@ def components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_c
 
 
 #: For texts of a similarity: lanes of the SimHash of distinct words that file them, and of five-word shingles that compare them.
-KEY_LANES, LANES = 3, 3
+KEY_LANES, LANES = 3, 4
 
 
 def bits_for(similarity: float, lanes: int = LANES) -> int:
-    """Differing bits expected, of 64 for each lane, between shingle sets of that resemblance."""
+    """The most bits in which fingerprints may differ: those expected of shingle sets of that resemblance, and one deviation more.
+
+    The margin is on the side of finding: at the threshold itself five of six
+    pairs link, a little below it fewer and fewer.
+    """
     cosine = 2 * similarity / (1 + similarity)
-    return round(64 * lanes * float(np.arccos(min(1.0, cosine))) / np.pi)
+    share = float(np.arccos(min(1.0, cosine))) / np.pi
+    n = 64 * lanes
+    return round(n * share + (n * share * (1 - share)) ** 0.5)
 
 
 def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -125,3 +125,12 @@ def test_sketch_awkward(awkward, empty):
     by = {r.doc_id: r.next_text for r in nxt.collect()}
     assert by[8] == "no id here at all" and by[None] is None and by[2] == "one"
     assert fingerprints.with_next(empty, ["text"]).count() == 0
+
+
+def test_mix_without_broadcast(spark, monkeypatch):
+    docs = spark.read.parquet(f"{sf()}/documents.parquet")
+    rows = []
+    for most in (10_000, -1):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+        rows.append(sorted(map(tuple, mixing.plan(docs).collect())))
+    assert rows[0] == rows[1]

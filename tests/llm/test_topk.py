@@ -51,3 +51,11 @@ def test_awkward(spark):
     got = sorted(map(tuple, topk.top_k(topk.quantized(df), F.col("id") % 20 == 0, 20).collect()))
     assert [g[:3] for g in got] == [(0, 1, 5), (0, 2, 5), (0, 3, 20), (20, 1, 0), (20, 2, 5), (20, 3, 5), (40, 1, 7)]
     assert topk.top_k(topk.quantized(df.limit(0)), F.col("id") % 20 == 0, 20).count() == 0
+
+
+def test_several_waves(spark, monkeypatch):
+    rows = topk.quantized(spark.read.parquet(f"{sf()}/embeddings.parquet"))
+    whole = sorted(map(tuple, topk.top_k(rows, F.col("id") % 2 == 0, 5).collect()))
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "WAVE", 2)
+    assert sorted(map(tuple, topk.top_k(rows.repartition(3), F.col("id") % 2 == 0, 5).collect())) == whole
