@@ -33,9 +33,9 @@ CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl
 BAD_TAGS = frozenset("nav aside footer form button select textarea dialog menu fieldset".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BAD_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer bottom "
+    "ad ads adv adbox adslot adunit adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer bottom "
     "sidebar aside rail widget widgets cookie cookies consent gdpr notice notices alert warning popup modal overlay dialog newsletter subscribe subscription signup login signin register form search "
-    "share sharing social related recommended recommendations more comment comments commentlist reply replies respond discussion disqus feedback toolbar pager pagination copyright legal disclaimer skip hidden".split()
+    "share sharing social related recommended recommendations more comment comments commentlist reply replies respond discussion disqus feedback toolbar pager pagination copyright legal disclaimer skip hidden teaser teasers trending popular taboola outbrain tagcloud offcanvas".split()
 )
 GOOD_NAMES = frozenset("article content post entry story main body text maintext articlebody".split())
 NAME = re.compile(r"[A-Za-z][a-z]*")
