@@ -318,7 +318,8 @@ def _with_components(marked: DataFrame, node: str, edges: DataFrame) -> DataFram
     labels = connected_components(edges).select(F.col("id").alias("__node"), "component")
     named = firsts.join(labels, F.col(node) == F.col("__node"), "left").select(F.col(node).alias("__node"), F.coalesce("component", node).alias("root"), "first")
     named = common.stage(named, "components")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written first, so that the join below deals both sides itself and can split a root with very many nodes.
+    least = common.stage(named.groupBy("root").agg(F.min("first").alias("component_id")), "least-ids")
     of_node = named.join(least, "root").select("__node", "component_id")
     return marked.join(of_node, marked[node] == of_node["__node"]).drop("__node")
 
