@@ -40,7 +40,7 @@ BITS, SHORTEST, LONGEST = 8, 32, 2048
 #: Recipes in a shard, and nodes under a node of the Merkle tree.
 SHARD, FANOUT = 8_192, 1_024
 #: Characters of text in one step; chunk hashes a task remembers so as not to send a payload twice.
-STEP, SEEN = 1_500_000, 200_000
+STEP, SEEN = 3_000_000, 200_000
 #: The first letter beyond those that the words of Latin scripts are cut by here.
 LATIN = "\u0250"
 #: Marks of chunks with copies that are broadcast; beyond that they are joined by shuffle.
@@ -65,7 +65,7 @@ def _encoder(path: str):
     try:
         cut = Bpe(path)
     except (ValueError, KeyError, TypeError):  # another kind of vocabulary: whole texts
-        return t.get_vocab_size(), encode
+        return t.get_vocab_size(), lambda texts: encode(texts.to_pylist())
     is_end = np.array([x.endswith(cut.end) for x in cut.tokens])
 
     def pieces(words: list[str]) -> list:
@@ -74,10 +74,10 @@ def _encoder(path: str):
         if all(own):
             return cut.cut(words)
         got = cut.cut([w if o else "" for w, o in zip(words, own, strict=True)])
-        ends = (i for i, p in enumerate(got) if p is None)
+        ends = (i for i, p in enumerate(got) if p == "\n")
         for o, w, i in zip(own, words, ends, strict=True):
             if not o:
-                got[i] = ((w,), None)
+                got[i] = ((w,), "\n")
         return list(chain.from_iterable(p if isinstance(p, tuple) and isinstance(p[0], tuple) else (p,) for p in got))
 
     def encode_pieces(new: list) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +130,7 @@ def cuts(ids: np.ndarray, starts: np.ndarray, table: np.ndarray) -> list[np.ndar
 
 
 def chunked(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, hashes, payloads: a document's chunks in order; a payload is null where its task has sent it before."""
+    """id, n_tokens, hashes, has, payloads: a document's chunks in order; a payload is null, and has false, where its task has sent it before."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,11 +139,11 @@ def chunked(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id",
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             for at, to in steps(pc.utf8_length(texts).to_pylist(), STEP):
-                flat, n = encode(texts[at:to].to_pylist())
+                flat, n = encode(texts[at:to])
                 ids = np.insert(flat, np.cumsum(n), end_id)
                 n = n + 1
                 data = ids.astype(f"<u{width}")
-                hashes, payloads = [], []
+                hashes, has, payloads = [], [], []
                 for a, ends in zip(np.cumsum(n) - n, cuts(ids, np.cumsum(n) - n, table), strict=True):
                     own_h, own_p = [], []
                     for s, e in zip([0, *ends[:-1]], ends, strict=True):
@@ -153,12 +153,13 @@ def chunked(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id",
                         seen.add(key)
                     hashes.append(own_h)
                     payloads.append(own_p)
+                    has.append([p is not None for p in own_p])
                 if len(seen) > SEEN:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([batch.column("id")[at:to], pa.array(n, pa.int64()), pa.array(hashes, pa.list_(pa.binary())), pa.array(payloads, pa.list_(pa.binary()))], ["id", "n_tokens", "hashes", "payloads"])
+                yield pa.RecordBatch.from_arrays([batch.column("id")[at:to], pa.array(n, pa.int64()), pa.array(hashes, pa.list_(pa.binary())), pa.array(has, pa.list_(pa.bool_())), pa.array(payloads, pa.list_(pa.binary()))], ["id", "n_tokens", "hashes", "has", "payloads"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, hashes array<binary>, payloads array<binary>")
+    return rows.mapInArrow(run, f"id {kind}, n_tokens long, hashes array<binary>, has array<boolean>, payloads array<binary>")
 
 
 def width_of(path: str) -> int:
@@ -200,7 +201,7 @@ def write(docs: DataFrame, store: str, path: str, end_id: int = 2, id_col: str =
     parts = spark.read.parquet(_write(made, f"{store}/parts"))
     n = parts.count()
     parts = parts.withColumn("bucket", common.id_buckets(parts, "id", max(1, -(-n // (64 * SHARD)))))
-    refs = parts.select("doc", F.posexplode(F.arrays_zip("hashes", F.transform("payloads", lambda p: p.isNotNull()).alias("has"))).alias("pos", "c"))
+    refs = parts.select("doc", F.posexplode(F.arrays_zip("hashes", "has")).alias("pos", "c"))
     refs = refs.select("doc", "pos", F.col("c.hashes").alias("hash"), F.col("c.has").alias("has"))
     # A chunk's home is the first place that has its payload; the other places that have it lose theirs.
     place = F.struct("doc", "pos")

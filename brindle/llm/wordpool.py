@@ -3,7 +3,9 @@
 A tokenizer that never joins or looks across blanks gives a text the ids of its
 blank-separated words, one after the other. So each distinct word is encoded once
 per batch (and kept for later batches up to a limit), and a text's ids are
-gathered from a flat pool with numpy.
+gathered from a flat pool with numpy. The blanks are space, tab, line feed and
+carriage return, which every tokenizer here takes for white space and which take
+part in no composition.
 """
 
 from __future__ import annotations
@@ -12,10 +14,8 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
-
-#: Characters that every tokenizer here treats as white space and that take part in no composition.
-_BLANKS = str.maketrans({"\n": " ", "\t": " ", "\r": " "})
-
+import pyarrow as pa
+import pyarrow.compute as pc
 
 def steps(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes add up to about ``most``; a larger row is a range of its own."""
@@ -38,14 +38,14 @@ def gather(pool: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
 class PieceCache:
     """Encodes words by way of their distinct pieces, of which there are fewer; pieces are kept up to a limit."""
 
-    def __init__(self, cut: Callable[[list[str]], list], encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000):
-        """``cut`` gives the pieces of all words in a row with None after each word; a number is an id already. ``encode`` takes the others."""
+    def __init__(self, cut: Callable[[list[str]], list], encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 700_000):
+        """``cut`` gives the pieces of all words in a row with a line break after each word; a number is an id already. ``encode`` takes the others."""
         self.cut, self.encode, self.limit = cut, encode, limit
         self._clear()
 
     def _clear(self) -> None:
-        # None, which ends a word, has no ids.
-        self.at: dict = {None: 0}
+        # The line break that ends a word has no ids.
+        self.at: dict = {"\n": 0}
         self.ids, self.starts, self.lens = np.empty(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +55,7 @@ class PieceCache:
         new = distinct - self.at.keys()
         if len(self.at) + len(new) > self.limit:
             self._clear()
-            new = distinct - {None}
+            new = distinct - {"\n"}
         if new:
             plain, numbers = [p for p in new if not isinstance(p, int)], [p for p in new if isinstance(p, int)]
             ids, lens = self.encode(plain) if plain else (np.empty(0, np.int32), np.empty(0, np.int64))
@@ -69,7 +69,7 @@ class PieceCache:
 
 
 class WordPool:
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 250_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
         """``encode`` turns words into (all their ids in a row, how many each has)."""
         self.encode, self.limit = encode, limit
         self._clear()
@@ -84,18 +84,22 @@ class WordPool:
         self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
         self.ids, self.starts, self.lens = np.concatenate([self.ids, ids]), np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in a row, and how many each text has."""
-        split = [t.translate(_BLANKS).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
-        words = list(chain.from_iterable(split))
-        distinct = set(words)
-        new = distinct - self.at.keys()
+    def __call__(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and how many each text has. Only distinct words become Python strings."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        for blank in "\n\t\r":
+            texts = pc.replace_substring(texts, blank, " ")
+        split = pc.split_pattern(texts, " ")
+        n = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in self.at]
         if len(self.at) + len(new) > self.limit:
             self._clear()
-            new = distinct
+            new = words
         if new:
-            self._learn(list(new))
-        w = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            self._learn(new)
+        w = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
         lens = self.lens[w]
-        last = np.cumsum([len(s) for s in split]) - 1
-        return gather(self.ids, self.starts[w], lens), np.diff(np.cumsum(lens)[last], prepend=0)
+        upto = np.append(0, np.cumsum(lens))[np.cumsum(n)]
+        return gather(self.ids, self.starts[w], lens), np.diff(upto, prepend=0)
