@@ -40,7 +40,7 @@ BITS, SHORTEST, LONGEST = 8, 32, 2048
 #: Recipes in a shard, and nodes under a node of the Merkle tree.
 SHARD, FANOUT = 8_192, 1_024
 #: Characters of text in one step; chunk hashes a task remembers so as not to send a payload twice.
-STEP, SEEN = 3_000_000, 200_000
+STEP, SEEN = 5_000_000, 200_000
 #: The first letter beyond those that the words of Latin scripts are cut by here.
 LATIN = "\u0250"
 #: Marks of chunks with copies that are broadcast; beyond that they are joined by shuffle.

@@ -38,7 +38,7 @@ def gather(pool: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
 class PieceCache:
     """Encodes words by way of their distinct pieces, of which there are fewer; pieces are kept up to a limit."""
 
-    def __init__(self, cut: Callable[[list[str]], list], encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 700_000):
+    def __init__(self, cut: Callable[[list[str]], list], encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 900_000):
         """``cut`` gives the pieces of all words in a row with a line break after each word; a number is an id already. ``encode`` takes the others."""
         self.cut, self.encode, self.limit = cut, encode, limit
         self._clear()
@@ -69,7 +69,7 @@ class PieceCache:
 
 
 class WordPool:
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 700_000):
         """``encode`` turns words into (all their ids in a row, how many each has)."""
         self.encode, self.limit = encode, limit
         self._clear()
