@@ -15,8 +15,8 @@ under all their keys and even ones under the nearest codeword. That is about 50
 keys of 34 or 36 bits for a fingerprint; no link is lost.
 
 *Wider fingerprints* (``link_similar``) are filed under pairs of Golay keys,
-drawn from a SimHash of the words; that finds similar texts with high, not full,
-probability.
+about ten for each of some lanes of a SimHash of the words, by the same rule of
+parity; that finds similar texts with high, not full, probability.
 
 Rows are sorted by key, and each task goes through its runs of equal keys with
 numpy. A run's components are found by searching outward from a member among
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice, product
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,8 @@ from ..operators.graph import connected_components
 from . import common
 
 SEED = 42
-#: Shingles whose bits are counted in one numpy step.
-STEP = 100_000
+#: Shingles whose bits are counted in one numpy step, and in one sum of bytes (255 at most).
+STEP, BLOCK = 16_384, 64
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the Golay code.
 GOLAY = 0b110001110101
@@ -72,41 +72,42 @@ def simhash(texts: list[bytes], shingle: int, lanes: int = 1, seed: int = SEED,
     lengths of the texts.
     """
     counts, totals = np.zeros((len(texts), 64 * lanes), np.int64), np.zeros(len(texts), np.int64)
-    hashes: list[int] = []
-    owners: list[tuple[int, int]] = []
+    hashes: list[np.ndarray] = []
+    owners: list[int] = []
 
     def count() -> None:
         if hashes:
-            h = np.ascontiguousarray(_lanes(np.array(hashes, np.uint64), lanes))
-            bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little")
-            at = np.cumsum([0, *(n for _, n in owners[:-1])])
-            who = [i for i, _ in owners]
-            counts[who] += np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+            n = np.array([len(h) for h in hashes])
+            # Each text's hashes begin a new block, and blocks are filled up with zeros: their bits add up along one axis.
+            blocks = -(-n // BLOCK)
+            first = np.cumsum(blocks) - blocks
+            rows = np.zeros((BLOCK * int(blocks.sum()), lanes), np.uint64)
+            rows[np.arange(n.sum()) + np.repeat(BLOCK * first - (np.cumsum(n) - n), n)] = _lanes(np.concatenate(hashes), lanes)
+            bits = np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little").reshape(-1, BLOCK, 64 * lanes)
+            counts[owners] += np.add.reduceat(bits.sum(axis=1, dtype=np.uint8), first, axis=0, dtype=np.int64)
             hashes.clear()
             owners.clear()
 
-    digest = xxhash.xxh64_intdigest
+    digest, waiting = xxhash.xxh64_intdigest, 0
     for i, text in enumerate(texts):
         w = text.lower().split()
-        if distinct:
+        if distinct and shingle == 1:
             w = list(dict.fromkeys(w))
         if not w:
             continue
-        if shingle == 1:
-            pieces = iter(w)
-        elif len(w) < shingle:
-            pieces = iter([b" ".join(w)])
-        else:
-            pieces = map(b" ".join, zip(*(w[k:] for k in range(shingle)), strict=False))
-        while True:
-            own = [digest(p, seed) for p in islice(pieces, STEP)]
-            if not own:
-                break
-            hashes += own
-            owners.append((i, len(own)))
-            totals[i] += len(own)
-            if len(hashes) >= STEP:
+        size = max(1, len(w) - shingle + 1)
+        pieces = w if shingle == 1 else [b" ".join(w)] if size == 1 else map(b" ".join, zip(*(w[k:] for k in range(shingle)), strict=False))
+        own = np.fromiter((digest(p, seed) for p in pieces), np.uint64, size)
+        if distinct:
+            own = np.unique(own)
+        totals[i] = len(own)
+        for at in range(0, len(own), STEP):
+            hashes.append(own[at : at + STEP])
+            owners.append(i)
+            waiting += len(hashes[-1])
+            if waiting >= STEP:
                 count()
+                waiting = 0
     count()
     return np.packbits(counts * 2 > totals[:, None], axis=1, bitorder="little").view(np.uint64)
 
@@ -195,11 +196,12 @@ def _exact_keys(f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _pair_keys(lanes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, keys): for each 64-bit lane, the Golay keys of its first and second 23 bits together."""
-    rows = np.arange(len(lanes))
+    """(rows, keys): for each 64-bit lane, the Golay keys of its first and second 23 bits together; even words have the nearest codeword only."""
+    rows, mask = np.arange(len(lanes)), np.uint64((1 << 23) - 1)
     for tag in range(lanes.shape[1]):
-        a, more_a = golay_keys((lanes[:, tag] & np.uint64((1 << 23) - 1)).astype(np.int64))
-        b, more_b = golay_keys(((lanes[:, tag] >> np.uint64(23)) & np.uint64((1 << 23) - 1)).astype(np.int64))
+        x, y = (lanes[:, tag] & mask).astype(np.int64), ((lanes[:, tag] >> np.uint64(23)) & mask).astype(np.int64)
+        (a, more_a), (b, more_b) = golay_keys(x), golay_keys(y)
+        more_a, more_b = more_a & (np.bitwise_count(x) % 2 == 1), more_b & (np.bitwise_count(y) % 2 == 1)
         for i, j in product(range(6), repeat=2):
             has = (more_a | (i == 0)) & (more_b | (j == 0))
             yield rows[has], ((tag << 24) | (a[:, i] << 12) | b[:, j])[has]
@@ -336,8 +338,8 @@ def components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_c
     return _with_components(prints, "fingerprint", edges)
 
 
-#: For texts of a similarity: lanes of the SimHash of distinct words that file them, and of five-word shingles that compare them.
-KEY_LANES, LANES = 3, 4
+#: For texts of a similarity: lanes of the SimHash of distinct words that file them, and of distinct five-word shingles that compare them.
+KEY_LANES, LANES = 5, 8
 
 
 def bits_for(similarity: float, lanes: int = LANES) -> int:
@@ -360,7 +362,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     (README has rates). Equal texts are always together, and blank texts are
     too. Null ids as in ``components``.
     """
-    prints = fingerprints(docs, [(1, KEY_LANES, True), (shingle, LANES, False)], id_col, text_col)
+    prints = fingerprints(docs, [(1, KEY_LANES, True), (shingle, LANES, True)], id_col, text_col)
     prints = common.stage(prints, "simhash")
     key_lanes, lanes = [f"f0_{k}" for k in range(KEY_LANES)], [f"f1_{k}" for k in range(LANES)]
     prints = prints.withColumn("node", F.xxhash64(*key_lanes, *lanes))
