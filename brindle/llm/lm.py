@@ -10,12 +10,19 @@ next shorter context without the bytes that the longer one has already offered
 (symbol exclusion), down to all bytes alike. A document's score is the sum of
 the log10 probabilities of all its bytes and its end.
 
-Counting is a Spark aggregation over every training document. The trie is as
-fine as one in ``RESOLUTION`` of the training bytes: a branch with a smaller
-share is not a node of its own; its count stays in its context's total and
-belongs to the escape. So the trie has at most ``RESOLUTION`` branches at each
-depth, whatever the corpus, and is broadcast under that bound; counts and totals
-are still those of all data.
+Counting is a Spark aggregation over every training document, and the trie has
+every context that occurs, so it grows with the corpus and is never in one place.
+A byte's cost depends on it and the ``ORDER`` bytes before it alone, so each
+distinct byte string is scored once: those that share the last ``BASE + 1`` bytes
+of context lie together and hold all the deeper branches they need; the branches
+up to depth ``BASE``, strings of three bytes, are broadcast. Of the scores, those
+of strings with at least one in ``SHARED`` of all bytes (at most that many) are
+broadcast; each document's other strings are joined to the table of scores by
+shuffle, where none of them can be a hot key. The result doesn't depend on that bound.
+
+A ``resolution`` makes the trie as fine as one in so many of the training bytes: a
+branch with a smaller share is not a node of its own; its count stays in its
+context's total and belongs to the escape.
 
 The base needs the count of each token of each document. Tokens with at least
 one in ``RESOLUTION`` of all occurrences (at most that many) are broadcast; each
@@ -39,6 +46,10 @@ from . import common
 from .wordpool import steps
 
 ORDER = 5
+#: Depth of the branches that are broadcast to score the others, byte strings that are scored in one step, and share of those whose score is broadcast.
+BASE = 2
+CHUNK = 1_000_000
+SHARED = 1 << 22
 RESOLUTION = 1 << 20
 STEP = 1_000_000
 #: Distinct tokens and byte strings that a counting task holds before it passes its counts on.
@@ -73,46 +84,58 @@ def _keys(docs: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
     return key[own], n - order
 
 
-def counts(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> DataFrame:
-    """token binary, gram long, n long: how often each token, and each byte with the ``order`` bytes before it, occurs in ``docs``.
+def counts(docs: DataFrame, order: int = ORDER, text_col: str = "text", train: Column | None = None) -> DataFrame:
+    """token binary, gram long, n long, m long: how often each token, and each byte with the ``order`` bytes before it, occurs in ``docs``.
 
     One of token and gram is null. The end of a document isn't among the tokens.
+    With ``train``, n and the tokens are those of the rows it holds for; m counts all rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: Counter = Counter()
-        grams: list[pd.Series] = []
+        grams: dict[bool, list[pd.Series]] = {True: [], False: []}
 
         def out_tokens() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(tokens), pa.binary()), pa.nulls(len(tokens), pa.int64()), pa.array(list(tokens.values()), pa.int64())], ["token", "gram", "n"])
+            n = pa.array(list(tokens.values()), pa.int64())
+            batch = pa.RecordBatch.from_arrays([pa.array(list(tokens), pa.binary()), pa.nulls(len(tokens), pa.int64()), n, n], ["token", "gram", "n", "m"])
             tokens.clear()
             return batch
 
-        def merged() -> pd.Series:
-            return pd.concat(grams).groupby(level=0).sum()
+        def merged(taught: bool) -> pd.Series:
+            return pd.concat(grams[taught]).groupby(level=0).sum()
 
-        def out_grams() -> pa.RecordBatch:
-            g = merged()
-            grams.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(len(g), pa.binary()), pa.array(g.index.to_numpy().astype(np.int64)), pa.array(g.to_numpy().astype(np.int64))], ["token", "gram", "n"])
+        def out_grams(taught: bool) -> pa.RecordBatch:
+            g = merged(taught)
+            grams[taught].clear()
+            m = g.to_numpy().astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(g), pa.binary()), pa.array(g.index.to_numpy().astype(np.int64)), pa.array(m * taught), pa.array(m)], ["token", "gram", "n", "m"])
 
-        for _, docs_ in _steps(batches):
-            for w in docs_:
-                tokens.update(w)
+        for part, docs_ in _steps(batches):
+            teaches = part.column("train").to_pylist()
+            for w, t in zip(docs_, teaches, strict=True):
+                if t:
+                    tokens.update(w)
             if len(tokens) > HELD:
                 yield out_tokens()
-            grams.append(pd.Series(_keys(docs_, order)[0]).value_counts(sort=False))
-            if sum(map(len, grams)) > 4 * HELD:
-                grams[:] = [merged()]
-                if len(grams[0]) > 2 * HELD:
-                    yield out_grams()
+            for taught in (True, False):
+                own = [w for w, t in zip(docs_, teaches, strict=True) if t is taught]
+                if not own:
+                    continue
+                g = grams[taught]
+                g.append(pd.Series(_keys(own, order)[0]).value_counts(sort=False))
+                if sum(map(len, g)) > 4 * HELD:
+                    g[:] = [merged(taught)]
+                    if len(g[0]) > 2 * HELD:
+                        yield out_grams(taught)
         if tokens:
             yield out_tokens()
-        if grams:
-            yield out_grams()
+        for taught in (True, False):
+            if grams[taught]:
+                yield out_grams(taught)
 
-    rows = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "token binary, gram long, n long")
-    return rows.groupBy("token", "gram").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.coalesce(F.lit(True) if train is None else train, F.lit(False)).alias("train"))
+    rows = rows.mapInArrow(run, "token binary, gram long, n long, m long")
+    return rows.groupBy("token", "gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 class Trie:
@@ -174,47 +197,114 @@ class Trie:
         return out
 
 
-def gather(counted: DataFrame, order: int = ORDER, resolution: int = RESOLUTION) -> pd.DataFrame:
-    """The trie's table from ``counts``: at most ``resolution`` rows for each of the depths."""
-    grams = counted.where("gram is not null").select(F.explode(F.sequence(F.lit(0), F.lit(order))).alias("level"), "gram", "n")
+def _least(total: int, resolution: int | None) -> int:
+    return 1 if resolution is None else max(1, -(-total // resolution))
+
+
+def gather(counted: DataFrame, order: int = ORDER, resolution: int | None = None) -> pd.DataFrame:
+    """The trie's table from ``counts``, to depth ``order`` and no further: with a ``resolution``, at most so many rows for each of the depths."""
+    grams = counted.where("gram is not null and n > 0").select(F.col("gram").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
+    grams = grams.select(F.explode(F.sequence(F.lit(0), F.lit(order))).alias("level"), "gram", "n")
     mask = F.get(F.array(*[F.lit((1 << 8 * (k + 1)) - 1) for k in range(order + 1)]), F.col("level"))
     grams = grams.select("level", F.col("gram").bitwiseAND(mask).alias("gram"), "n").groupBy("level", "gram").agg(F.sum("n").alias("n"))
     context = Window.partitionBy("level", "context")  # 256 rows at most
     grams = grams.withColumn("context", F.shiftright("gram", 8)).withColumn("total", F.sum("n").over(context))
     grams = common.stage(grams.drop("context"), "byte-counts")
     total = grams.where("level = 0").agg(F.sum("n")).first()[0] or 0
-    return grams.where(F.col("n") >= max(1, -(-total // resolution))).toPandas()
+    return grams.where(F.col("n") >= _least(total, resolution)).toPandas()
+
+
+def _branches(gram: np.ndarray, n: np.ndarray, levels: range, least: int) -> list[pd.DataFrame]:
+    """The trie's tables at ``levels`` from the counts of whole byte strings, all those with the same context at each of ``levels``."""
+    out = []
+    for k in levels:
+        own, at = np.unique(gram & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        count = np.zeros(len(own), np.int64)
+        np.add.at(count, at, n)
+        _, first, size = np.unique(own >> np.uint64(8), return_index=True, return_counts=True)
+        total = np.repeat(np.add.reduceat(count, first), size) if len(own) else count
+        keep = count >= least
+        out.append(pd.DataFrame({"level": k, "gram": own[keep].astype(np.int64), "n": count[keep], "total": total[keep]}))
+    return out
+
+
+def gram_scores(counted: DataFrame, order: int = ORDER, resolution: int | None = None) -> DataFrame:
+    """gram, m, s: log10 of the probability of each byte string's last byte after those before it, by the whole trie."""
+    base = min(order, BASE)
+    rows = counted.where("gram is not null").select("gram", "n", "m")
+    least = _least(rows.agg(F.sum("n")).first()[0] or 0, resolution)
+    top = gather(counted, base, resolution)
+    shared = counted.sparkSession.sparkContext.broadcast(top)
+    low = (1 << 8 * (BASE + 1)) - 1
 
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, order: int = ORDER, resolution: int = RESOLUTION) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out(x: np.ndarray) -> pa.RecordBatch:
+            gram, seen = x[0].astype(np.uint64), x[1] > 0
+            trie = Trie(pd.concat([shared.value, *_branches(gram[seen], x[1][seen], range(base + 1, order + 1), least)]), order)
+            return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[2]), pa.array(trie.score(gram))], ["gram", "m", "s"])
+
+        for batch in batches:
+            if len(batch):
+                held.append(np.stack([batch.column(c).to_numpy() for c in ("gram", "n", "m")]))
+            if sum(x.shape[1] for x in held) >= CHUNK:
+                # The last context may go on in the next batch.
+                x = np.concatenate(held, axis=1)
+                context = x[0] >> 8 & low
+                at = int(np.flatnonzero(context != context[-1])[-1]) + 1 if (context != context[-1]).any() else 0
+                held = [x[:, at:]]
+                if at:
+                    yield out(x[:, :at])
+        if held:
+            yield out(np.concatenate(held, axis=1))
+
+    context = F.shiftright("gram", 8).bitwiseAND(low)
+    return rows.repartition(context).sortWithinPartitions(context).mapInArrow(run, "gram long, m long, s double")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, order: int = ORDER, resolution: int | None = None) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each input row.
 
     ``train`` tells which rows teach; by default those that ``held_out`` doesn't
     hold for. Null and empty texts are the end alone. Repeated rows count as
     often as they occur. Without training rows every byte is as likely as any
-    other, and the base is 0. Memory follows the longest text.
+    other, and the base is 0. Memory follows the longest text and the most byte
+    strings that share the three bytes before their last. The trie is whole unless a
+    ``resolution`` is given.
     """
     spark = docs.sparkSession
     train = ~held_out(F.col(id_col)) if train is None else train
     kind = docs.schema[id_col].dataType.simpleString()
     teaching = docs.where(train)
-    counted = common.stage(counts(teaching, order, text_col), "counts")
+    counted = common.stage(counts(docs, order, text_col, train), "counts")
     tokens = counted.where("token is not null").select("token", "n")
     words, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = teaching.count()
     n_all = words + ends
     log_all = float(np.log10(n_all + distinct + (ends > 0) + 1))
-    often = max(1, -(-n_all // resolution))
+    often = max(1, -(-n_all // RESOLUTION))
     frequent = tokens.where(F.col("n") >= often).toPandas()
-    shared = spark.sparkContext.broadcast((gather(counted, order, resolution), dict(zip(map(bytes, frequent.token), np.log10(frequent.n + 1.0), strict=True))))
+    grams = common.stage(gram_scores(counted, order, resolution), "gram-scores")
+    often_grams = max(1, -(-(grams.agg(F.sum("m")).first()[0] or 0) // SHARED))
+    scored = grams.where(F.col("m") >= often_grams).select("gram", "s").toPandas()
+    shared = spark.sparkContext.broadcast((scored, dict(zip(map(bytes, frequent.token), np.log10(frequent.n + 1.0), strict=True))))
     end_score, end_known = float(np.log10(ends + 1) - log_all), int(ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known = shared.value
-        trie = Trie(table, order)
+        frequent_grams, own_scores = pd.Index(table.gram.to_numpy().astype(np.uint64)), np.append(table.s.to_numpy(), 0.0)
         for part, texts in _steps(batches):
             keys, n_bytes = _keys(texts, order)
-            scores = np.add.reduceat(trie.score(keys), np.cumsum(n_bytes) - n_bytes)
+            at = frequent_grams.get_indexer(keys)
+            scores = np.add.reduceat(own_scores[at], np.cumsum(n_bytes) - n_bytes)
+            left = np.flatnonzero(at < 0)
+            of, key = np.repeat(np.arange(len(texts)), n_bytes)[left], keys[left]
+            by = np.lexsort((key, of))
+            of, key = of[by], key[by]
+            new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (key[1:] != key[:-1]))[: len(of)])
+            ends_at = pa.array(np.append(0, np.cumsum(np.bincount(of[new], minlength=len(texts)))).astype(np.int32))
+            rare_grams = [pa.ListArray.from_arrays(ends_at, pa.array(x.astype(np.int64))) for x in (key[new], np.diff(np.append(new, len(of))))]
             base, n_known, rare, times = [], [], [], []
             for w in texts:
                 logs = [known.get(x) for x in w]
@@ -225,11 +315,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
                 rare.append(list(others))
                 times.append(list(others.values()))
             cols = [part.column("id"), part.column("held_out"), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(scores)]
-            cols += [pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"])
+            cols += [pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())), *rare_grams]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times", "grams", "gram_times"])
 
     rows = docs.select(F.col(id_col).alias("id"), (~train).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    rows = rows.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<long>")
+    rows = rows.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<long>, grams array<long>, gram_times array<long>")
     rows = common.stage(rows.withColumn("uid", F.monotonically_increasing_id()), "scored")
     rest = rows.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
     rest = rest.join(tokens.where(F.col("n") < often), "token", "left")
@@ -237,14 +327,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1.0) - log_all)).alias("rest"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rest_known"),
     )
-    return rows.drop("rare", "times").join(rest, "uid", "left").select(
+    deep = rows.select("uid", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("uid", F.col("x.grams").alias("gram"), F.col("x.gram_times").alias("times"))
+    deep = deep.join(grams.where(F.col("m") < often_grams), "gram").groupBy("uid").agg(F.sum(F.col("times") * F.col("s")).alias("deep"))
+    return rows.drop("rare", "times", "grams", "gram_times").join(rest, "uid", "left").join(deep, "uid", "left").select(
         "id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("deep", F.lit(0.0))).alias("score"),
     )
 
 

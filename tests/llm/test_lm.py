@@ -96,3 +96,24 @@ def test_awkward(awkward, empty):
     assert len(rows) == len(AWKWARD) + 2 and all(r.score <= 0 and math.isfinite(r.score) for r in rows)
     untrained = lm.score(awkward.where("doc_id in (3)"), train=lm.F.lit(False)).collect()
     assert untrained[0].score == pytest.approx(-4 * math.log10(256)) and untrained[0].base_score == 0
+
+
+@pytest.mark.parametrize("shared", [1 << 22, 50])
+def test_whole_trie_whatever_is_broadcast(spark, monkeypatch, shared):
+    """Rare contexts stay in the trie when the bounds of what is broadcast and scored at once are small."""
+    monkeypatch.setattr(lm, "SHARED", shared)
+    monkeypatch.setattr(lm, "RESOLUTION", shared)
+    monkeypatch.setattr(lm, "CHUNK", 100)
+    docs = [(r.doc_id, r.text[:300]) for r in spark.read.parquet(f"{sf()}/documents.parquet").limit(60).collect()] + [(1000, "new words: zzz qqq"), (1001, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r[0]: tuple(r) for r in lm.score(df).collect()}
+    for e in plain(docs, 5, 1 << 40):
+        assert got[e[0]][:5] == e[:5]
+        assert got[e[0]][5:] == pytest.approx(e[5:], rel=1e-9)
+
+
+def test_rare_contexts_of_a_large_corpus(spark):
+    """Strings with less than one in 2^20 of the training bytes are learnt too."""
+    docs = [(0, "ab cd " * 400_000), (1, "zebra quagga")]
+    got = {r.id: r.score for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string"), train=lm.F.lit(True)).collect()}
+    assert got[1] == pytest.approx(PlainTrie([words(t) for _, t in docs], 5, 1).score(words(docs[1][1])), rel=1e-9)
