@@ -37,21 +37,32 @@ BAD_NAMES = frozenset(
     "sidebar aside rail widget widgets cookie cookies consent gdpr notice notices alert warning popup modal overlay dialog newsletter subscribe subscription signup login signin register form search "
     "share sharing social related recommended recommendations more comment comments commentlist reply replies respond discussion disqus feedback toolbar pager pagination copyright legal disclaimer skip hidden teaser teasers trending popular taboola outbrain tagcloud offcanvas".split()
 )
+#: Of these, those that articles use for parts of their own: within a marked article they are a weak sign.
+EVERYDAY = frozenset("search form register related recommended more warning alert notice notices legal disclaimer header share sharing social discussion feedback popular trending bottom skip".split())
+#: Their ids are anchors that name a subject, not a place in the page.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 GOOD_NAMES = frozenset("article content post entry story main body text maintext articlebody".split())
 NAME = re.compile(r"[A-Za-z][a-z]*")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "bad", "named_bad", "good", "chars", "has_title", "has_article", "_bad")
+    __slots__ = ("tag", "parent", "depth", "bad", "named_bad", "good", "chars", "has_title", "has_article", "_bad", "_weak", "_within")
 
     def __init__(self, tag: str, parent: Element | None, attrs: dict[str, str | None]):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
-        self.chars, self.has_title, self.has_article, self._bad = 0, False, False, None
+        self.chars, self.has_title, self.has_article = 0, False, False
+        self._bad = self._weak = self._within = None
         words = {w.lower() for k in ("class", "id") for w in NAME.findall(attrs.get(k) or "")} if tag not in ("html", "body") else set()
         words |= {w for k in ("class", "id") for w in (attrs.get(k) or "").lower().split()} if words else set()
         hidden = "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
         self.bad = tag in BAD_TAGS or (attrs.get("role") or "").lower() in BAD_ROLES or hidden
-        self.named_bad = not words.isdisjoint(BAD_NAMES)
+        tested = words
+        if tag in TEXTS and words:
+            own = attrs.get("class") or ""
+            tested = {w.lower() for w in NAME.findall(own)} | set(own.lower().split())
+        self.named_bad = not tested.isdisjoint(BAD_NAMES)
+        if self.named_bad and tested.isdisjoint(BAD_NAMES - EVERYDAY):
+            self.named_bad = None  # a weaker sign
         self.good = tag in ("article", "main") or (attrs.get("role") or "").lower() in ("main", "article")
         if not self.good and not words.isdisjoint(GOOD_NAMES):
             self.good = None  # a weaker sign
@@ -169,18 +180,24 @@ def _bad(e: Element | None, page_chars: int) -> bool:
     """Whether the element or one around it is marked as something other than the article.
 
     A name doesn't count against an element that holds the article: one with
-    article and title, or with most of the page's text.
+    article and title, or with most of the page's text. An everyday name within a
+    marked article only sets ``_weak``, unless it holds articles itself.
     """
     chain = []
     while e is not None and e.parent is not None and e._bad is None:
         chain.append(e)
         e = e.parent
-    bad = bool(e is not None and e._bad)
+    known = e is not None and e._bad is not None
+    bad, weak, within = (e._bad, e._weak, e._within) if known else (False, False, False)
     for x in reversed(chain):
         holds = (x.has_article and x.has_title) or x.chars >= 0.6 * page_chars
         page_header = x.tag == "header" and not _inside(x, "article")
-        bad = bad or (x.bad and not (x.tag in ("form", "menu", "fieldset") and holds)) or (page_header and not x.has_article) or (x.named_bad and not holds)
-        x._bad = bad
+        everyday = x.named_bad is None and within and not x.has_article
+        named = x.named_bad is not False and not everyday
+        bad = bad or (x.bad and not (x.tag in ("form", "menu", "fieldset") and holds)) or (page_header and not x.has_article) or (named and not holds)
+        weak = weak or (everyday and not holds)
+        within = within or bool(x.good) and (x.tag == "article" or not x.has_article)
+        x._bad, x._weak, x._within = bad, weak, within
     return bad
 
 
@@ -201,7 +218,9 @@ def score(b: Block, page_chars: int, has_article: bool) -> float:
         weak |= e.good is None
         e = e.parent
     s += 6.0 if strong else -2.0 if has_article else 2.0 if weak else 0.0
-    return s - 14.0 if _bad(b.element, page_chars) else s
+    if _bad(b.element, page_chars):
+        return s - 14.0
+    return s - 3.0 if b.element._weak else s
 
 
 def edges(blocks: list[Block]) -> list[tuple[int, int, float]]:

@@ -74,3 +74,25 @@ def test_awkward(spark):
     got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
     assert got[1] == got[2] == "" and len(got[4]) == 27 * 20_000 - 1
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+ARTICLE = """<html><body><nav><a href=/>Home</a></nav><main><article><header class="entry-header"><h1>How search engines work</h1></header>
+<p>An article about search, which has several sections with names that are everyday words, and some text.</p>
+<h2 id="search">Searching</h2><p id="legal">Some of what follows is about the law, and it is part of the text.</p>
+<div class="warning">Never try this at home without a second person who can help you.</div>
+<h2 id="related-work">Related work</h2><section class="discussion"><p>Others have written about this before, and they came to the same end.</p></section>
+<div class="related"><ul><li><a href=1>Ten tricks</a></li><li><a href=2>Five more tricks</a></li></ul></div>
+<div class="newsletter"><p>Get our letters every week, with all that is new and good to know for you.</p></div></article>
+<div class="related"><p>Another story that has nothing to do with this one, but that you may want to read.</p></div></main></body></html>"""
+
+
+def test_everyday_names_within_an_article():
+    assert htmltext.main_text(ARTICLE).split("\n") == [
+        "How search engines work",
+        "An article about search, which has several sections with names that are everyday words, and some text.",
+        "Searching",
+        "Some of what follows is about the law, and it is part of the text.",
+        "Never try this at home without a second person who can help you.",
+        "Related work",
+        "Others have written about this before, and they came to the same end.",
+    ]
