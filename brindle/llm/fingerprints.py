@@ -6,7 +6,9 @@ same texts, whatever their lengths. Sketches merge by union, and counting common
 members estimates both resemblance and the containment of a short document in a
 very long one. So that short texts aren't left without a sketch, the smallest
 hash is kept even when it lies above the threshold and nothing else does; that
-rule too is kept by ``merge``.
+rule too is kept by ``merge``. Such a sketch tells equal texts, but not what a
+longer one has of it: estimates from it are null, and ``exactly`` compares all
+shingles of the texts in their place.
 
 A shingle's hash is xxhash64 over the xxhash64 of its words.
 """
@@ -61,17 +63,54 @@ def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     return _kept(F.array_union(a, b), scale)
 
 
-def resemblance(a: Column, b: Column) -> Column:
-    """Common shingles over all shingles, estimated; 1 for two empty sketches, 0 for one."""
+def _lone(a: Column, scale: int) -> Column:
+    """Whether a sketch is only a smallest hash above the threshold."""
+    return (F.size(a) == 1) & (F.get(a, F.lit(0)) >= F.lit(_limit(scale)))
+
+
+def _resemblance(a: Column, b: Column) -> Column:
     both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """The share of ``a``'s shingles that ``b`` holds too, estimated; 1 if ``a`` is empty."""
+def _containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
+def resemblance(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Common shingles over all shingles, estimated; 1 for two empty sketches, 0 for one.
+
+    Null, for no estimate, if one holds only a hash above the threshold.
+    """
+    return F.when(~_lone(a, scale) & ~_lone(b, scale), _resemblance(a, b))
+
+
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The share of ``a``'s shingles that ``b`` holds too, estimated; 1 if ``a`` is empty. Null as for ``resemblance``."""
+    return F.when(~_lone(a, scale) & ~_lone(b, scale), _containment(a, b))
+
+
+def exactly(df: DataFrame, pairs: dict[str, tuple[Column, Column, Column, Column]], shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
+    """``df`` with near_<name> and kept_in_<name> for each pair of ``pairs``, name: (text, its sketch, other text, its sketch).
+
+    They are the estimates, or for pairs without one the values of all shingles,
+    which are found for these rows only.
+    """
+    for name, (text, sketched, other, other_sketched) in pairs.items():
+        without = _lone(sketched, scale) | _lone(other_sketched, scale)
+        own, both = [], [f"__{name}_0", f"__{name}_1"]
+        for i, t in enumerate((text, other)):
+            w, h = f"__{name}_w{i}", f"__{name}_h{i}"
+            df = df.withColumn(w, F.when(without, F.split(F.lower(F.coalesce(t, F.lit(""))), common.SPACES)))
+            df = df.withColumn(h, F.transform(F.filter(w, lambda x: x != F.lit("")), lambda x: F.xxhash64(x)))
+            df = df.withColumn(both[i], F.when(F.col(h).isNotNull(), F.array_distinct(_hashes(F.col(h), shingle))))
+            own += [w, h]
+        a, b = map(F.col, both)
+        df = df.withColumn(f"near_{name}", F.coalesce(resemblance(sketched, other_sketched, scale), _resemblance(a, b)))
+        df = df.withColumn(f"kept_in_{name}", F.coalesce(containment(sketched, other_sketched, scale), _containment(a, b))).drop(*own, *both)
+    return df
+
+
 def as_text(a: Column) -> Column:
     """16 lowercase hex digits per member, in order."""
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
@@ -107,15 +146,17 @@ def op1_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = with_next(docs, ["text", "own"]).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    pairs = pairs.select("doc_id", "n_chars", "own", "next_own", edited.alias("edited"))
+    pairs = pairs.select("doc_id", "n_chars", "text", "next_text", "own", "next_own", edited.alias("edited"))
     pairs = sketch(pairs, F.col("edited"), "changed")
+    own = F.col("text"), F.col("own")
+    pairs = exactly(pairs, {"edited": (*own, F.col("edited"), F.col("changed")), "next": (*own, F.col("next_text"), F.col("next_own"))})
     return pairs.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("own")).alias("fingerprint"),
         as_text(F.col("changed")).alias("edited_fingerprint"),
-        resemblance(F.col("own"), F.col("changed")).alias("near_edited"),
-        resemblance(F.col("own"), F.col("next_own")).alias("near_next"),
-        containment(F.col("own"), F.col("changed")).alias("kept_in_edited"),
+        "near_edited",
+        "near_next",
+        "kept_in_edited",
     )

@@ -134,3 +134,23 @@ def test_mix_without_broadcast(spark, monkeypatch):
         monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
         rows.append(sorted(map(tuple, mixing.plan(docs).collect())))
     assert rows[0] == rows[1]
+
+
+def test_sketch_of_short_texts(spark, tmp_path):
+    """Texts of 1 to 30 words beside one that holds them word for word: exact where a sketch has nothing below the threshold."""
+    long = " ".join(f"word{i}" for i in range(600))
+    texts = [" ".join(f"word{j}" for j in range(7 * i, 7 * i + 1 + i)) if i % 2 else long for i in range(30)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = fingerprints.op1_scaled_sketch(spark, str(tmp_path)).orderBy("doc_id").collect()
+    lone = 0
+    for i, r in enumerate(rows):
+        nxt = texts[(i + 1) % len(texts)]
+        h = len(texts[i]) // 2
+        a, b, c = shingles(texts[i]), shingles(texts[i][: len(texts[i]) - h] + nxt[:h]), shingles(nxt)
+        if len(r.fingerprint) == 16 and int(r.fingerprint, 16) - (int(r.fingerprint, 16) >> 63 << 64) >= fingerprints._limit(fingerprints.SCALE):
+            lone += 1
+            assert (r.near_edited, r.near_next, r.kept_in_edited) == pytest.approx((len(a & b) / len(a | b), len(a & c) / len(a | c), len(a & b) / len(a)))
+    assert lone > 3
+    pair = fingerprints.sketch(spark.createDataFrame([(t, long) for t in texts[5::2]], "a string, b string"), F.col("a"), "s")
+    pair = fingerprints.exactly(fingerprints.sketch(pair, F.col("b"), "t"), {"b": (F.col("a"), F.col("s"), F.col("b"), F.col("t"))})
+    assert all(r.kept_in_b == 1 for r in pair.collect())
