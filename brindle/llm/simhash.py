@@ -14,19 +14,32 @@ three. Words that differ by one bit differ in parity, so only odd words file
 under all their keys and even ones under the nearest codeword. That is about 50
 keys of 34 or 36 bits for a fingerprint; no link is lost.
 
-*Wider fingerprints* (``link_similar``) are filed under pairs of Golay keys,
-about ten for each of some lanes of a SimHash of the words, by the same rule of
-parity; that finds similar texts with high, not full, probability.
+*Similar texts* (``similar_components``) are those whose sets of shingles have a
+cosine, the similarity that SimHash tells, of 0.8 or more. They are filed under
+the keys above of a SimHash of their words, which finds scattered edits, and under
+one key of three Golay words for each of 16 SimHashes of samples of their shingles,
+which finds replaced passages: a sample is the same in both texts if its shingles
+are in both. Pairs with a common key and close fingerprints are proposals; each is
+then verified by the exact cosine of the two sets, by joins.
 
 Rows are sorted by key, and each task goes through its runs of equal keys with
 numpy. A run's components are found by searching outward from a member among
-those not reached yet, and leave the task as trees of degree three or less, not
-as pairs: a group of thousands of near copies costs a few edges per member. Only
-distinct fingerprints take part.
+those not reached yet. They leave the task as trees, not as pairs: a group of
+thousands of near copies costs a few edges per member. Proposals are verified one
+by one, so they also go to the members nearest the group's centre, for that is
+where the text lies that all others were made from. Only distinct fingerprints
+take part.
+
+Keys that very many fingerprints share are told from a sample of the fingerprints,
+and dealt to several tasks. For exact links those of a pair that differ in 3 bits
+at most agree in one of four parts of the segment that the key leaves open, and are
+dealt by these. For similar texts they are dealt by chance, and the busiest member
+of each large component found is then compared with all who share a key with it.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import product
@@ -63,15 +76,26 @@ def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def simhash(texts: list[bytes], shingle: int, lanes: int = 1, seed: int = SEED, distinct: bool = False) -> np.ndarray:
+def shingle_hashes(text: bytes, shingle: int, seed: int = SEED) -> np.ndarray:
+    """The hash of each shingle in order; fewer words are one shingle, no words none."""
+    w = text.lower().split()
+    size = max(1, len(w) - shingle + 1) if w else 0
+    pieces = w if shingle == 1 else [b" ".join(w)] if size == 1 else map(b" ".join, zip(*(w[k:] for k in range(shingle)), strict=False))
+    return np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in pieces), np.uint64, size)
+
+
+def simhash(texts: list[bytes], shingle: int, lanes: int = 1, seed: int = SEED, distinct: bool = False, samples: int = 0) -> np.ndarray:
     """(texts, lanes) unsigned 64-bit fingerprints: a bit is 1 if set in over half of the shingles' hashes.
 
     A-Z are taken as a-z; shingles are of ``shingle`` words joined by a space,
     repeats included unless ``distinct``; fewer words are one shingle, no words
     give zeros. Bits are counted ``STEP`` shingles at a time, whatever the
-    lengths of the texts.
+    lengths of the texts. With ``samples``, so many more columns follow: the SimHash of
+    the smallest hashes in each of four parts of the range of hashes, zero where
+    there are none.
     """
     counts, totals = np.zeros((len(texts), 64 * lanes), np.int64), np.zeros(len(texts), np.int64)
+    least, bounds = np.zeros((len(texts), 4 * samples + 1), np.uint64), np.array([i * 2**64 // (4 * samples or 1) for i in range(4 * samples)], np.uint64)
     hashes: list[np.ndarray] = []
     owners: list[int] = []
 
@@ -88,18 +112,17 @@ def simhash(texts: list[bytes], shingle: int, lanes: int = 1, seed: int = SEED,
             hashes.clear()
             owners.clear()
 
-    digest, waiting = xxhash.xxh64_intdigest, 0
+    waiting = 0
     for i, text in enumerate(texts):
-        w = text.lower().split()
-        if distinct and shingle == 1:
-            w = list(dict.fromkeys(w))
-        if not w:
+        own = shingle_hashes(text, shingle, seed)
+        if not len(own):
             continue
-        size = max(1, len(w) - shingle + 1)
-        pieces = w if shingle == 1 else [b" ".join(w)] if size == 1 else map(b" ".join, zip(*(w[k:] for k in range(shingle)), strict=False))
-        own = np.fromiter((digest(p, seed) for p in pieces), np.uint64, size)
-        if distinct:
+        if distinct or samples:
             own = np.unique(own)
+        if samples:
+            at = np.searchsorted(own, bounds)
+            has = at < np.append(at[1:], len(own))
+            least[i, :-1][has] = own[at[has]]
         totals[i] = len(own)
         for at in range(0, len(own), STEP):
             hashes.append(own[at : at + STEP])
@@ -109,27 +132,33 @@ def simhash(texts: list[bytes], shingle: int, lanes: int = 1, seed: int = SEED,
                 count()
                 waiting = 0
     count()
-    return np.packbits(counts * 2 > totals[:, None], axis=1, bitorder="little").view(np.uint64)
+    whole = np.packbits(counts * 2 > totals[:, None], axis=1, bitorder="little").view(np.uint64)
+    if not samples:
+        return whole
+    parts = least[:, :-1].reshape(-1, 4)
+    bits = np.unpackbits(_lanes(parts.ravel(), 2)[:, 1].copy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").reshape(-1, 4, 64) * (parts > 0)[:, :, None]
+    sampled = np.packbits(bits.sum(axis=1) * 2 > (parts > 0).sum(axis=1)[:, None], axis=1, bitorder="little").view(np.uint64)
+    return np.concatenate([whole, sampled.reshape(len(texts), samples)], axis=1)
 
 
-def fingerprints(docs: DataFrame, specs: list[tuple[int, int, bool]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and, for each (shingle, lanes, distinct) of ``specs``, its lanes as longs f0_0, f0_1, ...
+def fingerprints(docs: DataFrame, specs: list[dict], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text_hash and, for each of ``specs`` (arguments of ``simhash``), its columns as longs f0_0, f0_1, ...
 
     One row for each input row; a null text counts as empty.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [f"f{i}_{k}" for i, (_, lanes, _) in enumerate(specs) for k in range(lanes)]
+    names = [f"f{i}_{k}" for i, spec in enumerate(specs) for k in range(spec.get("lanes", 1) + spec.get("samples", 0))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 texts = pc.fill_null(part.column("text"), b"").to_pylist()
-                lanes = [simhash(texts, k, n, distinct=d).view(np.int64) for k, n, d in specs]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(x[:, j].copy()) for x in lanes for j in range(x.shape[1])]], ["id", *names])
+                lanes = [simhash(texts, **spec).view(np.int64) for spec in specs]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), *[pa.array(x[:, j].copy()) for x in lanes for j in range(x.shape[1])]], ["id", "text_hash", *names])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, ", ".join([f"id {kind}", *(f"{n} long" for n in names)]))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, ", ".join([f"id {kind}, text_hash long", *(f"{n} long" for n in names)]))
 
 
 # ---- Golay keys
@@ -195,16 +224,15 @@ def _exact_keys(f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows[has], key[has]
 
 
-def _pair_keys(lanes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, keys): for each 64-bit lane, the Golay keys of its first and second 23 bits together; even words have the nearest codeword only."""
-    rows, mask = np.arange(len(lanes)), np.uint64((1 << 23) - 1)
-    for tag in range(lanes.shape[1]):
-        x, y = (lanes[:, tag] & mask).astype(np.int64), ((lanes[:, tag] >> np.uint64(23)) & mask).astype(np.int64)
-        (a, more_a), (b, more_b) = golay_keys(x), golay_keys(y)
-        more_a, more_b = more_a & (np.bitwise_count(x) % 2 == 1), more_b & (np.bitwise_count(y) % 2 == 1)
-        for i, j in product(range(6), repeat=2):
-            has = (more_a | (i == 0)) & (more_b | (j == 0))
-            yield rows[has], ((tag << 24) | (a[:, i] << 12) | b[:, j])[has]
+def _similar_keys(lanes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, keys): those of ``_exact_keys`` for the first column, and for each other column that isn't zero the nearest codewords of its three segments."""
+    yield from _exact_keys(lanes[:, 0])
+    for lane in range(1, lanes.shape[1]):
+        rows = np.flatnonzero(lanes[:, lane])
+        key = np.full(len(rows), (7 << 60) | (lane << 36), np.int64)
+        for i, (at, n) in enumerate(SEGMENTS):
+            key |= golay_keys((lanes[rows, lane] >> np.uint64(at)).astype(np.int64) & ((1 << n) - 1))[0][:, 0] << (12 * i)
+        yield rows, key
 
 
 # ---- links within runs of equal keys
@@ -252,14 +280,63 @@ def _links(key: np.ndarray, node: np.ndarray, f: np.ndarray, limit: int) -> tupl
     return both[:, 0], both[:, 1]
 
 
-def _edges(filed: DataFrame, lanes: list[str], limit: int) -> DataFrame:
-    """a, b: edges that join what the links within runs of equal ``key`` join. ``filed`` has key, node and ``lanes``."""
+#: Members at the centre of a component that all others are compared with.
+HUBS = 3
+
+
+def _distance(f: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(f ^ x).sum(axis=-1, dtype=np.int64)
+
+
+def _proposals(key: np.ndarray, node: np.ndarray, f: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (member, other) at ``limit`` or fewer bits within runs of equal keys: all in short runs, else a few for each member.
+
+    Of a longer run's component those by which it was searched, and those with
+    the ``HUBS`` members nearest its centre.
+    """
+    starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+    sizes = np.diff(np.append(starts, len(key)))
+    short = np.repeat(sizes <= SHORT, sizes)
+    a, b = [], []
+    for d in range(1, min(SHORT, int(sizes.max()))):
+        i = np.flatnonzero((key[:-d] == key[d:]) & short[:-d])
+        i = i[_distance(f[i], f[i + d]) <= limit]
+        a.append(i)
+        b.append(i + d)
+    for s, n in zip(starts[sizes > SHORT], sizes[sizes > SHORT], strict=True):
+        left = np.arange(s, s + n)
+        while len(left) > 1:
+            members, frontier, left = [left[:1]], deque(left[:1].tolist()), left[1:]
+            while frontier and len(left):
+                i = frontier.popleft()
+                near = _distance(f[left], f[i]) <= limit
+                if near.any():
+                    new, left = left[near], left[~near]
+                    members.append(new)
+                    frontier.extend(new.tolist())
+                    a.append(new)
+                    b.append(np.full(len(new), i))
+            m = np.concatenate(members)
+            if len(m) > 2:
+                bits = np.unpackbits(f[m].view(np.uint8), axis=1)
+                center = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(m)).view(np.uint64)
+                for h in m[np.argsort(_distance(f[m], center), kind="stable")[:HUBS]]:
+                    new = m[(_distance(f[m], f[h]) <= limit) & (m != h)]
+                    a.append(new)
+                    b.append(np.full(len(new), h))
+    a, b = np.concatenate([*a, np.empty(0, np.int64)]), np.concatenate([*b, np.empty(0, np.int64)])
+    both = np.unique(np.stack([node[a], node[b]], axis=1)[node[a] != node[b]], axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def _edges(filed: DataFrame, lanes: list[str], limit: int, links=_links) -> DataFrame:
+    """a, b: what ``links`` gives for the runs of equal ``key``. ``filed`` has key, node and ``lanes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
 
         def out(table: np.ndarray) -> pa.RecordBatch:
-            x, y = _links(table[:, 0], table[:, 1], table[:, 2:].copy().view(np.uint64), limit)
+            x, y = links(table[:, 0], table[:, 1], table[:, 2:].copy().view(np.uint64), limit)
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
         for batch in batches:
@@ -295,23 +372,57 @@ def _file(nodes: DataFrame, keys, key_lanes: list[str], keep: list[str]) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), *[part.column(c).take(pa.array(both[:, 1])) for c in ["node", *keep]]], ["key", "node", *keep])
 
     cols = list(dict.fromkeys(["node", *key_lanes, *keep]))
-    return nodes.select(*cols).mapInArrow(run, ", ".join(["key long", "node long", *(f"{c} long" for c in keep)]))
+    return _spread(nodes.select(*cols)).mapInArrow(run, ", ".join(["key long", "node long", *(f"{c} long" for c in keep)]))
 
 
 def _spread(nodes: DataFrame) -> DataFrame:
-    """As many tasks as a shuffle has: filing makes many rows of one, so tasks must not be merged by their input's size."""
-    return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    """As many tasks as a shuffle has: filing makes many rows of one, so tasks must not be merged by their input's size.
 
+    By an expression of its own, as a shuffle by the column that the rows are dealt by already would be left out.
+    """
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return nodes.repartition(n, F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(n)))
 
-def link_exact(nodes: DataFrame) -> DataFrame:
-    """Edges between the distinct 64-bit fingerprints ``node`` that join all those at 3 or fewer differing bits, and no others."""
-    rows = nodes.select("node", F.col("node").alias("f"))
-    return _edges(_file(_spread(rows), lambda f: _exact_keys(f[:, 0]), ["f"], ["f"]), ["f"], 3)
 
+#: One in so many fingerprints tells which keys are hot, from so many of them on; and members of a hot key in a task.
+SAMPLED, HOT, DEALT = 32, 256, 4096
 
-def link_similar(nodes: DataFrame, key_lanes: list[str], lanes: list[str], limit: int) -> DataFrame:
-    """Edges that join nodes whose ``lanes`` differ in ``limit`` bits or fewer and that share a pair of Golay keys of ``key_lanes``."""
-    return _edges(_file(_spread(nodes), _pair_keys, key_lanes, lanes), lanes, limit)
+
+def _hot(nodes: DataFrame, keys, key_lanes: list[str], hot: int = HOT) -> DataFrame | None:
+    """key, parts: the keys of about ``hot * SAMPLED`` nodes or more, and the tasks to deal them to; None without such."""
+    few = nodes.where(F.pmod(F.xxhash64("node", F.lit(SEED + 1)), F.lit(SAMPLED)) == 0)
+    found = _file(few, keys, key_lanes, []).groupBy("key").count().where(F.col("count") >= hot)
+    found = common.stage(found.select("key", F.ceil(F.col("count") * (SAMPLED / DEALT)).cast("int").alias("parts")), "hot-keys")
+    return None if found.isEmpty() else found
+
+
+#: The segment that a key of each tag of ``_exact_keys`` leaves open.
+OPEN = [next(k for k in range(3) if k not in (i, j)) for i in range(3) for j in range(3) if i != j]
+
+
+def _dealt_exactly(filed: DataFrame, hot: DataFrame) -> DataFrame:
+    """``filed`` with hot keys made finer, without loss: under each of four parts of the segment they leave open, of which 3 bits leave one alone.
+
+    Keys of all three segments stay: their fingerprints differ in the balls of three codewords at most.
+    """
+    tag, f = F.shiftrightunsigned("key", 60), F.col("f")
+    parts = []
+    for quarter in range(4):
+        value = F.lit(0).cast("long")
+        for t, k in enumerate(OPEN):
+            at, n = SEGMENTS[k]
+            low, high = at + n * quarter // 4, at + n * (quarter + 1) // 4
+            value = F.when(tag == t, F.shiftrightunsigned(f, low).bitwiseAND((1 << (high - low)) - 1)).otherwise(value)
+        parts.append(F.xxhash64("key", F.lit(quarter), value))
+    finer = F.when(F.col("parts").isNull() | (tag == 6), F.array("key")).otherwise(F.array(*parts))
+    return filed.join(hot, "key", "left").select(F.explode(finer).alias("key"), "node", "f")
+
+
+def link_exact(nodes: DataFrame, hot: int = HOT) -> DataFrame:
+    """Edges between the distinct 64-bit fingerprints ``node`` that join all those at 3 or fewer differing bits, and no others."""
+    rows, keys = nodes.select("node", F.col("node").alias("f")), lambda f: _exact_keys(f[:, 0])
+    filed, busy = _file(rows, keys, ["f"], ["f"]), _hot(rows, keys, ["f"], hot)
+    return _edges(filed if busy is None else _dealt_exactly(filed, busy), ["f"], 3)
 
 
 def _with_components(marked: DataFrame, node: str, edges: DataFrame) -> DataFrame:
@@ -333,41 +444,96 @@ def components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_c
     and link like others. A null id never names a component; a component without
     ids has null.
     """
-    prints = common.stage(fingerprints(docs, [(shingle, 1, False)], id_col, text_col), "simhash").withColumnRenamed("f0_0", "fingerprint")
+    prints = common.stage(fingerprints(docs, [{"shingle": shingle}], id_col, text_col).drop("text_hash"), "simhash").withColumnRenamed("f0_0", "fingerprint")
     edges = link_exact(prints.select(F.col("fingerprint").alias("node")).distinct())
     return _with_components(prints, "fingerprint", edges)
 
 
-#: For texts of a similarity: lanes of the SimHash of distinct words that file them, and of distinct five-word shingles that compare them.
-KEY_LANES, LANES = 5, 8
+#: For similar texts: lanes of the SimHash of distinct shingles by which proposals are made, and SimHashes of samples.
+LANES, SAMPLES = 4, 16
 
 
 def bits_for(similarity: float, lanes: int = LANES) -> int:
-    """The most bits in which fingerprints may differ: those expected of shingle sets of that resemblance, and one deviation more.
+    """The most bits in which fingerprints of sets of that cosine differ, but for one pair in forty: the expected number and two deviations more."""
+    share, n = float(np.arccos(min(1.0, similarity))) / np.pi, 64 * lanes
+    return round(n * share + 2 * (n * share * (1 - share)) ** 0.5)
 
-    The margin is on the side of finding: at the threshold itself five of six
-    pairs link, a little below it fewer and fewer.
-    """
-    cosine = 2 * similarity / (1 + similarity)
-    share = float(np.arccos(min(1.0, cosine))) / np.pi
-    n = 64 * lanes
-    return round(n * share + (n * share * (1 - share)) ** 0.5)
 
+def _shingle_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """node, shingles array<long>: the distinct shingles of one text of each node in ``wanted``."""
+    reps = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("r"))
+    reps = reps.select("node", F.col("r.id").alias("__id"), F.col("r.text_hash").alias("__hash"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).cast("binary").alias("text"))
+    texts = texts.join(reps, texts["__id"].eqNullSafe(reps["__id"]) & (texts["__hash"] == reps["__hash"])).select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in pc.fill_null(part.column("text"), b"").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
-def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, component_id: documents of the resemblance (of sets of ``shingle`` words) ``similarity`` or more, as SimHash tells it.
 
-    The resemblance is estimated from ``64 * LANES`` bits, so pairs near the
-    threshold may fall on either side, and pairs that share no key are missed
-    (README has rates). Equal texts are always together, and blank texts are
-    too. Null ids as in ``components``.
+def _verified(proposed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b of ``proposed`` whose sets have a cosine of ``similarity`` or more.
+
+    The sets of a go along with the pairs and meet those of b, where many pairs may
+    share one: that side isn't moved on, and a large one is split by the join.
+    """
+    here = proposed.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = here.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common_ = F.size(F.array_intersect("x", "y")).cast("double")
+    # One multiplication on each side, no root: exact at the threshold.
+    return both.where(common_ * common_ >= similarity * similarity * F.size("x") * F.size("y") - 1e-9).select("a", "b")
+
+
+def _across(filed: DataFrame, hot: DataFrame, edges: DataFrame, limit: int, lanes: list[str], least: int) -> DataFrame:
+    """a, b: the members of hot keys beside the busiest node of each component with ``least`` or more members there, where they lie close and apart."""
+    labels = connected_components(edges).select(F.col("id").alias("node"), "component")
+    degree = edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
+    here = filed.join(hot.select("key"), "key", "left_semi")
+    here = common.stage(here.join(labels, "node", "left").join(degree, "node", "left"), "hot-members")
+    busiest = F.max(F.struct("degree", F.struct("node", *lanes).alias("hub"))).alias("top")
+    tops = here.where("component is not null").groupBy("key", "component").agg(F.count("*").alias("n"), busiest).where(F.col("n") >= least)
+    tops = tops.select("key", F.col("component").alias("of"), "top.hub")
+    bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"hub.{c}"))) for c in lanes), F.lit(0))
+    apart = ~F.col("component").eqNullSafe(F.col("of"))
+    return here.join(tops, "key").where(apart & (F.col("node") != F.col("hub.node")) & (bits <= limit)).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+
+
+def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """id, component_id: documents whose sets of ``shingle`` words have a cosine of ``similarity`` or more, together with those they reach.
+
+    No two documents are joined that such links don't join. Links are found with
+    high, not full, probability (README has rates). Texts with equal
+    fingerprints are taken as equal; blank texts are together. Null ids as in
+    ``components``. One row for each input row; no rows give none; other columns
+    are ignored.
     """
-    prints = fingerprints(docs, [(1, KEY_LANES, True), (shingle, LANES, True)], id_col, text_col)
-    prints = common.stage(prints, "simhash")
-    key_lanes, lanes = [f"f0_{k}" for k in range(KEY_LANES)], [f"f1_{k}" for k in range(LANES)]
+    specs = [{"shingle": 1, "distinct": True}, {"shingle": shingle, "distinct": True, "lanes": LANES, "samples": SAMPLES}]
+    prints = common.stage(fingerprints(docs, specs, id_col, text_col), "simhash")
+    lanes, samples = [f"f1_{k}" for k in range(LANES)], [f"f1_{LANES + k}" for k in range(SAMPLES)]
+    key_lanes = ["f0_0", *samples]
     prints = prints.withColumn("node", F.xxhash64(*key_lanes, *lanes))
     nodes = prints.dropDuplicates(["node"]).select("node", *key_lanes, *lanes)
-    edges = link_similar(nodes, key_lanes, lanes, bits_for(similarity))
+    filed, busy, limit = _file(nodes, _similar_keys, key_lanes, lanes), _hot(nodes, _similar_keys, key_lanes, hot), bits_for(similarity)
+    dealt = filed
+    if busy is not None:
+        part = F.pmod(F.xxhash64("node", "key"), F.col("parts"))
+        dealt = filed.join(busy, "key", "left").withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", part))).drop("parts")
+    proposed = common.stage(_edges(dealt, lanes, limit, _proposals).distinct(), "proposed")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+        sets = common.stage(_shingle_sets(docs, prints, wanted, shingle, id_col, text_col), "shingle-sets")
+        return common.stage(_verified(pairs, sets, similarity), "verified")
+
+    edges = checked(proposed)
+    if busy is not None:
+        more = common.stage(_across(filed, busy, edges, limit, lanes, hot * SAMPLED // 8), "proposed-across")
+        edges = edges.unionAll(checked(more))
     return _with_components(prints.select("id", "node"), "node", edges).select("id", "component_id")
 
 
@@ -388,6 +554,11 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", t
 
 
 def op5_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint and component of every document."""
+    """doc_id, fingerprint, component_id of every document.
+
+    Null, empty and blank texts have fingerprint zero and link like others;
+    repeated rows and ids stay; no documents give no rows; other columns are
+    ignored.
+    """
     rows = components(common.documents(spark, sf_dir))
     return rows.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

@@ -106,3 +106,81 @@ def test_similar_texts_are_found(spark):
     got = {r.id: r.component_id for r in simhash.similar_components(docs).collect()}
     assert sum(got[2 * i + 1] == 2 * i for i in range(pairs)) >= 0.95 * pairs
     assert all(c in (i, i - 1) for i, c in got.items())
+
+
+def cosine(a, b):
+    return len(a & b) / (len(a) * len(b)) ** 0.5 if a and b else float(a == b)
+
+
+def test_similar_components_against_all_pairs(spark):
+    """Every document of the small table against every other: no wrong join, nine in ten of the links between different texts at least."""
+    docs = spark.read.parquet(f"{sf('sf0.01')}/documents.parquet")
+    sets = {r.doc_id: set(simhash.shingle_hashes((r.text or "").encode(), 5).tolist()) for r in docs.collect()}
+    ids, holders = sorted(sets), {}
+    for i in ids:
+        for h in sets[i]:
+            holders.setdefault(h, []).append(i)
+    near = {(a, b) for x in holders.values() for b in x for a in x if a < b and cosine(sets[a], sets[b]) >= 0.8}
+    label = {i: i for i in ids}
+    for a, b in sorted(near):
+        if label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = {i: low if c == high else c for i, c in label.items()}
+    got = {r.id: r.component_id for r in simhash.similar_components(docs).collect()}
+    blank = {i for i in ids if not sets[i]}
+    assert all(label[got[i]] == label[i] for i in set(ids) - blank) and len({got[i] for i in blank}) <= 1
+    different = [(a, b) for a, b in near if sets[a] != sets[b]]
+    assert len(different) > 20 and sum(got[a] == got[b] for a, b in different) >= 0.9 * len(different)
+    assert all(got[a] == got[b] for a, b in near if sets[a] == sets[b])
+
+
+def passages(rng, n, words=200, cut=14):
+    """A base text and ``n`` texts with one passage of it replaced: each is near the base, hardly any two are near each other."""
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    texts = [" ".join(base)]
+    for i in range(n):
+        at = rng.randrange(words - cut)
+        texts.append(" ".join([*base[:at], *(f"n{i}x{k}" for k in range(cut)), *base[at + cut :]]))
+    return texts
+
+
+def test_large_group_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "DEALT", 64)
+    texts = passages(random.Random(5), 1500)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    calls, real = [], simhash._across
+    monkeypatch.setattr(simhash, "_across", lambda *a: calls.append(a) or real(*a))
+    got = [r.component_id for r in simhash.similar_components(docs, hot=4).collect()]
+    assert calls and got.count(0) >= 0.97 * len(texts)
+    # Few edges for each member, never all pairs.
+    edges = simhash._proposals(np.zeros(len(texts), np.int64), np.arange(len(texts)), simhash.simhash([t.encode() for t in texts], 5, simhash.LANES, distinct=True), simhash.bits_for(0.8))
+    assert len(edges[0]) <= (1 + simhash.HUBS) * len(texts)
+
+
+def test_hot_keys_lose_no_exact_link(spark):
+    rng = np.random.default_rng(9)
+    base = np.uint64(0x0123456789ABCDEF)
+    f = [base]
+    for _ in range(4000):
+        g = f[rng.integers(0, len(f))]
+        for b in rng.integers(0, 64, rng.integers(1, 4)):
+            g = g ^ (np.uint64(1) << np.uint64(b))
+        f.append(g)
+    f = np.unique(np.array(f, np.uint64))[::2]
+    df = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "node long")
+    assert simhash._hot(df, lambda x: simhash._exact_keys(x[:, 0]), ["node"], 2) is not None
+    number = {int(x): i for i, x in enumerate(f.view(np.int64))}
+    expected = brute_components(dict(enumerate(f.tolist())))
+    for hot in (2, 10**9):
+        groups = {}
+        for r in simhash.connected_components(simhash.link_exact(df, hot)).collect():
+            groups.setdefault(r.component, []).append(number[r.id])
+        found = {i: min(g) for g in groups.values() for i in g}
+        assert all(found.get(i, i) == c for i, c in expected.items())
+
+
+def test_filing_runs_in_as_many_tasks_as_a_shuffle(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nodes = spark.range(50_000).selectExpr("xxhash64(id) AS node").distinct()
+    filed = simhash._file(nodes, lambda f: simhash._exact_keys(f[:, 0]), ["node"], [])
+    assert filed.rdd.getNumPartitions() == n
