@@ -38,12 +38,59 @@ def test_clusters_ties_and_pruning():
         assert d.max() <= tree.radius[i] + 1e-9
     q = ids % 20 == 0
     best = topk.Best(topk.CoverTree.build(ids[q], v[q]), 20)
-    done = topk.search(best, tree)
-    assert done < 0.7 * q.sum() * 1500
+    seen, pruned, done = topk.search(best, tree)
+    assert seen > pruned > 0 and done < 0.7 * q.sum() * 1500
     got = {(int(a), r + 1, int(b), int(s)) for a, row, sc in zip(best.queries.ids, best.ids, best.scores, strict=True) for r, (b, s) in enumerate(zip(row, sc, strict=True))}
     assert got == brute(ids, v, 20)
 
 
+def test_every_node_is_split(spark):
+    """On the real table, whose vectors are spread evenly: centres further apart than what they cover, and real levels."""
+    rows = topk.quantized(spark.read.parquet(f"{sf('sf0.1')}/embeddings.parquet"))
+    blocks = topk.index(topk.placed(rows, topk.pivots(rows))).collect()
+    assert sum(len(b.ids) for b in blocks) == 2000 and max(len(b.radius) for b in blocks) > 20
+    for b in blocks:
+        v = np.frombuffer(b.vectors).reshape(len(b.ids), b.dim)
+        for i in range(len(b.radius)):
+            assert b.children[i] or b.last[i] - b.first[i] <= topk.LEAF or b.radius[i] == 0
+            under = range(b.child[i], b.child[i] + b.children[i])
+            assert all(b.radius[j] <= b.radius[i] + 1e-9 for j in under)
+            centers = v[[b.center[j] for j in under]]
+            apart = np.sqrt(((centers[:, None] - centers[None]) ** 2).sum(axis=2))
+            assert not len(centers) or apart[~np.eye(len(centers), dtype=bool)].min() >= max(b.radius[j] for j in under) - 1e-9
+
+
+def test_large_components(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(0, 1, (90, 5)) * 10.0 ** rng.integers(0, 13, (90, 1))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    whole = [[int(np.floor(64 * x)) for x in r] for r in v.tolist()]
+    want = set()
+    for q in range(0, 90, 20):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in enumerate(whole) if i != q)[:20]
+        want |= {(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(scores)}
+    got = {tuple(r) for r in topk.top_k(topk.quantized(df), F.col("id") % 20 == 0, 20).collect()}
+    assert {g[:2] + g[3:] for g in got} == {w[:2] + w[3:] for w in want}
+    small = {w for w in want if abs(w[3]) < 2**63 - 1}
+    assert small <= got
+
+
+def test_pairs_of_blocks_are_pruned(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centers = rng.normal(0, 1, (8, 8))
+    v = centers[rng.integers(0, 8, 6000)] * rng.uniform(0.9, 1.1, (6000, 1)) + rng.normal(0, 0.02, (6000, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "BLOCK", 128)
+    met, real = [], topk._searched
+    monkeypatch.setattr(topk, "_searched", lambda pairs, *a: met.append(pairs.count()) or real(pairs, *a))
+    rows = topk.quantized(df)
+    monkeypatch.setattr(topk, "WAVE", 1)
+    got = {tuple(r) for r in topk.top_k(rows, F.col("id") % 2 == 0, 20).collect()}
+    blocks = -(-3000 // 128), -(-6000 // 128)
+    assert len(met) == 2 and sum(met) < 0.6 * blocks[0] * blocks[1]
+    assert {g for g in got if g[0] % 20 == 0} == brute(np.arange(6000), np.floor(64 * v), 20)
+
+
 def test_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (20, [0.5, -1.0]), (1, None), (2, [1.0, None]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, 2.0]), (5, [1.0, 2.0]), (None, [1.0, 1.0]), (6, [1.0, 2.0, 3.0]), (7, []), (40, [])]
