@@ -1,10 +1,14 @@
 """Secret scans with multipart credential linking, in DataFrame operations only.
 
 Regular expressions find parts in each text: sure secrets (the base kinds), and
-weak parts: names of accounts, unnamed secret-like strings, endpoints. A weak
-part alone is noise, so it is reported only when its complement lies in the same
-scope: a secret-like string within ``SCOPE`` code points of an account name, an
-access key or an endpoint; an account name within that of a secret.
+weak parts: names of accounts, unnamed random-looking strings, endpoints. A weak part alone is noise, so it is reported only when its complement
+lies in the same scope, ``SCOPE`` code points around it: a random string beside an
+access key, an account name or an endpoint; an account name or an endpoint beside
+a secret or a random string.
+
+What lies within an endpoint, a path or a file name is no part of its own, so a
+link's address never stands for a credential. A random string has small letters,
+capitals and digits in such short runs as words and product codes don't have.
 
 That interval join is done by sorting: per document the parts are put in order
 of position, and running maxima of ends (and, in reverse order, minima of
@@ -29,15 +33,24 @@ KINDS = {
     "access": (1, r"AKIA[A-Z0-9]{16}", r"AKIA[A-Z0-9]+", 0, 20, "name"),
     "hex": (2, r"[0-9a-f]{24}", r"[0-9a-f]{24,}", 0, 24, "secret"),
     "account": (3, r"(?i)(?:key_?id|client_?id|account|user|login)[a-z_]*[\"']?\x20*[:=]", r"""(?i)(?:access_?key_?id|client_?id|account|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", 0, 1, "weak name"),
-    "opaque": (4, r"[A-Za-z0-9+/_=-]{16}", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[A-Z0-9+/_=-]*[a-z])(?=[a-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{16,}", 0, 16, "weak secret"),
-    "endpoint": (5, r"://|[0-9]\.[0-9]", r"""[a-z][a-z0-9+]*://[^\x20\x09-\x0D"'<>]+|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?![0-9.])""", 0, 1, "endpoint"),
+    "opaque": (4, r"[A-Za-z0-9+_=-]{16}", r"(?<![A-Za-z0-9+_=/\\.%&?#@-])[A-Za-z0-9+_=-]{16,}+(?![/\\@]|[.:][A-Za-z0-9])", 0, 16, "weak secret"),
+    "endpoint": (5, r"://|[0-9]\.[0-9]", r"""[A-Za-z][A-Za-z0-9+.-]*://[^\x20\x09-\x0D"'<>]+|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?![0-9.])""", 0, 1, "endpoint"),
 }
 BASE = ("assign", "access", "hex")
 
 
+def _random(match: Column) -> Column:
+    """Whether a string has two small letters, capitals and digits at least, in runs of two on average at most."""
+    letters = F.regexp_replace(match, F.lit("[^A-Za-z0-9]"), F.lit(""))
+    runs = F.regexp_count(match, F.lit("[a-z]+|[A-Z]+|[0-9]+"))
+    mixed = [F.regexp_count(match, F.lit(c)) >= 2 for c in ("[a-z]", "[A-Z]", "[0-9]")]
+    return mixed[0] & mixed[1] & mixed[2] & (runs * 2 >= F.char_length(letters))
+
+
 def _pieces(text: Column, kind: str) -> Column:
     """Per match of a kind: its order, its number, the length of the piece before it, its length, whether it counts."""
     order, test, regex, group, least, _ = KINDS[kind]
+    right = {"opaque": _random}.get(kind, lambda m: F.lit(True))
     r = F.lit(regex)
     match = F.regexp_extract_all(text, r, F.lit(0))
     measured = F.regexp_extract_all(text, r, F.lit(group)) if group else match
@@ -48,7 +61,7 @@ def _pieces(text: Column, kind: str) -> Column:
             i.alias("n"),
             F.char_length(x["p"]).alias("gap"),
             F.coalesce(F.char_length(x["m"]), F.lit(0)).alias("len"),
-            F.coalesce(F.char_length(x["g"]) >= least, F.lit(False)).alias("ok"),
+            F.coalesce((F.char_length(x["g"]) >= least) & right(x["m"]), F.lit(False)).alias("ok"),
         ),
     )
     none = F.array().cast("array<struct<kind:int,n:int,gap:int,len:int,ok:boolean>>")
@@ -68,8 +81,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     never overlap a base span. Texts of any length are searched whole. Columns
     that aren't asked for are ignored, so their names can't clash.
     """
+    return _scan(docs, text_col, F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(c) for c in keep])).select("row.*", "found")
+
+
+def _scan(docs: DataFrame, text_col: str, whole: Column) -> DataFrame:
+    """row and found: ``whole`` and the spans of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    whole = F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(c) for c in keep])
     # A row of kind -1 stands for the document itself, so that one without parts stays.
     own = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("n"), F.lit(0).alias("gap"), F.lit(0).alias("len"), F.lit(False).alias("ok")))
     parts = docs.select(F.monotonically_increasing_id().alias("uid"), whole.alias("row"), F.concat(own, *[_pieces(text, k) for k in KINDS]).alias("parts"))
@@ -82,27 +99,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     left = Window.partitionBy("uid").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     right = Window.partitionBy("uid").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def ends(cond: Column) -> Column:
-        return F.max(F.when(cond, F.col("end"))).over(left)
-
-    def starts(cond: Column) -> Column:
-        return F.min(F.when(cond, F.col("start"))).over(right)
-
-    base = _is("secret|name")
-    for_secret, for_name = _is("name|weak name|endpoint"), _is("secret|weak secret")
-    for_access = {"base": base, "secret": for_secret, "name": for_name}
-    parts = parts.select("*", *[ends(c).alias(f"{k}_end") for k, c in for_access.items()])
-    parts = parts.select("*", *[starts(c).alias(f"{k}_start") for k, c in for_access.items()])
+    def beside(parts: DataFrame, roles: dict[str, Column]) -> DataFrame:
+        ends = {f"{k}_end": F.max(F.when(c, F.col("end"))).over(left) for k, c in roles.items()}
+        starts = {f"{k}_start": F.min(F.when(c, F.col("start"))).over(right) for k, c in roles.items()}
+        return parts.select("*", *[c.alias(k) for k, c in ends.items()]).select("*", *[c.alias(k) for k, c in starts.items()])
 
     def near(k: str, scope: int) -> Column:
         return F.coalesce(F.col(f"{k}_end") > F.col("start") - scope, F.lit(False)) | F.coalesce(F.col(f"{k}_start") < F.col("end") + scope, F.lit(False))
 
-    linked = ~near("base", 0) & ((_is("weak secret") & near("secret", SCOPE)) | (_is("weak name") & near("name", SCOPE)))
+    base, weak = _is("secret|name"), _is("weak secret|weak name")
+    parts = beside(parts, {"base": base, "address": _is("endpoint")})
+    hidden = (weak & near("address", 0)) | ((weak | _is("endpoint")) & near("base", 0))
+    parts = parts.where(~hidden).drop("base_end", "base_start", "address_end", "address_start")
+    parts = beside(parts, {"secret": _is("secret|weak secret"), "part": _is("name|weak name|endpoint")})
+    linked = (_is("weak secret") & near("part", SCOPE)) | (_is("weak name|endpoint") & near("secret", SCOPE))
     span = F.struct("start", "kind", "end", base.alias("base"))
     return (
         parts.groupBy("uid")
         .agg(F.max_by("row", F.col("row").isNotNull()).alias("row"), F.sort_array(F.collect_list(F.when(base | linked, span))).alias("found"))
-        .select("row.*", "found")
+        .select("row", "found")
     )
 
 
@@ -112,17 +127,18 @@ def _joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with each found span replaced by ``mark``; texts without spans stay as they are, null ones null.
+    """``docs`` with each secret and each name that goes with one replaced by ``mark``; endpoints stay.
 
-    Overlapping spans are replaced together. ``chars_col`` is set to the new
-    length where the text changed.
+    Texts without spans stay as they are, null ones null. Overlapping spans are
+    replaced together. ``chars_col``, where there is one, is set to the new length
+    where the text changed. Repeated rows and ids each stay, as do all columns,
+    whatever their names; no rows give none.
     """
-    others = tuple(c for c in docs.columns if c != id_col)
-    found = scan(docs, id_col, text_col, keep=others)
-    text = F.col(text_col)
+    found = _scan(docs, text_col, F.struct(*[F.col(c) for c in docs.columns]))
+    text, spans = F.col("row")[text_col], F.filter("found", lambda s: s["kind"] != KINDS["endpoint"][0])
     # Before each span: what lies between the furthest end so far and its start.
     merged = F.aggregate(
-        "found",
+        spans,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
@@ -130,23 +146,24 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
         ),
         lambda acc: F.concat(F.array_join(acc["out"], mark), F.lit(mark), F.substring(text, acc["at"] + 1, F.char_length(text) - acc["at"])),
     )
-    changed = F.size("found") > 0
-    out = found.withColumn("__text", F.when(changed, merged).otherwise(text))
+    changed = found.select("row", F.when(F.size(spans) > 0, merged).alias("changed"))
     picked = []
     for c in docs.columns:
-        if c == id_col:
-            picked.append(F.col("id").alias(c))
-        elif c == text_col:
-            picked.append(F.col("__text").alias(c))
+        own = F.col("row")[c]
+        if c == text_col:
+            own = F.coalesce("changed", own)
         elif c == chars_col:
-            picked.append(F.when(changed, F.char_length("__text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
-        else:
-            picked.append(F.col(c))
-    return out.select(*picked)
+            own = F.coalesce(F.char_length("changed"), own).cast(docs.schema[c].dataType)
+        picked.append(own.alias(c))
+    return changed.select(*picked)
 
 
 def op8_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and digests of the base spans and the text of all spans, per document."""
+    """doc_id, counts and digest of the base spans, and all spans, for every document.
+
+    Null and empty texts have none; repeated rows and ids stay; no documents give
+    no rows; other columns are ignored.
+    """
     found = scan(common.documents(spark, sf_dir))
     base = F.filter("found", lambda s: s["base"])
 
