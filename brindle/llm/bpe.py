@@ -9,11 +9,18 @@ hundred thousand words takes some tens of rounds, whatever it holds.
 The vocabulary is read by each Python worker from a path that is a parameter; it
 must be a byte-level BPE with word ends (``</w>``), lower case, as in
 ``word_bpe_49k.json``.
+
+Words are cut by the vocabulary's own pattern. Some characters are letters or marks
+to the tokenizers library and not to Python, whose tables are of other Unicode
+versions, or the other way round; the library's normalizer and pre-tokenizer are
+asked to cut the words that hold such characters. For all others the tables agree,
+which tests show for every code point there is.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,8 +47,41 @@ def byte_letters() -> list[str]:
     return [letter[b] for b in range(256)]
 
 
+@lru_cache(maxsize=2)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def unsettled(path: str) -> re.Pattern:
+    """Any character that Python's tables and the library's may tell apart.
+
+    Those are the ones Python has no entry for, and the marks and parts of
+    composed letters that the library's normalizer doesn't order or compose alike.
+    """
+    normal, codes = _library(path).normalizer.normalize_str, set()
+    for i in range(0x110000):
+        c = chr(i)
+        kind, parts = unicodedata.category(c), unicodedata.decomposition(c)
+        if kind == "Cn":
+            codes.add(i)
+        elif kind[0] == "M" and unicodedata.combining(c):
+            # The mark of the first string has the highest class but one, that of the second the lowest.
+            alike = [normal(x) == unicodedata.normalize("NFC", x).lower() for x in (f"\u0345{c}", f"{c}\u0334")]
+            codes |= set() if all(alike) else {i}
+        elif parts and parts[0] != "<":
+            whole = "".join(chr(int(x, 16)) for x in parts.split())
+            codes |= set() if normal(whole) == unicodedata.normalize("NFC", whole).lower() else {i, *map(ord, whole)}
+    codes = np.array(sorted(codes))
+    runs = np.split(codes, np.flatnonzero(np.diff(codes) > 1) + 1)
+    return re.compile("[" + "".join(f"\\U{x[0]:08x}-\\U{x[-1]:08x}" for x in runs) + "]")
+
+
 class Bpe:
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, split = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0]
@@ -56,6 +96,7 @@ class Bpe:
         self.words = regex.compile(split["pattern"]["Regex"] + r"|\n")
         self.specials = regex.compile("(" + "|".join(sorted(map(regex.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
         letters = byte_letters()
+        self.byte_of = {x: i for i, x in enumerate(letters)}
         self.first = np.array([vocab[x] for x in letters], np.int64)
         self.last = np.array([vocab[x + self.end] for x in letters], np.int64)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -86,10 +127,18 @@ class Bpe:
                     out += [self.special[part]] if part in self.special else self.cut([part])[:-1]
                 out.append("\n")
             return out
+        if not text.isascii() and (strange := unsettled(self.path)).search(text):
+            return [p for w in words for p in [*(self._asked(w) if strange.search(w) else self.cut([w])[:-1]), "\n"]]
         # One letter at a time: a capital sigma never becomes a final one.
         low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return self.words.findall(low)
 
+    def _asked(self, word: str) -> list[str]:
+        """A word's pieces as the library cuts it; it gives them as letters that stand for bytes."""
+        library = _library(self.path)
+        cut = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(word))
+        return [bytes(self.byte_of[x] for x in piece).decode() for piece, _ in cut]
+
     def merge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces in a row, and how many each has."""
         pieces = [t.encode() for t in texts]
@@ -193,7 +242,11 @@ def digest(ids: Column) -> Column:
 
 
 def op6_numpy_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every text's ids and of what they decode to."""
+    """doc_id, token count and digests of every text's ids and of what they decode to.
+
+    Null and empty texts have no ids and decode to the empty string; repeated rows
+    and ids stay; no documents give no rows; other columns are ignored.
+    """
     rows = encode(common.documents(spark, sf_dir), vocabulary(), decoded=True)
     return rows.select(
         F.col("id").alias("doc_id"),

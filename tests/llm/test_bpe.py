@@ -23,8 +23,8 @@ def library():
 
 
 def test_query_equals_library(spark, library):
-    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf()}/documents.parquet").collect()}
-    rows = bpe.op6_numpy_bpe(spark, sf()).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf('sf0.01')}/documents.parquet").collect()}
+    rows = bpe.op6_numpy_bpe(spark, sf("sf0.01")).collect()
     assert len(rows) == len(texts)
     for r in rows:
         ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
@@ -35,7 +35,7 @@ def test_query_equals_library(spark, library):
 
 def test_random_texts(library):
     rng = random.Random(5)
-    letters = ["'", "s", "t", "A", "é", "́", "̧", " ", "\n", "1", "!", "<|endoftext|>", "ll", "re", "Σ", "\x1f", "日", "aaa", "\t"]
+    letters = ["\u07fd", "\U00011935", "\U00011930", "\u1e9e", "'", "s", "t", "A", "é", "́", "̧", " ", "\n", "1", "!", "<|endoftext|>", "ll", "re", "Σ", "\x1f", "日", "aaa", "\t"]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["a" * 20_000, "<|startoftext|>" * 9]
     own = bpe.Bpe(bpe.vocabulary())
     pool = WordPool(PieceCache(own.cut, own.merge, limit=400), limit=500)
@@ -46,6 +46,20 @@ def test_random_texts(library):
             assert flat[e - k : e].tolist() == x.ids
 
 
+@pytest.mark.parametrize("around", ["a{}b", "!{}1{}", "{}'S \u0301{}", "\u0345{}\u0301{}\u0334"])
+def test_every_code_point_equals_library(library, around):
+    """Letters, digits, blanks and cases as in the library's tables, whatever Unicode version Python has."""
+    own = bpe.Bpe(bpe.vocabulary())
+    pool = WordPool(PieceCache(own.cut, own.merge))
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(codes), 100_000):
+        texts = [around.format(chr(c), chr(c)) for c in codes[at : at + 100_000]]
+        flat, n = pool(texts)
+        lists = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert n.tolist() == [len(x) for x in lists]
+        assert flat.tolist() == [i for x in lists for i in x]
+
+
 def test_awkward(awkward, empty, library):
     assert bpe.encode(empty, bpe.vocabulary()).count() == 0
     rows = bpe.encode(awkward, bpe.vocabulary(), decoded=True).collect()

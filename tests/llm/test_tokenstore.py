@@ -20,14 +20,35 @@ def expected(texts):
 
 
 def test_query_equals_library(spark):
-    docs = spark.read.parquet(f"{sf()}/documents.parquet").orderBy("doc_id").collect()
-    rows = sorted(map(tuple, tokenstore.op3_content_addressed_store(spark, sf()).collect()))
+    docs = spark.read.parquet(f"{sf('sf0.01')}/documents.parquet").orderBy("doc_id").collect()
+    rows = sorted(map(tuple, tokenstore.op3_content_addressed_store(spark, sf("sf0.01")).collect()))
     start = 0
     for d, ids, row in zip(docs, expected([d.text or "" for d in docs]), rows, strict=True):
         assert row == (d.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
 
 
+def test_encoder_equals_library():
+    """Whole texts of the largest table, every code point up to those that are left to the library, and words of mixed letters."""
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = random.Random(7)
+    _, encode = tokenstore._encoder(vocabulary())
+    texts = [t or "" for t in pq.read_table(f"{sf('sf0.1')}/documents.parquet", columns=["text"])["text"].to_pylist()]
+    some = [chr(c) for c in range(ord(tokenstore.LATIN) + 0x60)]
+    texts += [around.format(c, c) for c in some for around in ("{}", "a{}b", "1{}'S{}", " {}\u0301 ", "!{}?", "A{}\u0327{}B")]
+    some += list("'stSTΣσİß\u0301\u0327\u030a 123<|>") + ["<|endoftext|>", "日", "\U0001f600", "ﬁ", "\u2028"]
+    texts += ["".join(rng.choices(some, k=rng.randint(1, 30))) for _ in range(20_000)]
+    for at in range(0, len(texts), 5_000):
+        flat, n = encode(pa.array(texts[at : at + 5_000]))
+        want = [x[:-1] for x in expected(texts[at : at + 5_000])]
+        assert n.tolist() == [len(x) for x in want]
+        assert flat.tolist() == [i for x in want for i in x]
+
+
 def test_awkward_and_damage(spark, awkward, empty, tmp_path):
     store = str(tmp_path / "a")
     tokenstore.write(awkward, store, vocabulary())
