@@ -45,8 +45,10 @@ def _hashes(word_hashes: Column, shingle: int) -> Column:
 def sketch(df: DataFrame, text: Column, name: str, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
     """``df`` with the sketch of ``text`` as array<long>, ascending. Null, empty and blank texts: the empty array.
 
-    Letters are compared in lower case. Each step is a projection of its own, so
-    that no array is computed twice.
+    Letters are compared in lower case. A shingle that a text repeats counts once, so
+    there are no ties; repeated rows have equal sketches; other columns stay, ``name``
+    is replaced. Each step is a projection of its own, so that no array is computed
+    twice.
     """
     w, h, s = f"__{name}_words", f"__{name}_hashes", f"__{name}_shingles"
     return (
@@ -116,14 +118,20 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, cols: list[str], id_col: str = "doc_id", per_interval: int = 16) -> DataFrame:
+#: Rows of a bucket of ``with_next``, at most about so many where ids are spread evenly within a 64th of the rows.
+BUCKET = 2_000
+
+
+def with_next(docs: DataFrame, cols: list[str], id_col: str = "doc_id") -> DataFrame:
     """``docs`` with ``next_<col>`` for each of ``cols``: the values of the next row by ascending id, after the last the first.
 
-    Null ids come first; rows with equal ids are ordered by ``cols``. Rows go to
-    buckets that follow the id order and are sorted within them, one shuffle;
-    only each bucket's first row is looked up from the bucket before it.
+    Null ids come first; rows with equal ids are ordered by ``cols``. Repeated rows
+    follow each other; a single row follows itself; no rows give none. Other columns
+    stay. Rows go to buckets that follow the id order, as many as the rows need, and
+    are sorted within them, one shuffle; only each bucket's first row is looked up
+    from the bucket before it.
     """
-    b = docs.withColumn("__b", common.id_buckets(docs, id_col, per_interval))
+    b = docs.withColumn("__b", common.id_buckets(docs, id_col, max(16, -(-docs.select(id_col).count() // (64 * BUCKET)))))
     order = [F.col(id_col).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in cols if docs.schema[c].dataType.typeName() != "array"]]
     w = Window.partitionBy("__b").orderBy(*order)
     value = F.struct(*cols)
@@ -140,7 +148,12 @@ def with_next(docs: DataFrame, cols: list[str], id_col: str = "doc_id", per_inte
 
 
 def op1_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's fingerprint beside those of its edited text and of the next document."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, kept_in_edited of every document.
+
+    Null texts count as empty; texts without words have the empty fingerprint, and
+    two of them are 1 alike. Equal ids are ordered by text, null ids come first; no
+    documents give no rows; other columns are ignored.
+    """
     docs = common.documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = sketch(docs, F.col("text"), "own")
     pairs = with_next(docs, ["text", "own"]).withColumn("n_chars", F.char_length("text").cast("long"))

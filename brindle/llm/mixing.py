@@ -65,14 +65,16 @@ def plan(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats, taken: how often the mix takes each document.
+    """doc_id, source, size, source_size, target, repeats, taken and ``keep``: how often the mix takes each document.
 
     ``size`` is the number of words, 0 for a null or blank text. A null source
     is a source of its own, a null id sorts as the empty string, equal ids are
     ordered by size, repeated rows each count. A source without words has target
-    0. No input rows: no output rows. Other columns are ignored. ``buckets`` is
-    a power of 16.
+    0. No input rows: no output rows. Columns that aren't asked for are ignored;
+    those of ``keep`` have other names than the result's. ``buckets`` is a power
+    of 16.
     """
     digits = len(f"{buckets - 1:x}")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key")
@@ -82,6 +84,7 @@ def plan(
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"),
             key,
+            *keep,
         ),
         "mix-sizes",
     )
@@ -102,23 +105,31 @@ def plan(
     middle = (F.col("offset") + F.col("upto") - F.col("size")).cast("double") + F.col("size") / 2.0
     extra = (F.col("whole") < max_epochs) & (middle <= F.col("target") - F.col("whole") * F.col("source_size"))
     both = both.withColumn("repeats", F.col("whole") + extra.cast("long"))
-    return both.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"), *keep)
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as ``plan`` says.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as ``plan`` says; ``how`` are its other parameters.
 
-    ``docs`` needs unique ids here, as the plan is joined back by id; rows with
-    a null id or without words are left out, for they add nothing to a mix.
+    Every row takes part by itself: null ids and rows that share an id or are the
+    same throughout are mixed like others. Rows without words are left out, for
+    they add nothing to a mix. Other columns come along, whatever their names; no
+    rows give none.
     """
-    id_col = how.get("id_col", "doc_id")
-    repeats = plan(docs, **how).where("repeats > 0 and size > 0").select(F.col("doc_id").alias("__id"), "repeats")
-    joined = docs.join(repeats, F.col(id_col) == F.col("__id"))
-    return joined.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*[docs[c] for c in docs.columns])
+    # Rows are numbered once and written, so that the plan finds them again.
+    numbered = common.stage(docs.select(F.monotonically_increasing_id().alias("row_number"), F.struct(*docs.columns).alias("row")), "mix-rows")
+    flat = numbered.select("row_number", *[F.col("row")[c].alias(n) for n, c in (("doc_id", id_col), ("text", text_col), ("source", source_col))])
+    repeats = plan(flat, **how, keep=("row_number",)).where("repeats > 0 and size > 0").select("row_number", "repeats")
+    joined = numbered.join(repeats, "row_number").select("row", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op10_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its source's target and the words the mix takes from it."""
+    """doc_id, size, source_size, target, taken: every document with its source's target and the words the mix takes from it.
+
+    Null texts have size 0, null sources are one source, repeated rows and ids each
+    count; no documents give no rows; other columns are ignored.
+    """
     return plan(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 

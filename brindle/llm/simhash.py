@@ -459,10 +459,9 @@ def bits_for(similarity: float, lanes: int = LANES) -> int:
     return round(n * share + 2 * (n * share * (1 - share)) ** 0.5)
 
 
-def _shingle_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """node, shingles array<long>: the distinct shingles of one text of each node in ``wanted``."""
-    reps = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("r"))
-    reps = reps.select("node", F.col("r.id").alias("__id"), F.col("r.text_hash").alias("__hash"))
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """node, shingles array<long>: the distinct shingles of the text that stands for each node in ``wanted``."""
+    reps = nodes.join(wanted, "node", "left_semi").select("node", F.col("text.id").alias("__id"), F.col("text.text_hash").alias("__hash"))
     texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).cast("binary").alias("text"))
     texts = texts.join(reps, texts["__id"].eqNullSafe(reps["__id"]) & (texts["__hash"] == reps["__hash"])).select("node", "text")
 
@@ -517,7 +516,8 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     lanes, samples = [f"f1_{k}" for k in range(LANES)], [f"f1_{LANES + k}" for k in range(SAMPLES)]
     key_lanes = ["f0_0", *samples]
     prints = prints.withColumn("node", F.xxhash64(*key_lanes, *lanes))
-    nodes = prints.dropDuplicates(["node"]).select("node", *key_lanes, *lanes)
+    # Written, so that what follows meets each fingerprint once, however many copies it has.
+    nodes = common.stage(prints.groupBy("node", *key_lanes, *lanes).agg(F.min(F.struct("id", "text_hash")).alias("text")), "fingerprints")
     filed, busy, limit = _file(nodes, _similar_keys, key_lanes, lanes), _hot(nodes, _similar_keys, key_lanes, hot), bits_for(similarity)
     dealt = filed
     if busy is not None:
@@ -527,7 +527,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
 
     def checked(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-        sets = common.stage(_shingle_sets(docs, prints, wanted, shingle, id_col, text_col), "shingle-sets")
+        sets = common.stage(_shingle_sets(docs, nodes, wanted, shingle, id_col, text_col), "shingle-sets")
         return common.stage(_verified(pairs, sets, similarity), "verified")
 
     edges = checked(proposed)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -38,7 +39,24 @@ def test_mix_awkward(awkward, empty):
     rows = mixing.plan(awkward).collect()
     assert len(rows) == len(AWKWARD) + 2
     assert all(r.taken <= 3 * r.size for r in rows)
-    assert mixing.mix(awkward.where("doc_id is not null").dropDuplicates(["doc_id"])).columns == awkward.columns
+    mixed = mixing.mix(awkward)
+    assert mixed.columns == awkward.columns and mixing.mix(empty).count() == 0
+    times = Counter((r.doc_id, r.text) for r in mixed.collect())
+    assert times == Counter({(r.doc_id, AWKWARD[r.doc_id] if r.doc_id is not None else "no id here at all"): 0 for r in rows}) + sum((Counter({(r.doc_id, AWKWARD[r.doc_id] if r.doc_id is not None else "no id here at all"): r.repeats}) for r in rows if r.size), Counter())
+    assert times[(None, "no id here at all")] >= 1
+
+
+def test_mix_with_clashing_names_and_repeated_rows(spark):
+    rows = [(i // 3, f"word number {i // 3}", "s", 7, "r", 1, [2]) for i in range(30)] + [(None, "no id", None, 7, "r", 1, [2])] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repeats int, row string, size int, row_number array<int>")
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    got = Counter((r.doc_id, r.text, r.source) for r in mixed.collect())
+    plan = Counter()
+    for r in mixing.plan(df.drop("row_number")).collect():
+        plan[r.doc_id] += r.repeats
+    assert {k[0]: n for k, n in got.items()} == dict(+plan)
+    assert all(r.taken <= 3 * r.size for r in mixing.plan(df).collect())
 
 
 def brute_base(text):
