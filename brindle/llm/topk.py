@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from . import common
 
-BLOCK, LEAF, FANOUT = 1024, 64, 8
+BLOCK, LEAF, FANOUT = 1024, 128, 8
 #: Query blocks in a wave: 32,768 queries, 16 MB at 64 dimensions, which a task holds.
 WAVE = 32
 #: Rows of a sample from which pivots are picked, and pivots. They only shape the blocks.
 SAMPLE, PIVOTS = 2048, 256
-#: Data blocks that a task searches at least, if there are so many.
-SHARE = 8
+#: Rows that a task searches at least, if there are so many.
+SHARE = 8 * BLOCK
 TREE = ("center", "first", "last", "child", "children")
 SCHEMA = "dim int, ids array<long>, vectors binary, " + ", ".join(f"{c} array<int>" for c in TREE) + ", radius array<double>, middle array<double>, reach double"
 LONG = 2**63 - 1
@@ -332,7 +332,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
     waves = queries.select("dim", "block", turn.alias("turn")).groupBy("dim", F.floor(F.col("turn") / WAVE).alias("n")).agg(F.collect_list("block").alias("blocks"))
     waves = common.stage(waves.select((F.row_number().over(Window.orderBy("dim", "n")) - 1).alias("wave"), "dim", F.explode("blocks").alias("block")), "waves")
     queries = queries.join(waves.select("block", "wave"), "block")
-    n_waves, n_data = waves.agg(F.coalesce(F.max("wave") + 1, F.lit(0))).first()[0], data.count()
+    n_waves, n_data = waves.agg(F.coalesce(F.max("wave") + 1, F.lit(0))).first()[0], data.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
     if not n_waves or not n_data:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
