@@ -2,19 +2,46 @@
 
 from __future__ import annotations
 
+import contextvars
+import functools
 import inspect
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
+
+#: Whether a fit is under way in this thread: what it fits in turn isn't routed again.
+_inside: contextvars.ContextVar[bool] = contextvars.ContextVar("inside", default=False)
+
+
+def _routed(fit):
+    @functools.wraps(fit)
+    def run(self, df: DataFrame):
+        if _inside.get():
+            return fit(self, df)
+        token = _inside.set(True)
+        try:
+            return fit(self, config.routed(df, type(self).__name__))
+        finally:
+            _inside.reset(token)
+
+    return run
+
 
 class Estimator:
     """Fits a DataFrame with columns ``features`` (array<double>) and, if supervised, ``label``.
 
     ``fit`` runs Spark jobs and leaves small results in attributes that end in
-    ``_``; ``predict`` and ``transform`` only add columns to a plan.
+    ``_``; ``predict`` and ``transform`` only add columns to a plan. Each ``fit``
+    reads its input as ``config`` routes it for the estimator's name and size.
     """
 
+    def __init_subclass__(cls, **kwargs):
+        super().__init_subclass__(**kwargs)
+        if "fit" in cls.__dict__:
+            cls.fit = _routed(cls.__dict__["fit"])
+
     def get_params(self) -> dict:
         names = [p for p in inspect.signature(type(self).__init__).parameters if p != "self"]
         return {n: getattr(self, n) for n in names}

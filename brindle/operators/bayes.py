@@ -20,7 +20,7 @@ class GaussianNB(Classifier):
         self.priors, self.var_smoothing = priors, var_smoothing
 
     def fit(self, df: DataFrame) -> GaussianNB:
-        d = width(df)
+        d = self.n_features_in_ = width(df)
         x = [F.col("features")[j] for j in range(d)]
         each = [f(c).alias(f"{n}{j}") for n, f in (("m", F.avg), ("v", F.var_pop)) for j, c in enumerate(x)]
         rows = df.groupBy("label").agg(F.count("*").alias("n"), *each).orderBy("label").collect()

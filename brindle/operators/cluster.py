@@ -26,6 +26,36 @@ def assign(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c, d[np.arange(len(x)), c]
 
 
+def _drawn(data: DataFrame, most: int, seed: int, centers: np.ndarray | None = None) -> np.ndarray:
+    """At most ``most`` different rows, each drawn as likely as its squared distance to the nearest of ``centers``; without those all alike.
+
+    Equal rows have equal numbers, so tasks each pass on their own few best, and
+    only those are compared: a pass over the data without a shuffle of it.
+    """
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), "features"), F.lit(2**40)) + 0.5) / 2**40
+
+    def best(batches):
+        held: dict[bytes, tuple[float, np.ndarray]] = {}
+        for batch in batches:
+            for piece in stats.slices(batch):
+                x = stats.matrix(piece)
+                d2 = np.ones(len(x)) if centers is None else assign(x, centers)[1]
+                with np.errstate(divide="ignore"):
+                    key = -np.log(piece.column("u").to_numpy()) / d2
+                for i in np.argsort(key, kind="stable")[: len(x)]:
+                    if len(held) >= most and (not np.isfinite(key[i]) or key[i] > max(k for k, _ in held.values())):
+                        break
+                    if np.isfinite(key[i]):
+                        held[x[i].tobytes()] = float(key[i]), x[i]
+                if len(held) > most:
+                    held = dict(sorted(held.items(), key=lambda e: e[1][0])[:most])
+        yield pa.RecordBatch.from_arrays([pa.array([v.tolist() for _, v in held.values()], pa.list_(pa.float64())), pa.array([k for k, _ in held.values()], pa.float64())], ["features", "key"])
+
+    rows = data.select("features", uniform.alias("u")).mapInArrow(best, "features array<double>, key double")
+    picked = rows.dropDuplicates(["features"]).orderBy("key", "features").limit(most).collect()
+    return np.array([r.features for r in picked], float)
+
+
 class KMeans(Estimator):
     """Lloyd's algorithm from k-means|| or random seeds, or from given centres; the best of ``n_init`` runs.
 
@@ -50,31 +80,27 @@ class KMeans(Estimator):
         finally:
             data.unpersist()
         self.cluster_centers_, self.inertia_, self.n_iter_ = best
+        self.n_features_in_, self._fitted = d, df
         return self
 
+    @property
+    def labels_(self) -> DataFrame:
+        """The rows that were fitted with their clusters as ``prediction``."""
+        return self.predict(self._fitted)
+
     def _seeds(self, data: DataFrame, k: int, seed: int) -> np.ndarray:
         """k distinct rows by their seeded hash, or by k-means||: rounds of rows drawn by squared distance, then clustered by weight."""
-        by_hash = F.xxhash64(F.lit(seed), "features")
         if self.init == "random":
-            picked = data.select("features").distinct().orderBy(by_hash).limit(k).collect()
+            picked = _drawn(data, k, seed)
             if len(picked) < k:
                 raise ValueError("fewer distinct rows than clusters")
-            return np.array([r[0] for r in picked], float)
-        centers = np.array([data.orderBy(by_hash).first()[0]], float)
+            return picked
+        centers = _drawn(data, 1, seed)
         for i in range(2 + int(math.log(k + 1))):
-            now, shift = centers, seed * 1000 + i
-
-            def distance(batches, now=now):
-                for b in batches:
-                    for p in stats.slices(b):
-                        yield pa.RecordBatch.from_arrays([p.column("features"), pa.array(assign(stats.matrix(p), now)[1])], ["features", "d2"])
-
-            far = data.mapInArrow(distance, "features array<double>, d2 double").where("d2 > 0").distinct()
-            uniform = (F.pmod(F.xxhash64(F.lit(shift), "features"), F.lit(2**40)) + 0.5) / 2**40
-            more = far.orderBy(-F.log(uniform) / F.col("d2")).limit(2 * k).collect()
-            if not more:
+            more = _drawn(data, 2 * k, seed * 1000 + i, centers)
+            if not len(more):
                 break
-            centers = np.vstack([centers, [r.features for r in more]])
+            centers = np.vstack([centers, more])
         if len(centers) < k:
             raise ValueError("fewer distinct rows than clusters")
         weights = stats.sums(data, lambda b: {"n": np.bincount(assign(stats.matrix(b), centers)[0], minlength=len(centers))}, ["n"])["n"]

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..sources.frames import width
 from . import stats
 from .base import Estimator, relation
 
@@ -38,10 +37,10 @@ class TruncatedSVD(_Decomposition):
         self.n_components = n_components
 
     def fit(self, df: DataFrame) -> TruncatedSVD:
-        d = width(df)
+        g = stats.gram(df)
+        d = self.n_features_in_ = len(g["mean"])
         if not 1 <= self.n_components <= d:
             raise ValueError("n_components must lie between 1 and the number of features")
-        g = stats.gram(df, d)
         s2 = self._eigen(g["xx"] + g["n"] * np.outer(g["mean"], g["mean"]), self.n_components)
         self.singular_values_ = np.sqrt(s2)
         self.explained_variance_ = s2 / max(g["n"] - 1, 1)
@@ -63,9 +62,9 @@ class PCA(_Decomposition):
         self.n_components = n_components
 
     def fit(self, df: DataFrame) -> PCA:
-        d = width(df)
-        g = stats.gram(df, d)
+        g = stats.gram(df)
         self.mean_ = g["mean"]
+        d = self.n_features_in_ = len(self.mean_)
         s2 = self._eigen(g["xx"], d)
         variance, total = s2 / max(g["n"] - 1, 1), max(s2.sum(), 1e-300) / max(g["n"] - 1, 1)
         k = self.n_components

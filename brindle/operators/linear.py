@@ -9,15 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..sources.frames import width
 from . import stats
 from .base import Classifier, Regressor, classes, relation
 
 
 class _Linear(Regressor):
     def _gram(self, df: DataFrame) -> dict[str, np.ndarray]:
-        d = width(df)
-        g = stats.gram(df, d, label=True)
+        g = stats.gram(df, label=True)
         if not self.fit_intercept:  # about zero instead of the means
             g["xx"] = g["xx"] + g["n"] * np.outer(g["mean"], g["mean"])
             g["xy"] = g["xy"] + g["n"] * g["mean"] * g["y_mean"]
@@ -118,12 +116,12 @@ class LogisticRegression(Classifier):
         self.C, self.fit_intercept, self.max_iter, self.tol = C, fit_intercept, max_iter, tol
 
     def fit(self, df: DataFrame) -> LogisticRegression:
-        d = width(df)
         self.classes_ = classes(df)
         at = F.array_position(F.array(*[F.lit(c) for c in self.classes_]), F.col("label")) - 1
         data = df.select("features", at.cast("double").alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            mean, var = stats.moments(data, d)
+            mean, var = stats.moments(data)
+            d = self.n_features_in_ = len(mean)
             std = np.where(var < 1e-30, 1.0, np.sqrt(var))
             if not self.fit_intercept:
                 mean = np.zeros(d)

@@ -1,15 +1,13 @@
 """Distances and nearest neighbours, exact, block by block.
 
-One side is broadcast in waves of a bounded number of rows; for each wave every
-task goes once through its part of the other side and multiplies blocks with
-numpy. For neighbours a task keeps only the k best per query, and the tasks'
-lists are merged by a window, so what is shuffled is k rows per query and task.
+Both sides are packed in blocks; a task has one block of the one side and goes
+through a share of the other's with numpy. For neighbours it keeps only the k best
+per query, and the tasks' lists are merged by a window, so what is shuffled is k
+rows per query and share.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,12 +15,15 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import squared_distance
 from ..sources.frames import width
-from . import stats
+from . import blocks
 from .base import Classifier, Estimator, Regressor
+from .shared import stage
 
 METRICS = ("euclidean", "sqeuclidean", "manhattan", "cosine")
-#: Numbers (rows times features) that are broadcast at once, and pairs in one numpy step.
-WAVE, PAIRS = 4_000_000, 2_000_000
+#: Pairs in one numpy step.
+PAIRS = 2_000_000
+#: Points of a cell that one task compares with those around; a cell with more is split.
+CELL = 2_000
 
 
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -36,50 +37,19 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(out) if metric == "euclidean" else out
 
 
-def _waves(rows: DataFrame, d: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and features of ``rows`` in bounded parts, one at a time on the driver."""
-    most = max(1, WAVE // max(1, d))
-    ids, x = [], []
-    for r in rows.select("id", "features").toLocalIterator():
-        ids.append(r.id)
-        x.append(r.features)
-        if len(ids) == most:
-            yield np.array(ids), np.array(x, float)
-            ids, x = [], []
-    if ids:
-        yield np.array(ids), np.array(x, float)
-
-
-def _over(data: DataFrame, wave: tuple[np.ndarray, np.ndarray], work, schema: str) -> DataFrame:
-    shared = data.sparkSession.sparkContext.broadcast(wave)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from work(shared.value, batches)
-
-    return data.mapInArrow(run, schema)
-
-
 def pairwise(left: DataFrame, right: DataFrame, metric: str = "euclidean", within: float | None = None) -> DataFrame:
     """left_id, right_id, distance for all pairs, or those at distance ``within`` or less. Both have id and features."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    d, schema = width(left), "left_id long, right_id long, distance double"
 
-    def work(wave, batches):
-        ids, x = wave
-        for batch in batches:
-            step = max(1, PAIRS // len(ids))
-            for at in range(0, len(batch), step):
-                part = batch.slice(at, step)
-                own, y = part.column("id").to_numpy(), stats.matrix(part)
-                dist = distances(x, y, metric)
-                i, j = np.nonzero(dist <= within) if within is not None else np.divmod(np.arange(dist.size), len(own))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(dist[i, j])], ["left_id", "right_id", "distance"])
+    def step(state, own, y):
+        ids, x = state
+        for at in range(0, len(own), most := max(1, PAIRS // len(ids))):
+            dist = distances(x, y[at : at + most], metric)
+            i, j = np.nonzero(dist <= within) if within is not None else np.divmod(np.arange(dist.size), dist.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[at + j]), pa.array(dist[i, j])], ["left_id", "right_id", "distance"])
 
-    found = left.sparkSession.createDataFrame([], schema)
-    for wave in _waves(left, d):
-        found = found.unionAll(_over(right.select("id", "features"), wave, work, schema))
-    return found
+    return blocks.meet(left, right, width(left), lambda ids, x: (ids, x), step, None, "left_id long, right_id long, distance double")
 
 
 def kneighbors(train: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
@@ -90,29 +60,28 @@ def kneighbors(train: DataFrame, queries: DataFrame, k: int, metric: str = "eucl
     """
     if metric not in METRICS or k < 1:
         raise ValueError(f"k must be positive, metric one of {METRICS}")
-    d, schema = width(train), "query_id long, neighbor_id long, distance double"
-
-    def work(wave, batches):
-        ids, x = wave
-        best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-        for batch in batches:
-            step = max(k, PAIRS // len(ids))
-            for at in range(0, len(batch), step):
-                part = batch.slice(at, step)
-                own = part.column("id").to_numpy()
-                dist = np.hstack([best_d, distances(x, stats.matrix(part), metric)])
-                who = np.hstack([best_i, np.broadcast_to(own, (len(ids), len(own)))])
-                worst = np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
-                row, col = np.nonzero(dist <= worst)
-                by = np.lexsort((who[row, col], dist[row, col], row))
-                pick = by[np.searchsorted(row[by], np.arange(len(ids)))[:, None] + np.arange(k)]
-                best_d, best_i = dist[row, col][pick], who[row, col][pick]
-        ok = np.isfinite(best_d)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[np.nonzero(ok)[0]]), pa.array(best_i[ok]), pa.array(best_d[ok])], ["query_id", "neighbor_id", "distance"])
-
-    found = train.sparkSession.createDataFrame([], schema)
-    for wave in _waves(queries, d):
-        found = found.unionAll(_over(train.select("id", "features"), wave, work, schema))
+
+    def start(ids, x):
+        return {"ids": ids, "x": x, "d": np.full((len(ids), k), np.inf), "i": np.full((len(ids), k), np.iinfo(np.int64).max)}
+
+    def step(s, own, y):
+        ids = s["ids"]
+        for at in range(0, len(own), most := max(k, PAIRS // len(ids))):
+            part = own[at : at + most]
+            dist = np.hstack([s["d"], distances(s["x"], y[at : at + most], metric)])
+            who = np.hstack([s["i"], np.broadcast_to(part, (len(ids), len(part)))])
+            worst = np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
+            row, col = np.nonzero(dist <= worst)
+            by = np.lexsort((who[row, col], dist[row, col], row))
+            pick = by[np.searchsorted(row[by], np.arange(len(ids)))[:, None] + np.arange(k)]
+            s["d"], s["i"] = dist[row, col][pick], who[row, col][pick]
+        yield from ()
+
+    def finish(s):
+        ok = np.isfinite(s["d"])
+        yield pa.RecordBatch.from_arrays([pa.array(s["ids"][np.nonzero(ok)[0]]), pa.array(s["i"][ok]), pa.array(s["d"][ok])], ["query_id", "neighbor_id", "distance"])
+
+    found = blocks.meet(queries, train, width(train), start, step, finish, "query_id long, neighbor_id long, distance double")
     near = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
 
@@ -174,14 +143,19 @@ def radius_edges(points: DataFrame, eps: float, dims: int = 3) -> DataFrame:
     """id, other for all pairs of different rows within ``eps`` (Euclidean, inclusive), both ways.
 
     Points are filed in cells of side ``eps`` over their first ``dims`` features
-    and copied to the cells around; pairs are compared within a cell only.
+    and copied to the cells around; pairs are compared within a cell only. A cell
+    of more than ``CELL`` points is split: each point lies in one of its parts, and
+    what is around is copied to all of them.
     """
     d = min(width(points), dims)
     cell = F.array(*[F.floor(F.col("features")[j] / eps).cast("long") for j in range(d)])
     a = points.select("id", "features", cell.alias("cell"))
+    sizes = stage(a.groupBy("cell").count().where(F.col("count") > CELL).select("cell", F.ceil(F.col("count") / CELL).cast("int").alias("parts")), "large-cells")
     around = a.select(F.col("id").alias("other"), F.col("features").alias("there"), "cell")
     for j in range(d):
-        around = around.withColumn("o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("cell", F.transform("cell", lambda c, i: F.when(i == j,  c + F.col("o")).otherwise(c))).drop("o")
+        around = around.withColumn("o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("cell", F.transform("cell", lambda c, i: F.when(i == j, c + F.col("o")).otherwise(c))).drop("o")
+    parts = F.coalesce("parts", F.lit(1))
+    a = a.join(sizes, "cell", "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("parts")
+    around = around.join(sizes, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     near = squared_distance(F.col("features"), F.col("there")) <= eps * eps
-    return a.join(around, "cell").where((F.col("id") != F.col("other")) & near).select("id", "other")
-
+    return a.join(around, ["cell", "part"]).where((F.col("id") != F.col("other")) & near).select("id", "other")

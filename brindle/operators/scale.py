@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..sources.frames import width
 from . import stats
 from .base import Estimator, relation
 
@@ -18,6 +17,10 @@ class _Scaler(Estimator):
     center: np.ndarray
     factor: np.ndarray
 
+    @property
+    def n_features_in_(self) -> int:
+        return len(self.center)
+
     def expression(self, features: Column) -> Column:
         return V.column_transform(features, self.center, self.factor)
 
@@ -41,7 +44,7 @@ class StandardScaler(_Scaler):
         self.with_mean, self.with_std = with_mean, with_std
 
     def fit(self, df: DataFrame) -> StandardScaler:
-        self.mean_, self.var_ = stats.moments(df, width(df))
+        self.mean_, self.var_ = stats.moments(df)
         std = np.sqrt(self.var_)
         self.scale_ = np.where(std < 1e-15, 1.0, std)
         self.center = self.mean_ if self.with_mean else np.zeros_like(self.mean_)
@@ -62,7 +65,7 @@ class MinMaxScaler(_Scaler):
         low, high = self.feature_range
         if low >= high:
             raise ValueError("feature_range must rise")
-        self.data_min_, self.data_max_ = stats.extremes(df, width(df))
+        self.data_min_, self.data_max_ = stats.extremes(df)
         self.data_range_ = self.data_max_ - self.data_min_
         self.scale_ = (high - low) / np.where(self.data_range_ < 1e-10, 1.0, self.data_range_)
         self.min_ = low - self.data_min_ * self.scale_
@@ -84,7 +87,7 @@ class RobustScaler(_Scaler):
         self.with_centering, self.with_scaling = with_centering, with_scaling
 
     def fit(self, df: DataFrame) -> RobustScaler:
-        low, self.center_, high = stats.quantiles(df, width(df), (0.25, 0.5, 0.75))
+        low, self.center_, high = stats.quantiles(df, (0.25, 0.5, 0.75))
         self.scale_ = np.where(high - low < 1e-15, 1.0, high - low)
         self.center = self.center_ if self.with_centering else np.zeros_like(low)
         self.factor = 1 / self.scale_ if self.with_scaling else np.ones_like(low)

@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Values in one numpy step of a task.
@@ -52,42 +53,130 @@ def sums(df: DataFrame, part: Callable[[pa.RecordBatch], dict[str, np.ndarray]],
     return out
 
 
-def _each(df: DataFrame, d: int, *aggregates: Callable) -> list[tuple]:
-    """Aggregates of each feature, all in one pass."""
-    exprs = [f(F.col("features")[j]) for f in aggregates for j in range(d)]
-    row = df.agg(*[e.alias(f"a{i}") for i, e in enumerate(exprs)]).first()
-    return [tuple(row[k * d : (k + 1) * d]) for k in range(len(aggregates))]
+def checked(df: DataFrame, features: str = "features") -> tuple[int, list[Column]]:
+    """The number of features of a first row, and aggregates that tell whether all rows have that many, all finite.
+
+    Those go along with a fit's own aggregates, so that checking costs no pass;
+    ``sound`` takes their values.
+    """
+    first = df.select(F.size(features).alias("d")).first()
+    if first is None:
+        raise ValueError("no rows to fit")
+    x = F.col(features)
+    bad = x.isNull() | (F.size(x) != first.d) | F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return max(first.d or 0, 0), [F.coalesce(F.bool_or(F.coalesce(bad, F.lit(True))), F.lit(False)).alias("bad")]
+
+
+def sound(bad) -> None:
+    if bad:
+        raise ValueError("features must be arrays of one length without nulls, NaN or infinities")
 
 
-def moments(df: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
+def _each(df: DataFrame, *aggregates: Callable) -> list[tuple]:
+    """Aggregates of each feature, all in one pass, which also checks the features."""
+    d, check = checked(df)
+    exprs = [f(F.get("features", F.lit(j))) for f in aggregates for j in range(d)]
+    row = df.agg(*check, *[e.alias(f"a{i}") for i, e in enumerate(exprs)]).first()
+    sound(row[0])
+    return [tuple(row[1 + k * d : 1 + (k + 1) * d]) for k in range(len(aggregates))]
+
+
+def moments(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Means and population variances."""
-    mean, var = _each(df, d, F.avg, F.var_pop)
+    mean, var = _each(df, F.avg, F.var_pop)
     return np.array(mean), np.array(var)
 
 
-def extremes(df: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
-    low, high = _each(df, d, F.min, F.max)
+def extremes(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    low, high = _each(df, F.min, F.max)
     return np.array(low), np.array(high)
 
 
-def quantiles(df: DataFrame, d: int, at: tuple[float, ...]) -> np.ndarray:
-    """(len(at), d) exact quantiles with linear interpolation."""
-    (rows,) = _each(df, d, lambda c: F.percentile(c, F.array(*map(F.lit, at))))
-    return np.array([list(r) for r in rows]).T
+#: Bins of a histogram in which ranks are looked for, and how often a bin is cut into bins again.
+BINS, PASSES = 1024, 2
+
 
+def quantiles(df: DataFrame, at: tuple[float, ...]) -> np.ndarray:
+    """(len(at), d) exact quantiles with linear interpolation.
 
-def gram(df: DataFrame, d: int, label: bool = False) -> dict[str, np.ndarray]:
+    Histograms narrow each wanted rank down to a millionth of its feature's range;
+    the values in there are counted by Spark, and running counts of them give the
+    rank. So no task holds a feature's values, however many there are.
+    """
+    low, high = extremes(df)
+    d = len(low)
+    n = df.count()
+    place = [(n - 1) * q for q in at]
+    ranks = sorted({int(np.floor(p)) for p in place} | {int(np.ceil(p)) for p in place})
+    # Of each feature and rank: the interval it lies in, whether that has its upper end, and how many values are below.
+    want = [(j, r, float(low[j]), float(high[j]), True, 0) for j in range(d) for r in ranks]
+
+    def edges(a: float, b: float) -> np.ndarray:
+        return np.unique(np.append(a + (b / BINS - a / BINS) * np.arange(BINS), b))
+
+    for _ in range(PASSES):
+        spans = sorted({(j, a, b, c) for j, _, a, b, c, _ in want if a < b})
+        if not spans:
+            break
+
+        def part(batch: pa.RecordBatch, spans=spans) -> dict[str, np.ndarray]:
+            x, out = matrix(batch), np.zeros((len(spans), BINS))
+            for i, (j, a, b, closed) in enumerate(spans):
+                v = x[:, j]
+                e = edges(a, b)
+                v = v[(v >= a) & ((v <= b) if closed else (v < b))]
+                out[i] = np.bincount(np.minimum(np.searchsorted(e, v, "right") - 1, len(e) - 2), minlength=BINS)
+            return {"n": out}
+
+        counts = sums(df.select("features"), part, ["n"])["n"].reshape(len(spans), BINS)
+        number = {s: i for i, s in enumerate(spans)}
+        for k, (j, r, a, b, closed, below) in enumerate(want):
+            if a < b:
+                e, upto = edges(a, b), np.cumsum(counts[number[j, a, b, closed]])
+                i = int(np.searchsorted(upto, r - below, "right"))
+                want[k] = (j, r, float(e[i]), float(e[i + 1]), closed and i == len(e) - 2, below + int(upto[i - 1] if i else 0))
+    spans = sorted({(j, a, b, c, below) for j, _, a, b, c, below in want})
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch):
+                x = matrix(piece)
+                for i, (j, a, b, closed, _) in enumerate(spans):
+                    v = x[:, j]
+                    v, c = np.unique(v[(v >= a) & ((v <= b) if closed else (v < b))], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(v), pa.array(c)], ["span", "v", "n"])
+
+    values = df.select("features").mapInArrow(inside, "span int, v double, n long").groupBy("span", "v").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("span").orderBy("v"))
+    wanted = F.array(*[F.array(*[F.lit(r - below) for r in ranks]) for _, _, _, _, below in spans])
+    found = values.withColumn("upto", upto).withColumn("rank", F.explode(F.get(wanted, F.col("span"))))
+    found = found.where("rank >= upto - n and rank < upto").select("span", "rank", "v").collect()
+    value = {(spans[r.span][0], r.rank + spans[r.span][4]): r.v for r in found}
+    return np.array([[value[j, int(np.floor(p))] + (p - np.floor(p)) * (value[j, int(np.ceil(p))] - value[j, int(np.floor(p))]) for j in range(d)] for p in place])
+
+
+def gram(df: DataFrame, label: bool = False) -> dict[str, np.ndarray]:
     """n, the sums x and products xx of all features, and with ``label`` y, yy and xy; centred on a first row against cancellation.
 
     Keys: n, mean (d), xx (d, d) about the mean; y_mean, yy, xy about the means.
+    The pass also checks the features: ValueError as for ``width``.
     """
     first = df.select("features", *(["label"] if label else [])).first()
     if first is None:
         raise ValueError("no rows to fit")
-    x0, y0 = np.array(first[0], float), float(first[1]) if label else 0.0
-    names = ["n", "x", "xx", "y", "yy", "xy"]
+    try:
+        x0, y0 = np.array(first[0], float), float(first[1]) if label else 0.0
+    except (TypeError, ValueError):
+        sound(True)
+    if x0.ndim != 1 or not np.isfinite(x0).all():
+        sound(True)
+    d = len(x0)
+    names = ["n", "x", "xx", "y", "yy", "xy", "bad"]
 
     def part(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        column = batch.column("features")
+        if column.null_count or pc.any(pc.not_equal(pc.list_value_length(column), d)).as_py() or column.flatten().null_count or not np.isfinite(column.flatten().to_numpy(zero_copy_only=False)).all():
+            return {"bad": np.array([1.0])}
         x = matrix(batch) - x0
         out = {"n": np.array([len(x)]), "x": x.sum(axis=0), "xx": x.T @ x}
         if label:
@@ -97,6 +186,7 @@ def gram(df: DataFrame, d: int, label: bool = False) -> dict[str, np.ndarray]:
 
     cols = [F.col("features"), *([F.col("label").cast("double").alias("label")] if label else [])]
     s = sums(df.select(*cols), part, names)
+    sound(len(s["bad"]))
     n = s["n"][0]
     xm = s["x"] / n
     out = {"n": n, "mean": xm + x0, "xx": s["xx"].reshape(d, d) - n * np.outer(xm, xm)}

@@ -118,6 +118,7 @@ class _Boosting:
 
     def _boost(self, df: DataFrame, y: Column, baseline: np.ndarray, gradients) -> None:
         d, k = width(df), len(baseline)
+        self.n_features_in_ = d
         cuts = df.agg(*[F.percentile_approx(F.col("features")[j], [i / self.max_bins for i in range(1, self.max_bins)], 10_000).alias(f"q{j}") for j in range(d)]).first()
         bins = [np.unique(np.array(c, float)) for c in cuts]
         raw = F.array(*[F.lit(float(b)) for b in baseline])

@@ -122,7 +122,7 @@ _UNNEST = "SELECT vec_id, label, unnest(embedding) :: DOUBLE AS x, generate_subs
 @query(f"WITH e AS ({_UNNEST}) SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(covar_pop(a.x, b.x), 8) + 0.0 AS value FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2")
 def covariance_matrix(spark, sf):
     df = embeddings(spark, sf)
-    g = stats.gram(df, 64)
+    g = stats.gram(df)
     rows = [(i, j, round(float(v / g["n"]), 8) + 0.0) for i, row in enumerate(g["xx"]) for j, v in enumerate(row)]
     return spark.createDataFrame(rows, "i int, j int, value double")
 
@@ -414,9 +414,9 @@ def truncated_svd_transform_norms(spark, sf):
 @query(f"{_PAIRS} SELECT q AS id, round(sum((CASE WHEN t % 2 = 0 THEN 1 ELSE -0.5 END) * exp(-0.7 * d2)) + 0.1, 6) + 0.0 AS decision FROM d WHERE t < 40 GROUP BY q")
 def svc_decision(spark, sf):
     df = embeddings(spark, sf)
-    m = SVC()
-    m.support_vectors_ = [np.array([x.features for x in df.where("id < 40").orderBy("id").collect()])]
-    m.dual_coef_, m.intercept_, m.gamma_, m.pairs_ = [np.where(np.arange(40) % 2 == 0, 1.0, -0.5)], [0.1], 0.7, [(0, 1)]
+    vectors = [x.features for x in df.where("id < 40").orderBy("id").collect()]
+    m = SVC().given(spark, [vectors], [[1.0 if i % 2 == 0 else -0.5 for i in range(40)]], [0.1], 0.7)
+    m.pairs_ = [(0, 1)]
     return m.decision_function(df).select("id", r("decision").alias("decision"))
 
 
@@ -479,7 +479,7 @@ def matrix_product(spark, sf):
 
 @query("SELECT p_partkey AS id, round(p_size - (SELECT avg(p_size) FROM part), 6) + 0.0 AS f0, round(p_retailprice - (SELECT avg(p_retailprice) FROM part), 6) + 0.0 AS f1 FROM part")
 def center_columns(spark, sf):
-    mean, _ = stats.moments(df := parts(spark, sf), 2)
+    mean, _ = stats.moments(df := parts(spark, sf))
     return _two(df.withColumn("features", V.center(F.col("features"), mean)))
 
 

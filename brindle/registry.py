@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import functools
+import typing
 import warnings
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 
-from . import config
 from .operators.base import Estimator
 from .operators.bayes import GaussianNB
 from .operators.cluster import DBSCAN, KMeans
 from .operators.decomposition import PCA, TruncatedSVD
 from .operators.linear import ElasticNet, Lasso, LinearRegression, LogisticRegression, Ridge
-from .operators.neighbors import KNeighborsClassifier, KNeighborsRegressor, NearestNeighbors
+from .operators.neighbors import METRICS, KNeighborsClassifier, KNeighborsRegressor, NearestNeighbors
 from .operators.scale import MinMaxScaler, RobustScaler, StandardScaler
 from .operators.svm import SVC, SVR
 from .operators.trees import HistGradientBoostingClassifier, HistGradientBoostingRegressor
@@ -50,7 +51,6 @@ class Pipeline(Estimator):
         return self
 
     def fit(self, df: DataFrame) -> Pipeline:
-        df = config.routed(df, "Pipeline")
         for _, step in self.steps[:-1]:
             df = step.fit(df).transform(df)
         self.steps[-1][1].fit(df)
@@ -75,13 +75,80 @@ class Pipeline(Estimator):
 
 
 def is_supported(obj) -> bool:
-    return type(obj).__name__ in REGISTRY or type(obj).__name__ == "Pipeline"
+    """Whether an object, or a class, is told by its name, and its parameters can be taken."""
+    name = obj.__name__ if isinstance(obj, type) else type(obj).__name__
+    if name == "Pipeline":
+        return isinstance(obj, type) or all(is_supported(s) for _, s in obj.steps)
+    if name not in REGISTRY or isinstance(obj, (type, Estimator)):
+        return name in REGISTRY
+    try:
+        _parameters(name, obj)
+    except (TypeError, ValueError):
+        return False
+    return True
+
+
+#: What look-alikes call otherwise, or have and this library has one way of only: parameter, the values that mean the same here, ours.
+_SAME = {"kernel": ("rbf",), "penalty": ("l2", "deprecated"), "algorithm": None, "solver": None, "copy": None, "copy_X": None, "n_jobs": None, "verbose": None}
+_METRICS = {"l2": "euclidean", "l1": "manhattan", "cityblock": "manhattan"}
+
+
+def _taken(cls: type[Estimator], name: str, value):
+    """``value`` as the parameter's annotation wants it; TypeError if it can't be that."""
+    hint = typing.get_type_hints(cls.__init__).get(name, object)
+    kinds = typing.get_args(hint) if typing.get_origin(hint) in (typing.Union, type(int | str)) else (hint,)
+    kinds = tuple(typing.get_origin(k) or k for k in kinds)
+    if isinstance(value, np.generic):
+        value = value.item()
+    if object in kinds or (isinstance(value, kinds) and not (isinstance(value, bool) and bool not in kinds)):
+        return value
+    if float in kinds and isinstance(value, int) and not isinstance(value, bool):
+        return float(value)
+    if list in kinds and isinstance(value, (tuple, np.ndarray)):
+        return list(value)
+    if tuple in kinds and isinstance(value, list):
+        return tuple(value)
+    if np.ndarray in kinds and isinstance(value, (list, tuple)):
+        return np.array(value, float)
+    raise TypeError(f"{cls.__name__} can't take {name}={value!r}")
+
+
+def _parameters(name: str, obj) -> dict:
+    """The parameters of a look-alike that are known here. None, and no limit on iterations, are the default.
+
+    TypeError or ValueError for a value that can't be taken; a warning for a
+    parameter that is set to something else than its own default and isn't known.
+    """
+    cls, given, out = REGISTRY[name], dict(obj.get_params()), {}
+    known = cls().get_params()
+    if given.get("metric") == "minkowski":
+        given["metric"] = {1: "manhattan", 2: "euclidean"}.get(given.get("p", 2), f"minkowski of p={given.get('p')}")
+    given.pop("p", None)
+    try:
+        usual = type(obj)().get_params()
+    except Exception:  # a class that needs arguments has no defaults to compare with
+        usual = {}
+    for k, v in given.items():
+        if k == "metric" and k in known:
+            v = _METRICS.get(v, v)
+            if v not in METRICS:
+                raise ValueError(f"{name} can't take metric={v!r}")
+        if k in known:
+            if v is None or (k == "max_iter" and v == -1):
+                continue
+            out[k] = _taken(cls, k, v)
+        elif _SAME.get(k, ()) is not None and v not in _SAME.get(k, (None,)) and (k not in usual or np.any(v != usual[k])):
+            if k in _SAME:
+                raise ValueError(f"{name} can't take {k}={v!r}")
+            warnings.warn(f"{name} has no parameter {k}: {v!r} has no effect", stacklevel=4)
+    return out
 
 
 def wrap(obj):
     """An estimator or pipeline of this library with the parameters of ``obj``, which is told by its class's name.
 
     An object of this library comes back as it is; another kind with a warning.
+    Every parameter known here is taken over, or an error is raised.
     """
     if isinstance(obj, Estimator):
         return obj
@@ -91,9 +158,7 @@ def wrap(obj):
     if name not in REGISTRY:
         warnings.warn(f"{name} is not supported and stays as it is", stacklevel=2)
         return obj
-    out = REGISTRY[name]()
-    known = out.get_params()
-    return out.set_params(**{k: v for k, v in obj.get_params().items() if k in known and isinstance(v, type(known[k]) if known[k] is not None else object)})
+    return REGISTRY[name]().set_params(**_parameters(name, obj))
 
 
 def distribute(obj=None):

@@ -262,7 +262,7 @@ def test_boosting(spark, regression, blobs):
 
 def test_gram(spark, regression):
     x, y = regression
-    g = stats.gram(frame(spark, x + 1e6, y), 4, label=True)
+    g = stats.gram(frame(spark, x + 1e6, y), label=True)
     assert np.allclose(g["xx"], np.cov(x.T, bias=True) * len(x), rtol=1e-5)
 
 
