@@ -20,10 +20,20 @@ from .shared import stage
 
 
 def assign(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centre of each row, the first among equals, and its squared distance."""
-    d = distances(x, centers, "sqeuclidean")
+    """The nearest centre of each row, the first among equals, and its squared distance.
+
+    Products tell the nearest but for rounding; rows with two centres closer to
+    each other than that are decided by differences.
+    """
+    norms = (centers * centers).sum(axis=1)
+    d = norms - 2 * (x @ centers.T)
     c = d.argmin(axis=1)
-    return c, d[np.arange(len(x)), c]
+    own = (x * x).sum(axis=1)
+    near = d <= d[np.arange(len(x)), c][:, None] + 1e-12 * (own[:, None] + norms.max(initial=0.0))
+    unsure = np.flatnonzero(near.sum(axis=1) > 1)
+    if len(unsure):
+        c[unsure] = distances(x[unsure], centers, "sqeuclidean").argmin(axis=1)
+    return c, ((x - centers[c]) ** 2).sum(axis=1)
 
 
 def _drawn(data: DataFrame, most: int, seed: int, centers: np.ndarray | None = None) -> np.ndarray:

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,8 +16,10 @@ _staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where that is unset (local tests) a temporary folder."""
+    """``spark.checkpoint.dir`` of the session. Where that is unset a temporary folder on one machine, and on a cluster a ValueError."""
     path = spark.conf.get("spark.checkpoint.dir", None) or (_own_dir[0] if _own_dir else None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="brindle-")
         _own_dir.append(path)
@@ -34,10 +38,31 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession) -> int:
-    """Deletes the tables that this process has staged, once the results that read them are written; returns how many."""
-    n = len(_staged)
-    while _staged:
-        where = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    return n
+
+
+def to_discard(path: str) -> str:
+    """A folder of an operator's own, to be deleted with the staged tables."""
+    _staged.append(path)
+    return path
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """A block that ends by staging its result: the tables staged before that within the block are deleted."""
+    before = len(_staged)
+    yield
+    paths = _staged[before:-1]
+    del _staged[before:-1]
+    _delete(spark, paths)
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes all that this process has staged, once the results that read it are written; returns how many folders."""
+    paths = _staged[:]
+    _staged.clear()
+    _delete(spark, paths)
+    return len(paths)

@@ -196,6 +196,33 @@ def logistic_regression_fit(spark, sf):
     return _coefs(LogisticRegression().fit(df), spark, 6)
 
 
+@query(_newton_sql().replace(_newton_sql()[_newton_sql().rindex(" SELECT 0 AS class_idx"):], " SELECT p_partkey AS id, CAST(a + w * p_size / 10 > 0 AS INTEGER) AS prediction, round(1 / (1 + exp(-(a + w * p_size / 10))), 6) AS probability FROM part, b10"))
+def logistic_regression_predict(spark, sf):
+    df = to_features(table(spark, sf, "lineitem").withColumn("x", F.col("l_quantity") / 10), ["x"], label=F.expr("int(l_returnflag = 'R')"))
+    m = LogisticRegression().fit(df)
+    new = to_features(table(spark, sf, "part").withColumn("x", F.col("p_size") / 10), ["x"], id=F.col("p_partkey"))
+    return m.predict_proba(m.predict(new)).select("id", "prediction", r(F.col("probability")[1]).alias("probability"))
+
+
+@query(
+    """WITH c AS (SELECT l_returnflag AS f, CAST(l_quantity > 25 AS INTEGER) AS x, ln(count(*)) AS l FROM lineitem GROUP BY 1, 2),
+n AS (SELECT CAST(dense_rank() OVER (ORDER BY f) - 1 AS INTEGER) AS k, x, l - avg(l) OVER (PARTITION BY x) AS l FROM c)
+SELECT k AS class_idx, -1 AS feature_idx, round(l, 3) + 0.0 AS coef FROM n WHERE x = 0
+UNION ALL SELECT a.k, 0, round(a.l - b.l, 3) + 0.0 FROM n a JOIN n b ON a.k = b.k WHERE a.x = 1 AND b.x = 0"""
+)
+def multinomial_logistic_saturated_fit(spark, sf):
+    """One feature of two values: the optimum is the centred logarithm of the counts."""
+    df = to_features(table(spark, sf, "lineitem").withColumn("x", F.expr("int(l_quantity > 25)")), ["x"], label=F.col("l_returnflag"))
+    return _coefs(LogisticRegression(C=1e9, tol=1e-13).fit(df), spark, 3)
+
+
+@query("SELECT p_partkey AS id, round(p_size * (SELECT regr_slope(p_retailprice, p_size) FROM part) + (SELECT regr_intercept(p_retailprice, p_size) FROM part), 6) AS prediction FROM part")
+def pipeline_predict(spark, sf):
+    df = to_features(table(spark, sf, "part"), ["p_size"], id=F.col("p_partkey"), label=F.col("p_retailprice"))
+    steps = [("standard", StandardScaler()), ("range", MinMaxScaler((-2.0, 5.0))), ("model", LinearRegression())]
+    return Pipeline(steps).fit(df).predict(df).select("id", r("prediction").alias("prediction"))
+
+
 @query()
 def multinomial_logistic_fit(spark, sf):
     df = Pipeline([("scale", StandardScaler()), ("keep", StandardScaler())]).fit(f := lineitem(spark, sf, "l_returnflag", ["l_quantity", "l_discount"])).transform(f)
@@ -261,6 +288,13 @@ def kneighbors_manhattan(spark, sf):
     return rounded(NearestNeighbors(5, "manhattan").fit(embeddings(spark, sf)).kneighbors(), distance=6)
 
 
+@query(f"{_PAIRS}, k AS (SELECT q, t, cosine, row_number() OVER (PARTITION BY q ORDER BY cosine, t) AS rank FROM d QUALIFY rank <= 6) SELECT q AS query_id, CAST(rank - 1 AS INTEGER) AS rank, t AS neighbor_id, round(cosine, 6) AS distance FROM k WHERE rank > 1")
+def kneighbors_cosine(spark, sf):
+    """Without the first, which is the row itself."""
+    near = NearestNeighbors(6, "cosine").fit(embeddings(spark, sf)).kneighbors().where("rank > 1").withColumn("rank", F.col("rank") - 1)
+    return rounded(near, distance=6)
+
+
 _VOTES = _NEAR + ", v AS (SELECT q, label, sum({w}) AS w, min(rank) AS nearest FROM k JOIN embeddings ON t = vec_id GROUP BY 1, 2)"
 
 
@@ -370,6 +404,28 @@ def _radius(spark, sf):
     return radius_edges(embeddings(spark, sf, 2).select("id", "features"), EPS)
 
 
+@query("SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN -10.0 WHEN 'N' THEN 0.0 ELSE 7.0 END :: DOUBLE AS value, CASE l_linestatus WHEN 'F' THEN 1.0 ELSE 2.0 END :: DOUBLE AS other FROM lineitem")
+def kmeans_parallel_init_separate(spark, sf):
+    """As many clusters as there are different rows: seeding must find them all."""
+    df = table(spark, sf, "lineitem").selectExpr("case l_returnflag when 'A' then -10.0D when 'N' then 0.0D else 7.0D end AS a", "case l_linestatus when 'F' then 1.0D else 2.0D end AS b")
+    df = to_features(df, ["a", "b"])
+    m = KMeans(df.distinct().count(), random_state=1).fit(df)
+    return spark.createDataFrame([tuple(float(v) for v in c) for c in m.cluster_centers_], "value double, other double")
+
+
+def _near_whole(eps: float) -> str:
+    return f"WITH RECURSIVE e AS ({_UNNEST}), n AS MATERIALIZED (SELECT a.vec_id AS id, b.vec_id AS other FROM e a JOIN e b ON a.i = b.i GROUP BY 1, 2 HAVING sum((a.x - b.x) * (a.x - b.x)) <= {eps} * {eps})"
+
+
+#: Over whole vectors, which lie about 1.4 apart.
+WHOLE_EPS = 1.13
+
+
+@query(f"{_near_whole(WHOLE_EPS)} SELECT id, other FROM n WHERE id <> other", "radius_neighbors_whole")
+def _radius_whole(spark, sf):
+    return NearestNeighbors(5).fit(e := embeddings(spark, sf)).radius_neighbors(WHOLE_EPS, e).where("left_id != right_id").select(F.col("left_id").alias("id"), F.col("right_id").alias("other"))
+
+
 @query()
 def kmeans_parallel_init_fit(spark, sf):
     m = KMeans(8, max_iter=20, random_state=3).fit(embeddings(spark, sf))
@@ -397,6 +453,26 @@ def truncated_svd_fit(spark, sf):
     return _spectrum(TruncatedSVD(2).fit(parts(spark, sf)), spark)
 
 
+_VECTORS = """WITH s AS (SELECT {a} a, {b} b, {c} c FROM part), l AS (SELECT *, (a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2 AS l FROM s),
+u AS (SELECT b / sqrt(b * b + (l - a) * (l - a)) AS x, (l - a) / sqrt(b * b + (l - a) * (l - a)) AS y FROM l),
+v AS (SELECT 0 AS component, x, y FROM u UNION ALL SELECT 1, -y, x FROM u)
+SELECT component, round(x * sign(CASE WHEN abs(x) >= abs(y) THEN x ELSE y END), 6) + 0.0 AS v0, round(y * sign(CASE WHEN abs(x) >= abs(y) THEN x ELSE y END), 6) + 0.0 AS v1 FROM v"""
+
+
+def _directions(model, spark: SparkSession) -> DataFrame:
+    return model.to_df(spark).select("component", r(F.col("vector")[0]).alias("v0"), r(F.col("vector")[1]).alias("v1"))
+
+
+@query(_VECTORS.format(a="var_pop(p_size)", b="covar_pop(p_size, p_retailprice)", c="var_pop(p_retailprice)"))
+def pca_components(spark, sf):
+    return _directions(PCA().fit(parts(spark, sf)), spark)
+
+
+@query(_VECTORS.format(a="avg(p_size * p_size)", b="avg(p_size * p_retailprice)", c="avg(p_retailprice * p_retailprice)"))
+def truncated_svd_components(spark, sf):
+    return _directions(TruncatedSVD(2).fit(parts(spark, sf)), spark)
+
+
 @query(f"WITH e AS ({_UNNEST}) SELECT round(sum(v), 6) AS total_variance FROM (SELECT var_samp(x) AS v FROM e GROUP BY i)")
 def pca_total_variance(spark, sf):
     return spark.createDataFrame([(round(float(PCA().fit(embeddings(spark, sf)).explained_variance_.sum()), 6),)], "total_variance double")
@@ -420,6 +496,30 @@ def svc_decision(spark, sf):
     return m.decision_function(df).select("id", r("decision").alias("decision"))
 
 
+def _flag(spark: SparkSession, sf: str) -> DataFrame:
+    return to_features(table(spark, sf, "lineitem").withColumn("x", F.expr("int(l_returnflag = 'R')")), ["x"], label=F.expr("int(l_returnflag = 'R')"))
+
+
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return to_features(table(spark, sf, "part").withColumn("x", (F.col("p_size") + 0.1) / 50), ["x"], id=F.col("p_partkey"))
+
+
+# Two different rows, however often: the machine is known in closed form.
+_TWO_POINTS = """WITH g AS (SELECT 1 / var_pop(CAST(l_returnflag = 'R' AS INTEGER)) AS g FROM lineitem), x AS (SELECT p_partkey AS id, (p_size + 0.1) :: DOUBLE / 50 AS x FROM part),
+k AS (SELECT id, (exp(-g * (x - 1) * (x - 1)) - exp(-g * x * x)) / (1 - exp(-g)) AS z FROM x, g)"""
+
+
+@query(_TWO_POINTS + " SELECT id, round(z, 6) + 0.0 AS decision, CAST(z > 0 AS INTEGER) AS prediction FROM k")
+def svc_fit_two_points(spark, sf):
+    m = SVC(tol=1e-10).fit(_flag(spark, sf))
+    return m.predict(m.decision_function(_sizes(spark, sf))).select("id", r("decision").alias("decision"), "prediction")
+
+
+@query(_TWO_POINTS + " SELECT id, round(0.5 + 0.4 * z, 6) AS prediction FROM k")
+def svr_fit_two_points(spark, sf):
+    return SVR(tol=1e-10).fit(_flag(spark, sf)).predict(_sizes(spark, sf)).select("id", r("prediction").alias("prediction"))
+
+
 @query()
 def svc_fit(spark, sf):
     df = embeddings(spark, sf).withColumn("label", F.expr("int(label < 5)"))
@@ -443,6 +543,35 @@ def tree_predict(spark, sf):
     return parts(spark, sf).select("id", predict_all(F.col("features"), _TREES, 3.0).alias("prediction"))
 
 
+def _stumps_sql(y: str, baseline: str, gradient: str, hessian: str, steps: int, rate: float) -> str:
+    """Boosted stumps over one feature, grouped by its values: a few common tables for each step; ends in b{steps} (x, raw)."""
+    out = [f"d AS (SELECT l_quantity AS x, count(*) AS n, CAST(sum({y}) AS DOUBLE) AS y FROM lineitem GROUP BY 1)", f"b0 AS (SELECT *, (SELECT {baseline} FROM d) AS raw FROM d)"]
+    for k in range(steps):
+        out.append(f"g{k} AS (SELECT x, n, {gradient} AS g, {hessian} AS h FROM b{k})")
+        out.append(f"c{k} AS (SELECT x, sum(g) OVER o AS gl, sum(h) OVER o AS hl, sum(n) OVER o AS nl, sum(g) OVER () AS gt, sum(h) OVER () AS ht, sum(n) OVER () AS nt FROM g{k} WINDOW o AS (ORDER BY x))")
+        out.append(f"s{k} AS MATERIALIZED (SELECT x AS t, -{rate} * gl / hl AS l, -{rate} * (gt - gl) / (ht - hl) AS r FROM c{k} WHERE nl >= 20 AND nt - nl >= 20 ORDER BY gl * gl / hl + (gt - gl) * (gt - gl) / (ht - hl) DESC LIMIT 1)")
+        out.append(f"b{k + 1} AS MATERIALIZED (SELECT x, n, y, raw + CASE WHEN x <= t THEN l ELSE r END AS raw FROM b{k}, s{k})")
+    return "WITH " + ", ".join(out)
+
+
+@query(_stumps_sql("l_extendedprice", "sum(y) / sum(n)", "n * raw - y", "n", 5, 0.5) + " SELECT CAST(x AS DOUBLE) AS quantity, round(raw, 3) AS prediction FROM b5")
+def hist_gradient_boosting_regressor_stumps(spark, sf):
+    df = lineitem(spark, sf, "l_extendedprice", ["l_quantity"])
+    m = HistGradientBoostingRegressor(learning_rate=0.5, max_iter=5, max_leaf_nodes=2).fit(df)
+    return m.predict(df.select("features").distinct()).select(F.col("features")[0].alias("quantity"), r("prediction", 3).alias("prediction"))
+
+
+@query(
+    _stumps_sql("CAST(l_returnflag = 'R' AS INTEGER)", "ln(sum(y) / (sum(n) - sum(y)))", "n / (1 + exp(-raw)) - y", "n / (1 + exp(-raw)) * (1 - 1 / (1 + exp(-raw)))", 4, 0.5)
+    + " SELECT CAST(x AS DOUBLE) AS quantity, CAST(raw >= 0 AS INTEGER) AS prediction, round(1 / (1 + exp(-raw)), 6) AS probability FROM b4"
+)
+def hist_gradient_boosting_classifier_stumps(spark, sf):
+    df = lineitem(spark, sf, "int(l_returnflag = 'R')", ["l_quantity"])
+    m = HistGradientBoostingClassifier(learning_rate=0.5, max_iter=4, max_leaf_nodes=2).fit(df)
+    rows = m.predict_proba(m.predict(df.select("features").distinct()))
+    return rows.select(F.col("features")[0].alias("quantity"), "prediction", r(F.col("probability")[1]).alias("probability"))
+
+
 @query()
 def hist_gradient_boosting_regressor_fit(spark, sf):
     m = HistGradientBoostingRegressor(max_iter=3, max_leaf_nodes=8, max_depth=3).fit(lineitem(spark, sf, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]))

@@ -307,3 +307,150 @@ def test_streaming_scores(spark, regression, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     score_to_parquet(m, spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "at")).awaitTermination()
     assert np.allclose(column(spark.read.parquet(str(tmp_path / "out")), "prediction"), column(m.predict(df), "prediction"))
+
+
+class Like:
+    """A look-alike of any name, with defaults of its own."""
+
+    defaults: dict = {}
+
+    def __init__(self, **given):
+        self.given = given
+
+    def get_params(self):
+        return self.defaults | self.given
+
+    def fit(self, x, y):
+        raise AssertionError
+
+
+def like(name, defaults, **given):
+    return type(name, (Like,), {"defaults": defaults})(**given)
+
+
+def test_every_parameter_is_taken_over():
+    cases = [
+        ("Ridge", {"alpha": 1.0, "solver": "auto"}, {"alpha": 5}, {"alpha": 5.0}),
+        ("SVC", {"C": 1.0, "gamma": "scale", "kernel": "rbf", "max_iter": -1}, {"gamma": 0.5, "C": 10}, {"gamma": 0.5, "C": 10.0, "max_iter": 100_000}),
+        ("LogisticRegression", {"C": 1.0, "penalty": "l2"}, {"C": 2}, {"C": 2.0}),
+        ("KMeans", {"n_init": "auto", "random_state": None}, {"n_init": 10, "n_clusters": np.int64(3)}, {"n_init": 10, "n_clusters": 3, "random_state": 0}),
+        ("KMeans", {}, {"init": [[0.0], [1.0]], "n_clusters": 2}, {"n_clusters": 2}),
+        ("SVR", {}, {"C": 7, "gamma": 0.3, "epsilon": 0}, {"C": 7.0, "gamma": 0.3, "epsilon": 0.0}),
+        ("PCA", {"n_components": None}, {"n_components": 0.5}, {"n_components": 0.5}),
+        ("MinMaxScaler", {}, {"feature_range": [0, 2]}, {"feature_range": (0, 2)}),
+        ("GaussianNB", {"priors": None}, {"priors": np.array([0.5, 0.5])}, {"priors": [0.5, 0.5]}),
+        ("KNeighborsClassifier", {"metric": "minkowski", "p": 2}, {"p": 1, "n_neighbors": 7}, {"metric": "manhattan", "n_neighbors": 7}),
+        ("HistGradientBoostingRegressor", {"max_depth": None}, {"max_depth": 3, "learning_rate": 1}, {"max_depth": 3, "learning_rate": 1.0}),
+        ("StandardScaler", {"with_mean": True}, {"with_mean": False}, {"with_mean": False}),
+        ("DBSCAN", {}, {"eps": 2, "min_samples": 3}, {"eps": 2.0, "min_samples": 3}),
+    ]
+    for name, defaults, given, want in cases:
+        got = brindle.wrap(like(name, defaults, **given)).get_params()
+        assert {k: got[k] for k in want} == want and all(type(got[k]) is type(v) for k, v in want.items())
+    for name in brindle.REGISTRY:
+        own = brindle.REGISTRY[name]().get_params()
+        assert brindle.wrap(like(name, own)).get_params() == own and brindle.is_supported(like(name, own))
+    for name, given in (("Ridge", {"alpha": "much"}), ("KMeans", {"n_clusters": 2.5}), ("SVC", {"kernel": "poly"}), ("NearestNeighbors", {"metric": "hamming"}), ("StandardScaler", {"with_std": 1})):
+        with pytest.raises((TypeError, ValueError)):
+            brindle.wrap(like(name, {}, **given))
+        assert not brindle.is_supported(like(name, {}, **given))
+    with pytest.warns(UserWarning, match="warm_start"):
+        brindle.wrap(like("Lasso", {"warm_start": False}, warm_start=True))
+
+
+def test_fits_are_routed(spark, regression):
+    x, y = regression
+    seen, real = [], config.routed
+    config.routed = lambda df, name: seen.append(name) or real(df, name)
+    try:
+        brindle.Pipeline([("s", StandardScaler()), ("m", LinearRegression())]).fit(frame(spark, x, y))
+        LinearRegression().fit(frame(spark, x, y))
+        MinMaxScaler().fit(frame(spark, x, y))
+    finally:
+        config.routed = real
+    assert seen == ["Pipeline", "LinearRegression", "MinMaxScaler"]
+
+
+def test_support_vectors_by_working_sets(spark):
+    """Overlapping classes, most rows support vectors: the same solution whatever the size of a working set."""
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(400, 2)), 1)
+    y = (rng.random(400) < 0.5 + 0.2 * np.sign(x[:, 0])).astype(int)
+    df = frame(spark, np.vstack([x, x[:50]]), np.append(y, y[:50]))
+    whole, parts = SVC(tol=1e-5).fit(df), SVC(tol=1e-5, block=120).fit(df)
+    assert whole.n_iter_ == 1 and parts.n_iter_ > 2 and parts.converged_
+    a, b = (column(m.decision_function(frame(spark, x)), "decision") for m in (whole, parts))
+    assert np.abs(a - b).max() < 1e-3
+    assert whole.n_support_[0] > 150 and whole.n_features_in_ == 2
+    # The conditions of the optimum: margin of free rows, and no row can do better.
+    margin = np.where(y > 0, 1, -1) * a
+    alpha = {tuple(v): abs(c) for v, c in zip(whole.support_vectors_[0], whole.dual_coef_[0], strict=True)}
+    inside = np.array([alpha.get(tuple(v), 0.0) for v in x])
+    assert np.all(margin[inside == 0] >= 1 - 1e-3) or len({tuple(v) for v in x}) < 400
+    z = np.sin(3 * x[:, 0]) + 0.1 * rng.normal(size=400)
+    r = [column(SVR(C=1.0, tol=1e-4, block=k).fit(frame(spark, x, z)).predict(frame(spark, x)), "prediction") for k in (2000, 200)]
+    assert np.abs(r[0] - r[1]).max() < 1e-3
+    with pytest.warns(UserWarning, match="rounds"):
+        SVC(block=20, max_rounds=1).fit(df)
+
+
+def test_probabilities_of_support_vectors(spark, blobs):
+    x, y = blobs
+    df = frame(spark, x, y)
+    m = SVC(probability=True).fit(df)
+    p = column(m.predict_proba(df), "probability")
+    assert np.allclose(p.sum(axis=1), 1) and (p.argmax(axis=1) == y).mean() > 0.97
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 1))
+    true = 1 / (1 + np.exp(-2 * x[:, 0]))
+    two = SVC(probability=True).fit(frame(spark, x, (rng.random(600) < true).astype(int)))
+    assert np.abs(column(two.predict_proba(frame(spark, x)), "probability")[:, 1] - true).mean() < 0.12
+    with pytest.raises(ValueError):
+        SVC().fit(df).predict_proba(df)
+
+
+def test_quantiles_of_ties_and_spikes(spark):
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.integers(0, 3, 1001), np.r_[np.full(1000, 1e-9), 1e12], rng.normal(size=1001), np.zeros(1001), np.r_[rng.normal(size=1000) * 1e-12 + 5, -1e300]])
+    at = (0.0, 0.25, 0.5, 0.731, 1.0)
+    assert np.allclose(stats.quantiles(frame(spark, x), at), np.quantile(x, at, axis=0), rtol=1e-14, atol=0)
+    assert np.allclose(stats.quantiles(frame(spark, x[:2]), at), np.quantile(x[:2], at, axis=0))
+
+
+def test_neighbours_over_many_blocks(spark, monkeypatch):
+    from brindle.operators import blocks, neighbors
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    df = frame(spark, x)
+    whole = sorted(map(tuple, neighbors.kneighbors(df, df, 4).collect()))
+    pairs = sorted(map(tuple, neighbors.pairwise(df, df, within=0.55).collect()))
+    for name in ("LEFT", "RIGHT", "SHARE"):
+        monkeypatch.setattr(blocks, name, 100)
+    assert sorted(map(tuple, neighbors.kneighbors(df, df, 4).collect())) == whole
+    assert sorted(map(tuple, neighbors.pairwise(df, df, within=0.55).collect())) == pairs
+    near = {(r.id, r.other) for r in neighbors.radius_edges(df, 0.55).collect()}
+    monkeypatch.setattr(neighbors, "CELL", 5)
+    assert {(r.id, r.other) for r in neighbors.radius_edges(df, 0.55).collect()} == near == {(a, b) for a, b, _ in pairs if a != b}
+
+
+def test_seeds_are_different_rows(spark):
+    from brindle.operators.cluster import _drawn
+
+    x = np.repeat(np.arange(40.0)[:, None], 30, axis=0)
+    df = frame(spark, x).select("features").repartition(5)
+    got = _drawn(df, 12, 7)
+    assert len({tuple(r) for r in got}) == 12 and np.array_equal(got, _drawn(df.coalesce(1), 12, 7))
+    far = _drawn(df, 100, 7, np.array([[0.0]]))
+    assert len(far) == 39 and not (far == 0).any()
+    m = KMeans(40).fit(frame(spark, x))
+    assert m.inertia_ == 0 and m.n_features_in_ == 1 and m.labels_.select("prediction").distinct().count() == 40
+
+
+def test_bad_features(spark):
+    good = [[1.0, 2.0], [2.0, 1.0]]
+    for rows in ([*good, [1.0]], [*good, [1.0, float("nan")]], [*good, [1.0, None]], [*good, None], [[1.0, float("inf")], *good]):
+        df = spark.createDataFrame([(i, x, float(i)) for i, x in enumerate(rows)], "id long, features array<double>, label double")
+        for m in (StandardScaler(), RobustScaler(), LinearRegression(), PCA(), KMeans(2), SVR()):
+            with pytest.raises(ValueError):
+                m.fit(df)
