@@ -7,7 +7,7 @@ import uuid  # noqa: F401  names of stored files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.shared import shared_dir, stage  # noqa: F401
+from ..operators.shared import shared_dir, stage, tidy, to_discard  # noqa: F401
 
 #: One white-space character, and a word: the text between white space (ASCII space and U+0009 to U+000D).
 SPACES = r"[\x20\x09-\x0D]+"

@@ -341,5 +341,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
 
 
 def op4_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base and model scores of every document."""
+    """doc_id, held_out, token counts, base and model scores of every document.
+
+    Null and empty texts are the end alone; repeated documents count as often as
+    they occur; a null id teaches; no documents give no rows; other columns are
+    ignored.
+    """
     return score(common.documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")

@@ -272,7 +272,13 @@ def read(spark: SparkSession, store: str) -> DataFrame:
 
 
 def op3_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes all documents' ids to a store in the shared folder and reads them back."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from a store in the shared folder that holds all ids.
+
+    Null and empty texts are the end id alone; null ids come first, equal ones are
+    ordered by length and content; no documents give no rows; other columns are
+    ignored. The store goes with what is staged.
+    """
     store = f"{common.shared_dir(spark).rstrip('/')}/tokens-{common.uuid.uuid4().hex}"
+    common.to_discard(store)
     write(common.documents(spark, sf_dir), store, vocabulary())
     return read(spark, store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -117,3 +117,14 @@ def test_rare_contexts_of_a_large_corpus(spark):
     docs = [(0, "ab cd " * 400_000), (1, "zebra quagga")]
     got = {r.id: r.score for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string"), train=lm.F.lit(True)).collect()}
     assert got[1] == pytest.approx(PlainTrie([words(t) for _, t in docs], 5, 1).score(words(docs[1][1])), rel=1e-9)
+
+
+def test_query_equals_plain_trie(spark):
+    """The query itself, order 5, on every whole text of the smallest table."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf()}/documents.parquet").collect()]
+    got = {r.doc_id: tuple(r) for r in lm.op4_ppm_score(spark, sf()).collect()}
+    want = list(plain(docs, 5, 1 << 60))
+    assert len(got) == len(want) == len(docs)
+    for e in want:
+        assert got[e[0]][:5] == e[:5]
+        assert got[e[0]][5:] == pytest.approx(e[5:], rel=1e-9)

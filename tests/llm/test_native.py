@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from brindle.llm import fingerprints, mixing, secrets
@@ -237,3 +238,34 @@ def test_sketch_of_short_texts(spark, tmp_path):
     pair = fingerprints.sketch(spark.createDataFrame([(t, long) for t in texts[5::2]], "a string, b string"), F.col("a"), "s")
     pair = fingerprints.exactly(fingerprints.sketch(pair, F.col("b"), "t"), {"b": (F.col("a"), F.col("s"), F.col("b"), F.col("t"))})
     assert all(r.kept_in_b == 1 for r in pair.collect())
+
+
+def plain_sketch(text):
+    """All members of a fingerprint, by hand: a shingle's hash is that of its words' hashes, each the seed of the next."""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+    shingles_ = []
+    for i in range(max(1, len(h) - 4) if h else 0):
+        seed = 42
+        for x in h[i : i + 5]:
+            seed = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
+        shingles_.append(seed - (seed >> 63 << 64))
+    low = {x for x in shingles_ if x < -(2**63) + 2**64 // 8}
+    return low or ({min(shingles_)} if shingles_ else set()), set(shingles_)
+
+
+def test_fingerprints_equal_plain_sketches(spark):
+    """Every member of every fingerprint, and every likeness, on the whole small table."""
+    rows = {r.doc_id: r for r in fingerprints.op1_scaled_sketch(spark, sf("sf0.01")).collect()}
+    docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf('sf0.01')}/documents.parquet").collect()))
+    as_text = lambda s: "".join(f"{x % 2**64:016x}" for x in sorted(s))
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, (doc_id, text) in enumerate(docs):
+        nxt = docs[(i + 1) % len(docs)][1]
+        h = len(text) // 2
+        own, changed, after = map(plain_sketch, (text, text[: len(text) - h] + nxt[:h], nxt))
+        r = rows[doc_id]
+        assert (r.fingerprint, r.edited_fingerprint) == (as_text(own[0]), as_text(changed[0]))
+        for got, other in ((r.near_edited, changed), (r.near_next, after)):
+            lone = any(len(s[0]) == 1 and min(s[0]) >= fingerprints._limit(8) for s in (own, other))
+            assert got == pytest.approx(like(own[lone], other[lone]))
