@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from . import common
 from .wordpool import steps
 
-ORDER = 5
+ORDER = 5  # 5 at most: a byte string and its document's number in a step share 64 bits
 #: Depth of the branches that are broadcast to score the others, byte strings that are scored in one step, and share of those whose score is broadcast.
 BASE = 2
 CHUNK = 1_000_000
@@ -63,27 +63,38 @@ def held_out(id_: Column) -> Column:
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Parts of batches with their texts' words; bytes.lower and bytes.split are those of ASCII alone."""
+    """Parts of batches, of 65,536 rows at most, with their texts' words; bytes.lower and bytes.split are those of ASCII alone."""
     for batch in batches:
         texts = pc.fill_null(batch.column("text"), b"")
-        for a, b in steps(pc.binary_length(texts).to_pylist(), STEP):
+        # An empty text counts for its share of the rows, too.
+        for a, b in steps(pc.add(pc.binary_length(texts), STEP >> 15).to_pylist(), STEP):
             yield batch.slice(a, b - a), [t.lower().split() for t in texts[a:b].to_pylist()]
 
 
 def _keys(docs: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
     """For every byte of all documents, ends included, that byte and the ``order`` before it as one number; and the bytes of each."""
     joined = [END * order + b" ".join(w) + END for w in docs]
-    s = np.frombuffer(b"".join(joined), np.uint8).astype(np.uint64)
     n = np.fromiter(map(len, joined), np.int64, len(joined))
-    key = np.zeros(len(s), np.uint64)
-    for j in range(order + 1):
-        key[order:] |= s[order - j : len(s) - j] << np.uint64(8 * j)
+    data = END * 7 + b"".join(joined)
+    key = np.empty(len(data) - 7, np.uint64)
+    for at in range(8):  # every eighth string of eight bytes lies in a row
+        key[at::8] = np.frombuffer(data, ">u8", (len(data) - at) // 8, at)
+    key &= np.uint64((1 << 8 * (order + 1)) - 1)
     pad = (np.cumsum(n) - n)[:, None] + np.arange(order)
-    own = np.ones(len(s), bool)
+    own = np.ones(len(key), bool)
     own[pad.ravel()] = False
     return key[own], n - order
 
 
+def _added(counts_: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of several counts, ascending, and their sums."""
+    key, n = (np.concatenate(x) for x in zip(*counts_, strict=True))
+    by = np.argsort(key)
+    key = key[by]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return key[first], np.add.reduceat(n[by], first) if len(first) else n
+
+
 def counts(docs: DataFrame, order: int = ORDER, text_col: str = "text", train: Column | None = None) -> DataFrame:
     """token binary, gram long, n long, m long: how often each token, and each byte with the ``order`` bytes before it, occurs in ``docs``.
 
@@ -93,7 +104,7 @@ def counts(docs: DataFrame, order: int = ORDER, text_col: str = "text", train: C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: Counter = Counter()
-        grams: dict[bool, list[pd.Series]] = {True: [], False: []}
+        grams: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
 
         def out_tokens() -> pa.RecordBatch:
             n = pa.array(list(tokens.values()), pa.int64())
@@ -101,14 +112,10 @@ def counts(docs: DataFrame, order: int = ORDER, text_col: str = "text", train: C
             tokens.clear()
             return batch
 
-        def merged(taught: bool) -> pd.Series:
-            return pd.concat(grams[taught]).groupby(level=0).sum()
-
         def out_grams(taught: bool) -> pa.RecordBatch:
-            g = merged(taught)
+            key, m = _added(grams[taught])
             grams[taught].clear()
-            m = g.to_numpy().astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.nulls(len(g), pa.binary()), pa.array(g.index.to_numpy().astype(np.int64)), pa.array(m * taught), pa.array(m)], ["token", "gram", "n", "m"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.binary()), pa.array(key.astype(np.int64)), pa.array(m * taught), pa.array(m)], ["token", "gram", "n", "m"])
 
         for part, docs_ in _steps(batches):
             teaches = part.column("train").to_pylist()
@@ -122,10 +129,10 @@ def counts(docs: DataFrame, order: int = ORDER, text_col: str = "text", train: C
                 if not own:
                     continue
                 g = grams[taught]
-                g.append(pd.Series(_keys(own, order)[0]).value_counts(sort=False))
-                if sum(map(len, g)) > 4 * HELD:
-                    g[:] = [merged(taught)]
-                    if len(g[0]) > 2 * HELD:
+                g.append(np.unique(_keys(own, order)[0], return_counts=True))
+                if sum(len(key) for key, _ in g) > 4 * HELD:
+                    g[:] = [_added(g)]
+                    if len(g[0][0]) > 2 * HELD:
                         yield out_grams(taught)
         if tokens:
             yield out_tokens()
@@ -273,6 +280,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     strings that share the three bytes before their last. The trie is whole unless a
     ``resolution`` is given.
     """
+    if not 0 <= order <= ORDER:
+        raise ValueError(f"the order must be 0 to {ORDER}")
     spark = docs.sparkSession
     train = ~held_out(F.col(id_col)) if train is None else train
     kind = docs.schema[id_col].dataType.simpleString()
@@ -300,11 +309,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
             scores = np.add.reduceat(own_scores[at], np.cumsum(n_bytes) - n_bytes)
             left = np.flatnonzero(at < 0)
             of, key = np.repeat(np.arange(len(texts)), n_bytes)[left], keys[left]
-            by = np.lexsort((key, of))
-            of, key = of[by], key[by]
-            new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (key[1:] != key[:-1]))[: len(of)])
-            ends_at = pa.array(np.append(0, np.cumsum(np.bincount(of[new], minlength=len(texts)))).astype(np.int32))
-            rare_grams = [pa.ListArray.from_arrays(ends_at, pa.array(x.astype(np.int64))) for x in (key[new], np.diff(np.append(new, len(of))))]
+            # A document's number and a string are one number; a step has no more documents than that leaves room for.
+            both, times_ = np.unique((of.astype(np.uint64) << np.uint64(8 * (order + 1))) | key, return_counts=True)
+            ends_at = pa.array(np.append(0, np.cumsum(np.bincount((both >> np.uint64(8 * (order + 1))).astype(np.int64), minlength=len(texts)))).astype(np.int32))
+            rare_grams = [pa.ListArray.from_arrays(ends_at, pa.array(x.astype(np.int64))) for x in (both & np.uint64((1 << 8 * (order + 1)) - 1), times_)]
             base, n_known, rare, times = [], [], [], []
             for w in texts:
                 logs = [known.get(x) for x in w]
