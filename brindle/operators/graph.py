@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if live.isEmpty():
             return labels.select("id", F.col("root").alias("component"))
         # A larger root hooks onto the smallest one beside it: parents only fall, so there are no cycles.
-        parent = live.groupBy("v").agg(F.min("u").alias("parent")).select(F.col("v").alias("root"), "parent")
+        # Written first, so that the joins below deal both sides themselves and can split a parent with very many roots.
+        parent = stage(live.groupBy("v").agg(F.min("u").alias("parent")).select(F.col("v").alias("root"), "parent"), "hooks")
         while True:
             up = parent.select(F.col("root").alias("parent"), F.col("parent").alias("grand"))
             parent = stage(parent.join(up, "parent", "left").select("root", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved")), "parents")

@@ -379,9 +379,7 @@ EPS, MIN_SAMPLES = 0.02, 4
 _NEAR_2D = f"WITH RECURSIVE p AS (SELECT vec_id AS id, embedding[1] :: DOUBLE AS x, embedding[2] :: DOUBLE AS y FROM embeddings), n AS MATERIALIZED (SELECT a.id, b.id AS other FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {EPS} * {EPS})"
 
 
-@query(
-    _NEAR_2D
-    + f""", core AS MATERIALIZED (SELECT id FROM n GROUP BY id HAVING count(*) >= {MIN_SAMPLES}),
+_DBSCAN = f""", core AS MATERIALIZED (SELECT id FROM n GROUP BY id HAVING count(*) >= {MIN_SAMPLES}),
 ce AS MATERIALIZED (SELECT n.id, n.other FROM n JOIN core a ON n.id = a.id JOIN core b ON n.other = b.id),
 reach(id, root) AS (SELECT id, id FROM core UNION SELECT ce.other, reach.root FROM reach JOIN ce ON ce.id = reach.id),
 root AS MATERIALIZED (SELECT id, min(root) AS root FROM reach GROUP BY id),
@@ -389,7 +387,9 @@ num AS (SELECT root, CAST(row_number() OVER (ORDER BY root) - 1 AS INTEGER) AS c
 border AS (SELECT n.id, min(n.other) AS other FROM n JOIN core ON n.other = core.id WHERE n.id NOT IN (SELECT id FROM core) GROUP BY n.id)
 SELECT p.id, coalesce(a.cluster, b.cluster, -1) AS cluster, root.id IS NOT NULL AS is_core
 FROM p LEFT JOIN root ON root.id = p.id LEFT JOIN num a ON a.root = root.root LEFT JOIN border ON border.id = p.id LEFT JOIN root r2 ON r2.id = border.other LEFT JOIN num b ON b.root = r2.root"""
-)
+
+
+@query(_NEAR_2D + _DBSCAN)
 def dbscan_fit(spark, sf):
     return DBSCAN(EPS, MIN_SAMPLES).fit(embeddings(spark, sf, 2)).labels_
 
@@ -426,6 +426,11 @@ def _radius_whole(spark, sf):
     return NearestNeighbors(5).fit(e := embeddings(spark, sf)).radius_neighbors(WHOLE_EPS, e).where("left_id != right_id").select(F.col("left_id").alias("id"), F.col("right_id").alias("other"))
 
 
+@query(_near_whole(WHOLE_EPS) + ", p AS (SELECT vec_id AS id FROM embeddings)" + _DBSCAN)
+def dbscan_whole_fit(spark, sf):
+    return DBSCAN(WHOLE_EPS, MIN_SAMPLES).fit(embeddings(spark, sf)).labels_
+
+
 @query()
 def kmeans_parallel_init_fit(spark, sf):
     m = KMeans(8, max_iter=20, random_state=3).fit(embeddings(spark, sf))
