@@ -215,8 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Held-out ids, null ids and null labels teach nothing; an id with several
     labels has their maximum. Of more than ``sample`` labelled ids those with
-    the smallest hashes are taken. With fewer than 10 examples or one class, all
-    scores are the mean label, 0.5 if there is none.
+    the smallest hashes are taken; of documents that share an id the one with the
+    first text, so the driver gets ``sample`` rows at most. With fewer than 10
+    examples or one class, all scores are the mean label, 0.5 if there is none.
     """
     vectors = word_vectors(docs, text_col)
     usable = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col(id_col)))
@@ -232,7 +233,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), rows], ["id", "y", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(usable), "id").select("id", "y", "text")
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(usable), "id")
+    # Few rows, but work for as many tasks as a shuffle has.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chosen = chosen.groupBy("id", "y").agg(F.min("text").alias("text")).repartition(n, F.pmod(F.xxhash64("id"), F.lit(n)))
     rows = chosen.mapInArrow(run, f"id {kind}, y int, x array<float>").toArrow()
     rows = rows.sort_by("id")
     y = rows.column("y").to_numpy().astype(float)
@@ -241,7 +245,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, Network], text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1; higher: label 1 is likelier. Null and empty texts have one as well."""
+    """``docs`` with a score from 0 to 1; higher: label 1 is likelier.
+
+    Null and empty texts have one as well, equal texts the same; repeated rows and
+    all other columns stay; a column ``name`` is replaced; no rows give none.
+    """
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
@@ -257,7 +266,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network], text_col: str = "t
 
 
 def op2_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's score; labels teach only outside the held-out quarter."""
+    """doc_id, held_out, score, predicted of every document; labels teach only outside the held-out quarter.
+
+    Null and empty texts are scored, repeated rows and ids stay, a null id isn't held
+    out; no documents give no rows; other columns are ignored.
+    """
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = score(docs, model)

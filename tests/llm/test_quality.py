@@ -55,3 +55,14 @@ def test_temperature_calibrates():
     for low, high in ((0.0, 0.3), (0.3, 0.7), (0.7, 1.0)):
         inside = (got >= low) & (got < high)
         assert got[inside].mean() == pytest.approx(y[inside].mean(), abs=0.06)
+
+
+def test_repeated_ids_and_an_existing_score(spark):
+    rows = [(i, f"text {i} of some words " * (i % 7 + 1), 5.0) for i in range(60) for _ in range(3 if i else 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    out = quality.score(docs, model)
+    assert out.columns == ["doc_id", "text", "score"] and out.count() == len(rows)
+    assert all(0 <= r.score <= 1 for r in out.select("score").distinct().collect())
+    assert quality.score(docs.limit(0), model).count() == 0
