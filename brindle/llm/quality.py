@@ -36,7 +36,7 @@ WORDS, SHAPES, DIM, ONES = 8192, 1024, 64, 4
 #: Labelled documents that the network is fitted to, at most: those with the smallest hashes of their ids.
 SAMPLE = 20_000
 THRESHOLD = 0.7
-STEP, KNOWN = 600_000, 1_000_000
+STEP, KNOWN = 1_200_000, 1_000_000
 PUNCTUATION = string.punctuation + "«»„“”‘’–—…¡¿"
 
 
@@ -94,6 +94,12 @@ class Items:
         return self.word[i], self.shape[i], repeats, n
 
 
+@lru_cache(maxsize=1)
+def _items() -> Items:
+    """What this worker knows of words, from one task to the next."""
+    return Items()
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for batch in batches:
         texts = pc.fill_null(batch.column("text"), "")
@@ -105,7 +111,7 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """bucket, v array<long>: the summed index vectors of what stands beside each bucket, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, index = Items(), index_vectors()
+        items, index = _items(), index_vectors()
         where = np.argsort(index == 0, axis=1, kind="stable")[:, :ONES]
         sign = np.take_along_axis(index, where, axis=1).astype(np.float64)
         sums = np.zeros((WORDS + SHAPES) * DIM)
@@ -215,8 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Held-out ids, null ids and null labels teach nothing; an id with several
     labels has their maximum. Of more than ``sample`` labelled ids those with
-    the smallest hashes are taken; of documents that share an id the one with the
-    first text, so the driver gets ``sample`` rows at most. With fewer than 10
+    the smallest hashes are taken; of documents that share an id the one whose
+    text has the smallest hash, so the driver gets ``sample`` rows at most. With fewer than 10
     examples or one class, all scores are the mean label, 0.5 if there is none.
     """
     vectors = word_vectors(docs, text_col)
@@ -226,18 +232,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items()
+        items = _items()
         for part, texts in _texts(batches):
             x = pool(items, shared.value, texts)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), rows], ["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), part.column("hash"), rows], ["id", "y", "hash", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(usable), "id")
-    # Few rows, but work for as many tasks as a shuffle has.
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chosen = chosen.groupBy("id", "y").agg(F.min("text").alias("text")).repartition(n, F.pmod(F.xxhash64("id"), F.lit(n)))
-    rows = chosen.mapInArrow(run, f"id {kind}, y int, x array<float>").toArrow()
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash")).join(F.broadcast(usable), "id")
+    rows = chosen.select("id", "y", "hash", "text").mapInArrow(run, f"id {kind}, y int, hash long, x array<float>")
+    rows = rows.groupBy("id").agg(F.min_by(F.struct("y", "x"), "hash").alias("r")).select("id", "r.y", "r.x").toArrow()
     rows = rows.sort_by("id")
     y = rows.column("y").to_numpy().astype(float)
     x = rows.column("x").combine_chunks()
@@ -256,7 +260,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network], text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = shared.value
-        items = Items()
+        items = _items()
         for batch in batches:
             texts = pc.fill_null(batch.column(text_col), "")
             found = [network.predict(pool(items, vectors, texts[a:b].to_pylist()).astype(float)) for a, b in steps(pc.utf8_length(texts).to_pylist(), STEP)]
