@@ -19,7 +19,7 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .wordpool import steps
+from .wordpool import steps, strings
 
 WORDS, SHAPES, DIM, ONES = 8192, 1024, 64, 4
 #: Labelled documents that the network is fitted to, at most: those with the smallest hashes of their ids.
@@ -74,20 +74,32 @@ class Items:
         i = 0 if len(core) == len(w) else w.find(core)
         return crc32(low.encode()) % WORDS, _shape(w[:i][:3], kind, w[i + len(core) :][:3])
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For all words in a row: word and shape buckets, whether each repeats the one before, and the words per text."""
-        split = [t.split() for t in texts]
-        words = list(chain.from_iterable(split))
-        new = set(words) - self.at.keys()
+    def __call__(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For all words in a row: word and shape buckets, whether each repeats the one before, and the words per text.
+
+        Only distinct words become Python strings.
+        """
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        split = pc.utf8_split_whitespace(texts)
+        n = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        words, order = strings(coded.dictionary), coded.indices.to_numpy()
+        at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
         if len(self.at) + len(new) > KNOWN:
             self.at.clear()
-            self.word, self.shape, new = self.word[:0], self.shape[:0], set(words)
-        if new:
-            both = np.array([self.of(w) for w in new], np.int32)
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            self.word, self.shape, new = self.word[:0], self.shape[:0], np.arange(len(words))
+        if len(new):
+            own = [words[j] for j in new.tolist()]
+            both = np.array([self.of(w) for w in own], np.int32)
+            at[new] = len(self.at) + np.arange(len(new))
+            self.at.update(zip(own, at[new].tolist(), strict=True))
             self.word, self.shape = np.append(self.word, both[:, 0]), np.append(self.shape, both[:, 1])
-        i = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        n = np.fromiter(map(len, split), np.int64, len(split))
+        if "" in words:  # what is before a blank at the beginning of a text, and after one at its end
+            keep = order != words.index("")
+            n = np.bincount(np.repeat(np.arange(len(n)), n)[keep], minlength=len(n))
+            order = order[keep]
+        i = at[order]
         first = (np.cumsum(n) - n)[n > 0]
         repeats = np.append(False, i[1:] == i[:-1])[: len(i)]
         repeats[first] = False
@@ -100,11 +112,11 @@ def _items() -> Items:
     return Items()
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     for batch in batches:
         texts = pc.fill_null(batch.column("text"), "")
         for a, b in steps(pc.utf8_length(texts).to_pylist(), STEP):
-            yield batch.slice(a, b - a), texts[a:b].to_pylist()
+            yield batch.slice(a, b - a), texts[a:b]
 
 
 def context_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -143,7 +155,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out
 
 
-def pool(items: Items, vectors: np.ndarray, texts: list[str]) -> np.ndarray:
+def pool(items: Items, vectors: np.ndarray, texts: pa.Array | list[str]) -> np.ndarray:
     """(texts, 2 * DIM + 2); zeros for a text without words."""
     word, shape, repeats, n = items(texts)
     out = np.zeros((len(texts), 2 * DIM + 2), np.float32)
@@ -263,7 +275,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network], text_col: str = "t
         items = _items()
         for batch in batches:
             texts = pc.fill_null(batch.column(text_col), "")
-            found = [network.predict(pool(items, vectors, texts[a:b].to_pylist()).astype(float)) for a, b in steps(pc.utf8_length(texts).to_pylist(), STEP)]
+            found = [network.predict(pool(items, vectors, texts[a:b]).astype(float)) for a, b in steps(pc.utf8_length(texts).to_pylist(), STEP)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*found, np.empty(0)]))], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
