@@ -9,11 +9,10 @@ from copy import deepcopy
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 MODES = ("cluster", "compact", "auto")
-#: Rows below which ``auto`` packs a fit's input into one partition: job overhead is then most of the time.
-DEFAULTS = {"mode": "auto", "verbose": False, "threshold": 20_000, "thresholds": {}}
+#: Rows up to which ``auto`` packs a fit's input into one partition.
+DEFAULTS = {"mode": "cluster", "verbose": False, "threshold": 20_000, "thresholds": {}}
 
 _settings, _lock = deepcopy(DEFAULTS), Lock()
 _override: contextvars.ContextVar[str | None] = contextvars.ContextVar("mode", default=None)
@@ -25,7 +24,7 @@ def get_config() -> dict:
 
 
 def set_mode(mode: str) -> None:
-    """``cluster``: the input's own partitions; ``compact``: one; ``auto``: by size."""
+    """``cluster``: the input's own partitions; ``compact``: one; ``auto``: by the optimizer's estimate of its rows."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     with _lock:
@@ -83,13 +82,26 @@ def cluster_info(spark: SparkSession) -> dict:
     return {"master": sc.master, "parallelism": sc.defaultParallelism, "version": spark.version, "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions"))}
 
 
+def estimated_rows(df: DataFrame) -> int:
+    """The rows of ``df`` as the optimizer takes them: its own count where it has one, else its bytes by the schema's width. Nothing is run."""
+    plan = df._jdf.queryExecution().optimizedPlan().stats()
+    if plan.rowCount().isDefined():
+        return int(str(plan.rowCount().get()))
+    return int(str(plan.sizeInBytes())) // max(1, df._jdf.schema().defaultSize())
+
+
 def routed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a fit of ``name`` is to read it."""
+    """``df`` as a fit of ``name`` is to read it.
+
+    A compact input is packed behind a shuffle of its rows, so the plan that makes
+    them keeps all its tasks. ``auto`` decides by the optimizer's estimate, without
+    a job; filters don't lower it, so the rare survivors of a large table stay where
+    they are.
+    """
     c = get_config()
     mode = c["mode"]
     if mode == "auto":
-        rows = c["thresholds"].get(name, c["threshold"])
-        mode = "compact" if df.select(F.lit(1)).limit(rows + 1).count() <= rows else "cluster"
+        mode = "compact" if estimated_rows(df) <= c["thresholds"].get(name, c["threshold"]) else "cluster"
     if c["verbose"]:
         print(f"{name}: {mode}")
-    return df.coalesce(1) if mode == "compact" else df
+    return df.repartition(1) if mode == "compact" else df

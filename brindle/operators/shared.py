@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextvars
 import shutil
 import tempfile
 import uuid
@@ -12,13 +13,15 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+#: All that this process has staged, and, of each thread or task, what the blocks of ``tidy`` around it have staged.
 _staged: list[str] = []
+_blocks: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("blocks", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session. Where that is unset a temporary folder on one machine, and on a cluster a ValueError."""
     path = spark.conf.get("spark.checkpoint.dir", None) or (_own_dir[0] if _own_dir else None)
-    if not path and not spark.sparkContext.master.startswith("local"):
+    if not path and not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="brindle-")
@@ -27,14 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet under the shared folder and reads it back.
+def stage(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet under the shared folder, by the session's codec unless one is named, and reads it back.
 
     This cuts lineage: a lost executor costs a re-read, not a recomputation.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _staged.append(path)
+    df.write.parquet(path, compression=compression)
+    to_discard(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -47,17 +50,25 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
 def to_discard(path: str) -> str:
     """A folder of an operator's own, to be deleted with the staged tables."""
     _staged.append(path)
+    for own in _blocks.get():
+        own.append(path)
     return path
 
 
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """A block that ends by staging its result: the tables staged before that within the block are deleted."""
-    before = len(_staged)
-    yield
-    paths = _staged[before:-1]
-    del _staged[before:-1]
-    _delete(spark, paths)
+    """A block that ends by staging its result: the tables that this thread staged before that within the block are deleted."""
+    own: list[str] = []
+    token = _blocks.set((*_blocks.get(), own))
+    try:
+        yield
+    finally:
+        _blocks.reset(token)
+    gone = own[:-1]
+    for path in gone:
+        if path in _staged:
+            _staged.remove(path)
+    _delete(spark, gone)
 
 
 def discard(spark: SparkSession) -> int:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Values in one numpy step of a task.
 STEP = 1_000_000
+#: Rows of partial results that one reducer, and the driver, merge at a level of the tree beyond the first.
+FAN = 64
 
 
 def matrix(batch: pa.RecordBatch, column: str = "features") -> np.ndarray:
@@ -27,44 +30,61 @@ def slices(batch: pa.RecordBatch, column: str = "features") -> Iterator[pa.Recor
         yield batch.slice(at, step)
 
 
-def sums(df: DataFrame, part: Callable[[pa.RecordBatch], dict[str, np.ndarray]], names: list[str]) -> dict[str, np.ndarray]:
-    """The sums, over all rows of ``df``, of what ``part`` gives for a batch of them: named flat arrays.
+def reduced(df: DataFrame, part: Callable[[pa.RecordBatch], dict[str, np.ndarray]], merge: Callable[[dict, dict], dict]) -> dict[str, np.ndarray] | None:
+    """What ``part`` gives for the batches of ``df``, named arrays, merged pairwise; None without rows.
 
-    Tasks add up in numpy and pass on one number for each place; Spark adds
-    those. What reaches the driver has the size of the arrays, not of the data.
+    Each task merges its own batches in numpy and passes on one row, its arrays as
+    they are in memory. Those meet in a tree: reducers merge the tasks' rows, and
+    where there may be more than ``FAN`` of them, further levels merge theirs; the
+    driver merges the last few. So what is shuffled is a row for each task, however
+    many numbers it holds, and no one gathers all of them. ``merge`` must be
+    associative, for what it is given comes in the order of tasks, in any grouping.
     """
 
+    def rows(state: dict | None) -> Iterator[pa.RecordBatch]:
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(state)], pa.binary())], ["state"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held = None
         for batch in batches:
             for piece in slices(batch) if "features" in batch.schema.names else [batch]:
                 if len(piece):
-                    for k, v in part(piece).items():
-                        held[k] = held[k] + v if k in held else np.asarray(v, float)
-        for k, v in held.items():
-            v = v.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array([names.index(k)] * len(v), pa.int32()), pa.array(np.arange(len(v)), pa.int32()), pa.array(v)], ["name", "at", "v"])
-
-    rows = df.mapInArrow(run, "name int, at int, v double").groupBy("name", "at").agg(F.sum("v").alias("v")).toPandas()
-    out = {}
-    for i, k in enumerate(names):
-        own = rows[rows.name == i].sort_values("at")
-        out[k] = own.v.to_numpy()
+                    own = part(piece)
+                    held = own if held is None else merge(held, own)
+        yield from rows(held)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for x in batch.column("state"):
+                own = pickle.loads(x.as_py())
+                held = own if held is None else merge(held, own)
+        yield from rows(held)
+
+    numbered = lambda x: x.withColumn("task", F.spark_partition_id())
+    level = numbered(df.mapInArrow(run, "state binary"))
+    # As many reducers as a shuffle has at most; Spark makes them fewer where the rows are small.
+    left = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    level = numbered(level.repartition("task").sortWithinPartitions("task").mapInArrow(again, "state binary"))
+    while left > FAN:
+        left = -(-left // FAN)
+        level = numbered(level.repartition(left, "task").sortWithinPartitions("task").mapInArrow(again, "state binary"))
+    out = None
+    for row in sorted(level.collect(), key=lambda r: r.task):
+        own = pickle.loads(row.state)
+        out = own if out is None else merge(out, own)
     return out
 
 
-def checked(df: DataFrame, features: str = "features") -> tuple[int, list[Column]]:
-    """The number of features of a first row, and aggregates that tell whether all rows have that many, all finite.
+def sums(df: DataFrame, part: Callable[[pa.RecordBatch], dict[str, np.ndarray]], names: list[str]) -> dict[str, np.ndarray]:
+    """The sums, over all rows of ``df``, of what ``part`` gives for a batch of them: named flat arrays, empty where none gave one."""
 
-    Those go along with a fit's own aggregates, so that checking costs no pass;
-    ``sound`` takes their values.
-    """
-    first = df.select(F.size(features).alias("d")).first()
-    if first is None:
-        raise ValueError("no rows to fit")
-    x = F.col(features)
-    bad = x.isNull() | (F.size(x) != first.d) | F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return max(first.d or 0, 0), [F.coalesce(F.bool_or(F.coalesce(bad, F.lit(True))), F.lit(False)).alias("bad")]
+    def add(a: dict, b: dict) -> dict:
+        return {k: a[k] + b[k] if k in a and k in b else a.get(k, b.get(k)) for k in a | b}
+
+    found = reduced(df, lambda batch: {k: np.asarray(v, float).ravel() for k, v in part(batch).items()}, add) or {}
+    return {k: found.get(k, np.empty(0)) for k in names}
 
 
 def sound(bad) -> None:
@@ -72,24 +92,63 @@ def sound(bad) -> None:
         raise ValueError("features must be arrays of one length without nulls, NaN or infinities")
 
 
-def _each(df: DataFrame, *aggregates: Callable) -> list[tuple]:
-    """Aggregates of each feature, all in one pass, which also checks the features."""
-    d, check = checked(df)
-    exprs = [f(F.get("features", F.lit(j))) for f in aggregates for j in range(d)]
-    row = df.agg(*check, *[e.alias(f"a{i}") for i, e in enumerate(exprs)]).first()
-    sound(row[0])
-    return [tuple(row[1 + k * d : 1 + (k + 1) * d]) for k in range(len(aggregates))]
+def is_sound(batch: pa.RecordBatch, d: int) -> bool:
+    """Whether all features are arrays of ``d`` finite numbers."""
+    column = batch.column("features")
+    if column.null_count or pc.any(pc.not_equal(pc.list_value_length(column), d)).as_py():
+        return False
+    values = column.flatten()
+    return not values.null_count and bool(np.isfinite(values.to_numpy(zero_copy_only=False)).all())
+
+
+def _moments_of(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    column = batch.column("features")
+    d = len(column[0]) if column[0].is_valid else -1
+    if not is_sound(batch, d):
+        return {"bad": np.ones(1)}
+    x = matrix(batch)
+    mean = x.mean(axis=0)
+    # What rounding leaves of the deviations' sum corrects the mean and their squares.
+    off = x - mean
+    rest = off.sum(axis=0)
+    m2 = np.einsum("ij,ij->j", off, off) - rest * rest / len(x)
+    return {"n": np.array([float(len(x))]), "mean": mean, "rest": rest / len(x), "m2": m2, "low": x.min(axis=0), "high": x.max(axis=0)}
+
+
+def merged_moments(a: dict, b: dict) -> dict:
+    """Counts, means, sums of squared deviations and extremes of two sets of rows taken together.
+
+    A mean is ``mean + rest``, two numbers of which the second has what the first rounds
+    off, so the distance of two means is exact where they are large and close.
+    """
+    if "bad" in a or "bad" in b or len(a["mean"]) != len(b["mean"]):
+        return {"bad": np.ones(1)}
+    n = a["n"] + b["n"]
+    step, share = (b["mean"] - a["mean"]) + (b["rest"] - a["rest"]), b["n"] / n
+    move = a["rest"] + step * share
+    mean = a["mean"] + move
+    return {"n": n, "mean": mean, "rest": (a["mean"] - mean) + move, "m2": a["m2"] + b["m2"] + step * step * a["n"] * share, "low": np.minimum(a["low"], b["low"]), "high": np.maximum(a["high"], b["high"])}
+
+
+def describe(df: DataFrame) -> dict[str, np.ndarray]:
+    """n, mean, m2 (sum of squared deviations), low and high of each feature, in one pass, which also checks the features."""
+    found = reduced(df.select(F.col("features").cast("array<double>").alias("features")), _moments_of, merged_moments)
+    if found is None:
+        raise ValueError("no rows to fit")
+    sound("bad" in found)
+    found["mean"] = found["mean"] + found.pop("rest")
+    return found
 
 
 def moments(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Means and population variances."""
-    mean, var = _each(df, F.avg, F.var_pop)
-    return np.array(mean), np.array(var)
+    s = describe(df)
+    return s["mean"], np.maximum(s["m2"], 0.0) / s["n"]
 
 
 def extremes(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    low, high = _each(df, F.min, F.max)
-    return np.array(low), np.array(high)
+    s = describe(df)
+    return s["low"], s["high"]
 
 
 #: Bins of a histogram in which ranks are looked for, and how often a bin is cut into bins again.
@@ -103,9 +162,9 @@ def quantiles(df: DataFrame, at: tuple[float, ...]) -> np.ndarray:
     the values in there are counted by Spark, and running counts of them give the
     rank. So no task holds a feature's values, however many there are.
     """
-    low, high = extremes(df)
+    s = describe(df)
+    low, high, n = s["low"], s["high"], int(s["n"][0])
     d = len(low)
-    n = df.count()
     place = [(n - 1) * q for q in at]
     ranks = sorted({int(np.floor(p)) for p in place} | {int(np.ceil(p)) for p in place})
     # Of each feature and rank: the interval it lies in, whether that has its upper end, and how many values are below.
@@ -174,8 +233,7 @@ def gram(df: DataFrame, label: bool = False) -> dict[str, np.ndarray]:
     names = ["n", "x", "xx", "y", "yy", "xy", "bad"]
 
     def part(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        column = batch.column("features")
-        if column.null_count or pc.any(pc.not_equal(pc.list_value_length(column), d)).as_py() or column.flatten().null_count or not np.isfinite(column.flatten().to_numpy(zero_copy_only=False)).all():
+        if not is_sound(batch, d):
             return {"bad": np.array([1.0])}
         x = matrix(batch) - x0
         out = {"n": np.array([len(x)]), "x": x.sum(axis=0), "xx": x.T @ x}

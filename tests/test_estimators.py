@@ -454,3 +454,110 @@ def test_bad_features(spark):
         for m in (StandardScaler(), RobustScaler(), LinearRegression(), PCA(), KMeans(2), SVR()):
             with pytest.raises(ValueError):
                 m.fit(df)
+
+
+def test_routing_runs_nothing_and_narrows_nothing(spark):
+    """A filtered input of 64 partitions keeps its tasks, whatever the mode; the decision takes no job."""
+    big = spark.range(0, 64_000_000, 1, 64).where("id % 4000000 = 0").selectExpr("array(double(id), 1.0D) AS features")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("routing", "routing")
+    try:
+        for mode in ("auto", "cluster", "compact"):
+            with brindle.running(mode):
+                routed = config.routed(big, "KMeans")
+            assert tracker.getJobIdsForGroup("routing") == () or not list(tracker.getJobIdsForGroup("routing"))
+            if mode != "compact":
+                assert routed.rdd.getNumPartitions() == 64
+    finally:
+        spark.sparkContext.setJobGroup("other", "other")
+    with brindle.running("compact"):
+        packed = config.routed(big, "KMeans")
+    assert "RoundRobin" in packed._jdf.queryExecution().toString() or "SinglePartition" in packed._jdf.queryExecution().toString()
+    assert "Coalesce 1" not in packed._jdf.queryExecution().toString() and packed.count() == 16
+    assert config.estimated_rows(big) > 20_000 >= config.estimated_rows(spark.range(16).selectExpr("array(double(id)) AS features"))
+
+
+def plain_moments(x):
+    x = x.astype(np.longdouble)
+    return [np.asarray(v, float) for v in (x.mean(axis=0), x.var(axis=0), x.min(axis=0), x.max(axis=0))]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_moments_of_large_numbers(spark, parts):
+    """A column of 1e9 plus noise, a constant, and wide ranges, over one and several tasks."""
+    rng = np.random.default_rng(3)
+    x = np.column_stack([1e9 + rng.normal(size=5000), np.full(5000, 7.0), rng.normal(size=5000) * 1e-9, rng.exponential(1e6, 5000)])
+    s = stats.describe(frame(spark, x).repartition(parts))
+    mean, var, low, high = plain_moments(x)
+    assert s["n"] == 5000 and (s["low"] == low).all() and (s["high"] == high).all()
+    assert np.allclose(s["mean"], mean, rtol=1e-14) and np.allclose(s["m2"] / 5000, var, rtol=1e-9, atol=0)
+
+
+def test_partial_results_meet_in_a_tree(spark, monkeypatch):
+    """More tasks than one level takes: what each shuffle moves is a row for each task, then for each reducer."""
+    monkeypatch.setattr(stats, "FAN", 3)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 20))
+    df = frame(spark, x).repartition(60)
+    spark.conf.set("spark.sql.shuffle.partitions", 20)
+    try:
+        assert np.allclose(stats.describe(df)["mean"], x.mean(axis=0))
+        g = stats.gram(df)
+        assert np.allclose(g["xx"], (x - x.mean(axis=0)).T @ (x - x.mean(axis=0)))
+        s = stats.sums(df, lambda b: {"a": np.array([len(b)])} if len(b) > 1 else {}, ["a", "none"])
+        assert s["a"].sum() <= 4000 and len(s["none"]) == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+@pytest.mark.parametrize("bad", [[[1.0, 2.0], [1.0]], [[1.0], None], [[1.0], [None]], [[1.0], [float("nan")]], [[1.0], [float("inf")]]])
+def test_unsound_features_are_refused(spark, bad):
+    df = spark.createDataFrame([(b,) for b in bad], "features array<double>").repartition(2)
+    for model in (StandardScaler(), MinMaxScaler(), RobustScaler()):
+        with pytest.raises(ValueError):
+            model.fit(df)
+        with pytest.raises(ValueError):
+            model.fit(df.limit(0))
+
+
+def test_tidy_keeps_to_its_own_thread(spark, monkeypatch, tmp_path):
+    from threading import Barrier, Thread
+
+    from brindle.operators import shared
+
+    monkeypatch.setattr(shared, "_own_dir", [str(tmp_path)])
+    step, counts = Barrier(2), {}
+
+    def run(k):
+        with shared.tidy(spark):
+            shared.stage(spark.range(5 + k), "first")
+            step.wait()
+            out = shared.stage(spark.range(10 + k), "last")
+            step.wait()
+        counts[k] = out.count()
+
+    threads = [Thread(target=run, args=(k,)) for k in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert counts == {0: 10, 1: 11} and sum(p.name.startswith("first") for p in tmp_path.iterdir()) == 0
+
+
+def test_streaming_goes_on_where_it_ended(spark, regression, tmp_path):
+    from brindle.streaming.scoring import score_to_parquet
+
+    x, y = regression
+    df = frame(spark, x, y)
+    m = LinearRegression().fit(df)
+    stream = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    df.write.parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError):
+        score_to_parquet(m, stream(), str(tmp_path / "out"))
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
+    try:
+        for _ in range(2):
+            score_to_parquet(m, stream(), str(tmp_path / "out")).awaitTermination()
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(x)
