@@ -242,7 +242,7 @@ def write(
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "n": F.length("payload").cast("long"), "row": F.monotonically_increasing_id()})
     # Written, so that a row keeps its number. Equal ids are ordered by content.
-    rows = common.stage(rows.withColumn("place", F.xxhash64("url", "digest")), "warc-pages")
+    rows = common.stage(rows.withColumn("place", F.xxhash64("url", "digest")), "warc-pages", "zstd")
     marked = _marked(rows, least)
     size = F.lit(HEADERS) + F.coalesce(F.length("url"), F.lit(0)) + F.when(F.col("first").isNull(), F.col("n")).otherwise(0)
     bounds = _bounds(marked.select("id", "place", "row", size.cast("long").alias("size")), shard_bytes)
