@@ -30,11 +30,18 @@ by one, so they also go to the members nearest the group's centre, for that is
 where the text lies that all others were made from. Only distinct fingerprints
 take part.
 
+Where verified proposals leave the members of a long run in several components, as
+texts made from one template do, the rest is done exactly: such members are filed by
+their rarest shingles, as many as two similar sets must share one of, and pairs of
+different components that meet are verified, too. So a pair with a key in common is
+found however many others have that key.
+
 Keys that very many fingerprints share are told from a sample of the fingerprints,
 and dealt to several tasks. For exact links those of a pair that differ in 3 bits
 at most agree in one of four parts of the segment that the key leaves open, and are
-dealt by these. For similar texts they are dealt by chance, and the busiest member
-of each large component found is then compared with all who share a key with it.
+dealt by these. For similar texts they are dealt by chance, the busiest member of
+each large component found is then compared with all who share a key with it, and
+what is left meets by rare shingles like that of other long runs.
 """
 
 from __future__ import annotations
@@ -51,6 +58,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import stats
 from ..operators.graph import connected_components
 from . import common
 
@@ -288,11 +296,12 @@ def _distance(f: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(f ^ x).sum(axis=-1, dtype=np.int64)
 
 
-def _proposals(key: np.ndarray, node: np.ndarray, f: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (member, other) at ``limit`` or fewer bits within runs of equal keys: all in short runs, else a few for each member.
+def _proposals(key: np.ndarray, node: np.ndarray, f: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (member, other) at ``limit`` or fewer bits within runs of equal keys, and which rows are in long runs.
 
-    Of a longer run's component those by which it was searched, and those with
-    the ``HUBS`` members nearest its centre.
+    Short runs give all pairs. Of a longer run's component come those by which it was
+    searched, and those with the ``HUBS`` members nearest its centre: enough to join
+    a group whose members are all alike. Other pairs in long runs are for ``_unsettled``.
     """
     starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
     sizes = np.diff(np.append(starts, len(key)))
@@ -326,7 +335,7 @@ def _proposals(key: np.ndarray, node: np.ndarray, f: np.ndarray, limit: int) ->
                     b.append(np.full(len(new), h))
     a, b = np.concatenate([*a, np.empty(0, np.int64)]), np.concatenate([*b, np.empty(0, np.int64)])
     both = np.unique(np.stack([node[a], node[b]], axis=1)[node[a] != node[b]], axis=0)
-    return both[:, 0], both[:, 1]
+    return both[:, 0], both[:, 1], ~short
 
 
 def _edges(filed: DataFrame, lanes: list[str], limit: int, links=_links) -> DataFrame:
@@ -359,6 +368,38 @@ def _edges(filed: DataFrame, lanes: list[str], limit: int, links=_links) -> Data
     return order.mapInArrow(run, "a long, b long")
 
 
+def _searched(filed: DataFrame, lanes: list[str], limit: int) -> DataFrame:
+    """a, b for the ``_proposals`` of the runs of equal ``run``, and a, key for each row in a long one. ``filed`` has run, key, node and ``lanes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+
+        def out(table: np.ndarray) -> pa.RecordBatch:
+            a, b, long = _proposals(table[:, 0], table[:, 2], table[:, 3:].copy().view(np.uint64), limit)
+            member, key = table[long, 2], table[long, 1]
+            none = [pa.nulls(n, pa.int64()) for n in (len(member), len(a))]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a), pa.array(member)]), pa.concat_arrays([pa.array(b), none[0]]), pa.concat_arrays([none[1], pa.array(key)])], ["a", "b", "key"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = np.stack([batch.column(c).to_numpy() for c in ("run", "key", "node", *lanes)], axis=1)
+            if kept and kept[-1][-1, 0] == table[-1, 0]:
+                kept.append(table)
+                continue
+            # The last run may go on in the next batch.
+            whole = np.concatenate([*kept, table])
+            at = np.searchsorted(whole[:, 0], whole[-1, 0])
+            kept = [whole[at:]]
+            if at:
+                yield out(whole[:at])
+        if kept:
+            yield out(np.concatenate(kept))
+
+    order = filed.repartition("run").sortWithinPartitions("run", "node")
+    return order.mapInArrow(run, "a long, b long, key long")
+
+
 def _file(nodes: DataFrame, keys, key_lanes: list[str], keep: list[str]) -> DataFrame:
     """key, node and ``keep`` for each key of each row of ``nodes``."""
 
@@ -502,11 +543,75 @@ def _across(filed: DataFrame, hot: DataFrame, edges: DataFrame, limit: int, lane
     return here.join(tops, "key").where(apart & (F.col("node") != F.col("hub.node")) & (bits <= limit)).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
 
 
+#: Cells of the table of rough shingle counts.
+CELLS = 1 << 20
+
+
+def _unsettled(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, component: the members of all long runs (node, key) that ``edges`` leave in several components."""
+    labels = connected_components(edges).select(F.col("id").alias("node"), "component")
+    named = common.stage(members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "long-runs")
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    mixed = common.stage(mixed, "mixed-runs")
+    return common.stage(named.join(mixed, "key", "left_semi").select("node", "component").distinct(), "unsettled")
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """shingle, node, component, size, pos, first: the shingles of each set by which a similar one must be met.
+
+    In any one order of shingles, two sets with a cosine of ``similarity`` share one
+    among the first n - ceil(similarity * n) + 1 of the smaller (``first``) and the
+    first n - ceil(similarity^2 * n) + 1 of the larger. The order is by how many sets
+    have a shingle, roughly, so what many share comes last; that only saves work.
+    """
+    mask = np.uint64(CELLS - 1)
+
+    def rough(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        x = batch.column("shingles").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        return {"n": np.bincount((x & mask).astype(np.int64), minlength=CELLS).astype(np.int32)}
+
+    found = stats.reduced(sets.select("shingles"), rough, lambda a, b: {"n": a["n"] + b["n"]})
+    counts = sets.sparkSession.sparkContext.broadcast(np.zeros(CELLS, np.int32) if found is None else found["n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part = batch.slice(at, 200)
+                size = pc.list_value_length(part.column("shingles")).to_numpy(zero_copy_only=False).astype(np.int64)
+                x = part.column("shingles").flatten().to_numpy(zero_copy_only=False)
+                of = np.repeat(np.arange(len(size)), size)
+                x = x[np.lexsort((x, counts.value[(x.view(np.uint64) & mask).astype(np.int64)], of))]
+                pos = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+                first, whole = (size - np.ceil(size * s - 1e-9).astype(np.int64) + 1 for s in (similarity, similarity * similarity))
+                keep = np.flatnonzero(pos < whole[of])
+                x, of, pos = x[keep], of[keep], pos[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(x), part.column("node").take(pa.array(of)), part.column("component").take(pa.array(of)), pa.array(size[of]), pa.array(pos), pa.array(pos < first[of])], ["shingle", "node", "component", "size", "pos", "first"])
+
+    return sets.select("node", "component", "shingles").mapInArrow(run, "shingle long, node long, component long, size long, pos long, first boolean")
+
+
+def _met(sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all pairs of different components that may have a cosine of ``similarity``; none that has it is missing."""
+    rows = common.stage(_prefixes(sets, similarity), "prefixes")
+    # Shingles of one component alone are told from sums, whatever its size.
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
+    rows = common.stage(rows.join(common.stage(mixed, "mixed-shingles"), "shingle", "left_semi"), "shared-prefixes")
+    small = rows.where("first").select("shingle", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"), F.col("pos").alias("pa"))
+    large = rows.select("shingle", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("pos").alias("pb"))
+    t2 = similarity * similarity
+    order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    # If this shingle is their first in common, no more are than what is left from here on.
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")).cast("double")
+    may = (F.col("nb") * t2 <= F.col("na") + 1e-9) & (left * left >= F.col("na") * F.col("nb") * t2 - 1e-9)
+    return small.join(large, "shingle").where((F.col("ca") != F.col("cb")) & order & may).select("a", "b").distinct()
+
+
 def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """id, component_id: documents whose sets of ``shingle`` words have a cosine of ``similarity`` or more, together with those they reach.
 
-    No two documents are joined that such links don't join. Links are found with
-    high, not full, probability (README has rates). Texts with equal
+    No two documents are joined that such links don't join. A link is found if the
+    two have a key in common, which is so with high, not full, probability (README
+    has rates); how many others have that key makes no difference. Texts with equal
     fingerprints are taken as equal; blank texts are together. Null ids as in
     ``components``. One row for each input row; no rows give none; other columns
     are ignored.
@@ -519,11 +624,12 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     # Written, so that what follows meets each fingerprint once, however many copies it has.
     nodes = common.stage(prints.groupBy("node", *key_lanes, *lanes).agg(F.min(F.struct("id", "text_hash")).alias("text")), "fingerprints")
     filed, busy, limit = _file(nodes, _similar_keys, key_lanes, lanes), _hot(nodes, _similar_keys, key_lanes, hot), bits_for(similarity)
-    dealt = filed
+    dealt = filed.withColumn("run", F.col("key"))
     if busy is not None:
         part = F.pmod(F.xxhash64("node", "key"), F.col("parts"))
-        dealt = filed.join(busy, "key", "left").withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", part))).drop("parts")
-    proposed = common.stage(_edges(dealt, lanes, limit, _proposals).distinct(), "proposed")
+        dealt = filed.join(busy, "key", "left").withColumn("run", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", part))).drop("parts")
+    searched = common.stage(_searched(dealt, lanes, limit), "searched")
+    proposed = common.stage(searched.where("b is not null").select("a", "b").distinct(), "proposed")
 
     def checked(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
@@ -532,8 +638,15 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
 
     edges = checked(proposed)
     if busy is not None:
+        # Joins the large components that were dealt to several tasks.
         more = common.stage(_across(filed, busy, edges, limit, lanes, hot * SAMPLED // 8), "proposed-across")
         edges = edges.unionAll(checked(more))
+    # Pairs in long runs that no edge joins yet are met by their rare shingles.
+    open_ = _unsettled(searched.where("key is not null").select(F.col("a").alias("node"), "key"), edges)
+    if not open_.isEmpty():
+        sets = common.stage(_shingle_sets(docs, nodes, open_.select("node"), shingle, id_col, text_col), "open-sets")
+        met = common.stage(_met(sets.join(open_, "node"), similarity), "proposed-by-shingles")
+        edges = edges.unionAll(common.stage(_verified(met, sets, similarity), "verified"))
     return _with_components(prints.select("id", "node"), "node", edges).select("id", "component_id")
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from brindle.llm import simhash
@@ -184,3 +185,61 @@ def test_filing_runs_in_as_many_tasks_as_a_shuffle(spark):
     nodes = spark.range(50_000).selectExpr("xxhash64(id) AS node").distinct()
     filed = simhash._file(nodes, lambda f: simhash._exact_keys(f[:, 0]), ["node"], [])
     assert filed.rdd.getNumPartitions() == n
+
+
+def templated(rng, pairs, shared, own, replaced):
+    """Pairs of texts near 0.8, all with one template in common that makes any two of them nearly as alike."""
+    template = [f"t{k}" for k in range(shared)]
+    texts = []
+    for i in range(pairs):
+        w = [*template, *(f"o{i}x{k}" for k in range(own))]
+        at = rng.randrange(len(w) - replaced + 1)
+        texts += [" ".join(w), " ".join([*w[:at], *(f"r{i}x{k}" for k in range(replaced)), *w[at + replaced :]])]
+    return texts
+
+
+def linked(texts, similarity=0.8):
+    """Components over all pairs of shingle sets, by an index of shingles; and the pairs."""
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    label, near = list(range(len(texts))), []
+    for a in range(len(texts)):
+        for b in range(a):
+            if cosine(sets[a], sets[b]) >= similarity - 1e-12:
+                near.append((b, a))
+                x, y = sorted((label[a], label[b]))
+                if x != y:
+                    label = [x if c == y else c for c in label]
+    return label, near
+
+
+@pytest.mark.parametrize("shared,own,replaced,hot", [(150, 50, 33, simhash.HOT), (27, 13, 3, simhash.HOT), (140, 60, 33, simhash.HOT), (150, 50, 33, 4)])
+def test_pairs_of_one_template(spark, monkeypatch, shared, own, replaced, hot):
+    """However many texts share a template, pairs within are found, and no two texts are joined that links don't join."""
+    monkeypatch.setattr(simhash, "DEALT", 64)
+    pairs = 200
+    texts = templated(random.Random(shared + hot), pairs, shared, own, replaced)
+    label, near = linked(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.id: r.component_id for r in simhash.similar_components(docs, hot=hot).collect()}
+    assert len(near) >= 0.6 * pairs and all(label[got[i]] == label[i] for i in got)
+    assert sum(got[a] == got[b] for a, b in near) >= 0.95 * len(near)
+
+
+def test_prefixes_meet_every_pair(spark):
+    """Sets of many sizes over a template, at several similarities: no pair of different components is missing, and few others come."""
+    rng = random.Random(11)
+    common_ = list(range(1, 60))
+    sets = [sorted({*rng.sample(common_, rng.randrange(5, 59)), *rng.sample(range(100, 400), rng.randrange(0, 60))}) for _ in range(250)]
+    sets += [sorted({*x[: len(x) - rng.randrange(0, len(x) // 3)], 1000 + i}) for i, x in enumerate(sets[:120])]
+    df = spark.createDataFrame([(i, i // 2, x) for i, x in enumerate(sets)], "node long, component long, shingles array<long>")
+    for similarity in (0.6, 0.8, 0.95, 1.0):
+        met = {tuple(sorted((r.a, r.b))) for r in simhash._met(df, similarity).collect()}
+        near = {(b, a) for a in range(len(sets)) for b in range(a) if a // 2 != b // 2 and cosine(set(sets[a]), set(sets[b])) >= similarity - 1e-12}
+        assert near <= met and (similarity < 0.95 or len(met) <= 4 * len(near) + len(sets))
+        assert all(a // 2 != b // 2 for a, b in met)
+
+
+def test_a_group_of_copies_makes_no_pairs_by_shingles(spark):
+    """One component shares its shingles with itself only: nothing is met, whatever its size."""
+    df = spark.createDataFrame([(i, 0, list(range(i % 3, 100))) for i in range(3000)], "node long, component long, shingles array<long>")
+    assert simhash._met(df, 0.8).count() == 0
