@@ -1,5 +1,7 @@
 """Estimators against closed forms in numpy, invariants and edge cases."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -520,17 +522,16 @@ def test_unsound_features_are_refused(spark, bad):
             model.fit(df.limit(0))
 
 
-def test_tidy_keeps_to_its_own_thread(spark, monkeypatch, tmp_path):
+def test_tidy_keeps_to_its_own_thread(spark):
     from threading import Barrier, Thread
 
     from brindle.operators import shared
 
-    monkeypatch.setattr(shared, "_own_dir", [str(tmp_path)])
-    step, counts = Barrier(2), {}
+    step, counts, firsts = Barrier(2), {}, []
 
     def run(k):
         with shared.tidy(spark):
-            shared.stage(spark.range(5 + k), "first")
+            firsts.append(shared.stage(spark.range(5 + k), "first").inputFiles()[0])
             step.wait()
             out = shared.stage(spark.range(10 + k), "last")
             step.wait()
@@ -541,7 +542,8 @@ def test_tidy_keeps_to_its_own_thread(spark, monkeypatch, tmp_path):
         t.start()
     for t in threads:
         t.join()
-    assert counts == {0: 10, 1: 11} and sum(p.name.startswith("first") for p in tmp_path.iterdir()) == 0
+    assert counts == {0: 10, 1: 11} and len(firsts) == 2
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in firsts)
 
 
 def test_streaming_goes_on_where_it_ended(spark, regression, tmp_path):
@@ -552,12 +554,6 @@ def test_streaming_goes_on_where_it_ended(spark, regression, tmp_path):
     m = LinearRegression().fit(df)
     stream = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     df.write.parquet(str(tmp_path / "in"))
-    with pytest.raises(ValueError):
-        score_to_parquet(m, stream(), str(tmp_path / "out"))
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    try:
-        for _ in range(2):
-            score_to_parquet(m, stream(), str(tmp_path / "out")).awaitTermination()
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    for _ in range(2):
+        score_to_parquet(m, stream(), str(tmp_path / "out")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(x)
