@@ -7,7 +7,9 @@ access key, an account name or an endpoint; an account name or an endpoint besid
 a secret or a random string.
 
 What lies within an endpoint, a path or a file name is no part of its own, so a
-link's address never stands for a credential. A random string has small letters,
+link's address never stands for a credential. An endpoint is an address of four
+numbers, or a scheme with what follows; a scheme's characters begin where no other
+of them stands before (``1http://`` begins at the 1), so no text is tried twice. A random string has small letters,
 capitals and digits in such short runs as words and product codes don't have.
 
 That interval join is done by sorting: per document the parts are put in order
@@ -32,9 +34,9 @@ KINDS = {
     "assign": (0, r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]""", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, "secret"),
     "access": (1, r"AKIA[A-Z0-9]{16}", r"AKIA[A-Z0-9]+", 0, 20, "name"),
     "hex": (2, r"[0-9a-f]{24}", r"[0-9a-f]{24,}", 0, 24, "secret"),
-    "account": (3, r"(?i)(?:key_?id|client_?id|account|user|login)[a-z_]*[\"']?\x20*[:=]", r"""(?i)(?:access_?key_?id|client_?id|account|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", 0, 1, "weak name"),
+    "account": (3, r"(?i)(?:key_?id|client_?id|account|user|login)[a-z_]{0,5}[\"']?\x20*[:=]", r"""(?i)(?:access_?key_?id|client_?id|account|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", 0, 1, "weak name"),
     "opaque": (4, r"[A-Za-z0-9+_=-]{16}", r"(?<![A-Za-z0-9+_=/\\.%&?#@-])[A-Za-z0-9+_=-]{16,}+(?![/\\@]|[.:][A-Za-z0-9])", 0, 16, "weak secret"),
-    "endpoint": (5, r"://|[0-9]\.[0-9]", r"""[A-Za-z][A-Za-z0-9+.-]*://[^\x20\x09-\x0D"'<>]+|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?![0-9.])""", 0, 1, "endpoint"),
+    "endpoint": (5, r"://|[0-9]\.[0-9]", r"""(?<![A-Za-z0-9+.-])[0-9+.-]*+[A-Za-z][A-Za-z0-9+.-]*+://[^\x20\x09-\x0D"'<>]+|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?![0-9.])""", 0, 1, "endpoint"),
 }
 BASE = ("assign", "access", "hex")
 
@@ -68,6 +70,11 @@ def _pieces(text: Column, kind: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(test)), found).otherwise(none)
 
 
+def _is_mark() -> Column:
+    """Whether a span's text is to be replaced."""
+    return (F.col("kind") >= 0) & (F.col("kind") != KINDS["endpoint"][0])
+
+
 def _is(role: str) -> Column:
     return F.col("kind").isin([v[0] for v in KINDS.values() if v[5] in role.split("|")])
 
@@ -81,11 +88,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     never overlap a base span. Texts of any length are searched whole. Columns
     that aren't asked for are ignored, so their names can't clash.
     """
-    return _scan(docs, text_col, F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(c) for c in keep])).select("row.*", "found")
+    found = F.transform("found", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "kind", "end", "base")]))
+    return _scan(docs, text_col, F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(c) for c in keep])).select("row.*", found.alias("found"))
 
 
-def _scan(docs: DataFrame, text_col: str, whole: Column) -> DataFrame:
-    """row and found: ``whole`` and the spans of each row."""
+def _scan(docs: DataFrame, text_col: str, whole: Column, before: bool = False) -> DataFrame:
+    """row and found: ``whole`` and the spans of each row, with ``before`` also where the spans ahead of each end that aren't endpoints."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     # A row of kind -1 stands for the document itself, so that one without parts stays.
     own = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("n"), F.lit(0).alias("gap"), F.lit(0).alias("len"), F.lit(False).alias("ok")))
@@ -113,10 +121,15 @@ def _scan(docs: DataFrame, text_col: str, whole: Column) -> DataFrame:
     parts = parts.where(~hidden).drop("base_end", "base_start", "address_end", "address_start")
     parts = beside(parts, {"secret": _is("secret|weak secret"), "part": _is("name|weak name|endpoint")})
     linked = (_is("weak secret") & near("part", SCOPE)) | (_is("weak name|endpoint") & near("secret", SCOPE))
-    span = F.struct("start", "kind", "end", base.alias("base"))
+    parts = parts.where(base | linked | (F.col("kind") < 0))
+    span = ["start", "kind", "end", base.alias("base")]
+    if before:
+        ahead = Window.partitionBy("uid").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("before", F.coalesce(F.max(F.when(_is_mark(), F.col("end"))).over(ahead), F.lit(0)))
+        span.append(F.col("before"))
     return (
         parts.groupBy("uid")
-        .agg(F.max_by("row", F.col("row").isNotNull()).alias("row"), F.sort_array(F.collect_list(F.when(base | linked, span))).alias("found"))
+        .agg(F.max_by("row", F.col("row").isNotNull()).alias("row"), F.sort_array(F.collect_list(F.when(F.col("kind") >= 0, F.struct(*span)))).alias("found"))
         .select("row", "found")
     )
 
@@ -126,6 +139,23 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Code points in a block of a text that is cut by position.
+BLOCK = 1024
+
+
+def _blocks(text: Column) -> Column:
+    """A text's blocks of ``BLOCK`` code points in order, so that no position is counted from the text's start again."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` up to ``end`` or the text's end."""
+    first = F.floor(start / BLOCK).cast("int")
+    stop = F.least(F.size(blocks), F.floor(F.greatest(end - 1, start) / BLOCK).cast("int") + 1)
+    own = F.array_join(F.slice(blocks, first + 1, F.greatest(stop - first, F.lit(0))), "")
+    return F.substring(own, start - first * BLOCK + 1, end - start)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[secret]") -> DataFrame:
     """``docs`` with each secret and each name that goes with one replaced by ``mark``; endpoints stay.
 
@@ -134,18 +164,17 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
     where the text changed. Repeated rows and ids each stay, as do all columns,
     whatever their names; no rows give none.
     """
-    found = _scan(docs, text_col, F.struct(*[F.col(c) for c in docs.columns]))
+    found = _scan(docs, text_col, F.struct(*[F.col(c) for c in docs.columns]), before=True)
     text, spans = F.col("row")[text_col], F.filter("found", lambda s: s["kind"] != KINDS["endpoint"][0])
-    # Before each span: what lies between the furthest end so far and its start.
-    merged = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"])))).alias("out"),
+    # Before each span lies what is between the furthest end ahead of it and its start; a span that begins ahead of that end goes with the one before.
+    kept = F.filter(spans, lambda s: s["start"] >= s["before"])
+    last = F.aggregate(spans, F.lit(0), lambda at, s: F.greatest(at, s["end"]))
+    merged = F.transform(
+        F.array(F.struct(_blocks(text).alias("blocks"), kept.alias("spans"), last.alias("last"))),
+        lambda x: F.concat(
+            F.array_join(F.transform(x["spans"], lambda s: _between(x["blocks"], s["before"], s["start"])), mark), F.lit(mark), _between(x["blocks"], x["last"], F.lit(2**31 - 1))
         ),
-        lambda acc: F.concat(F.array_join(acc["out"], mark), F.lit(mark), F.substring(text, acc["at"] + 1, F.char_length(text) - acc["at"])),
-    )
+    )[0]
     changed = found.select("row", F.when(F.size(spans) > 0, merged).alias("changed"))
     picked = []
     for c in docs.columns:

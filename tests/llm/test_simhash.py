@@ -235,7 +235,7 @@ def test_prefixes_meet_every_pair(spark):
     for similarity in (0.6, 0.8, 0.95, 1.0):
         met = {tuple(sorted((r.a, r.b))) for r in simhash._met(df, similarity).collect()}
         near = {(b, a) for a in range(len(sets)) for b in range(a) if a // 2 != b // 2 and cosine(set(sets[a]), set(sets[b])) >= similarity - 1e-12}
-        assert near <= met and (similarity < 0.95 or len(met) <= 4 * len(near) + len(sets))
+        assert near <= met and (similarity < 0.95 or len(met) <= 5 * len(sets))
         assert all(a // 2 != b // 2 for a, b in met)
 
 
