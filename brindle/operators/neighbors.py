@@ -1,9 +1,9 @@
-"""Distances and nearest neighbours, exact, block by block.
+"""Distances and nearest neighbours, exact.
 
-Both sides are packed in blocks; a task has one block of the one side and goes
-through a share of the other's with numpy. For neighbours it keeps only the k best
-per query, and the tasks' lists are merged by a window, so what is shuffled is k
-rows per query and share.
+Neighbours, and pairs within a radius, are searched in a metric partition
+(``metric``), which leaves out blocks and rows that can't be near enough. The tasks'
+lists of the k best are merged by a window. All distances of two tables are put out
+block by block (``blocks``).
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import squared_distance
 from ..sources.frames import width
-from . import blocks
+from . import blocks, metric as partition
 from .base import Classifier, Estimator, Regressor
+from .metric import distances
 from .shared import stage
 
 METRICS = ("euclidean", "sqeuclidean", "manhattan", "cosine")
@@ -26,30 +27,24 @@ PAIRS = 2_000_000
 CELL = 2_000
 
 
-def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """(len(a), len(b)). Euclidean ones come from differences, not from products, so equal rows are at 0."""
-    if metric == "cosine":
-        return 1.0 - (a @ b.T) / np.sqrt(np.outer((a * a).sum(axis=1), (b * b).sum(axis=1)))
-    out = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        d = a[:, j, None] - b[None, :, j]
-        out += np.abs(d) if metric == "manhattan" else d * d
-    return np.sqrt(out) if metric == "euclidean" else out
-
-
 def pairwise(left: DataFrame, right: DataFrame, metric: str = "euclidean", within: float | None = None) -> DataFrame:
     """left_id, right_id, distance for all pairs, or those at distance ``within`` or less. Both have id and features."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
+    d = width(left)
+    if within is not None:
+        if right.isEmpty():
+            return left.sparkSession.createDataFrame([], "left_id long, right_id long, distance double")
+        return partition.within(left, right, d, within, metric)
 
     def step(state, own, y):
         ids, x = state
         for at in range(0, len(own), most := max(1, PAIRS // len(ids))):
             dist = distances(x, y[at : at + most], metric)
-            i, j = np.nonzero(dist <= within) if within is not None else np.divmod(np.arange(dist.size), dist.shape[1])
+            i, j = np.divmod(np.arange(dist.size), dist.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[at + j]), pa.array(dist[i, j])], ["left_id", "right_id", "distance"])
 
-    return blocks.meet(left, right, width(left), lambda ids, x: (ids, x), step, None, "left_id long, right_id long, distance double")
+    return blocks.meet(left, right, d, lambda ids, x: (ids, x), step, None, "left_id long, right_id long, distance double")
 
 
 def kneighbors(train: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
@@ -61,27 +56,10 @@ def kneighbors(train: DataFrame, queries: DataFrame, k: int, metric: str = "eucl
     if metric not in METRICS or k < 1:
         raise ValueError(f"k must be positive, metric one of {METRICS}")
 
-    def start(ids, x):
-        return {"ids": ids, "x": x, "d": np.full((len(ids), k), np.inf), "i": np.full((len(ids), k), np.iinfo(np.int64).max)}
-
-    def step(s, own, y):
-        ids = s["ids"]
-        for at in range(0, len(own), most := max(k, PAIRS // len(ids))):
-            part = own[at : at + most]
-            dist = np.hstack([s["d"], distances(s["x"], y[at : at + most], metric)])
-            who = np.hstack([s["i"], np.broadcast_to(part, (len(ids), len(part)))])
-            worst = np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
-            row, col = np.nonzero(dist <= worst)
-            by = np.lexsort((who[row, col], dist[row, col], row))
-            pick = by[np.searchsorted(row[by], np.arange(len(ids)))[:, None] + np.arange(k)]
-            s["d"], s["i"] = dist[row, col][pick], who[row, col][pick]
-        yield from ()
-
-    def finish(s):
-        ok = np.isfinite(s["d"])
-        yield pa.RecordBatch.from_arrays([pa.array(s["ids"][np.nonzero(ok)[0]]), pa.array(s["i"][ok]), pa.array(s["d"][ok])], ["query_id", "neighbor_id", "distance"])
-
-    found = blocks.meet(queries, train, width(train), start, step, finish, "query_id long, neighbor_id long, distance double")
+    d = width(train)
+    if queries.isEmpty():
+        return train.sparkSession.createDataFrame([], "query_id long, rank int, neighbor_id long, distance double")
+    found = partition.nearest(train, queries, d, k, metric)
     near = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
 

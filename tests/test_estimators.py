@@ -420,15 +420,20 @@ def test_quantiles_of_ties_and_spikes(spark):
 
 
 def test_neighbours_over_many_blocks(spark, monkeypatch):
-    from brindle.operators import blocks, neighbors
+    from brindle.operators import blocks, metric, neighbors
 
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(size=(300, 3)), 1)
     df = frame(spark, x)
     whole = sorted(map(tuple, neighbors.kneighbors(df, df, 4).collect()))
     pairs = sorted(map(tuple, neighbors.pairwise(df, df, within=0.55).collect()))
+    every = sorted(map(tuple, neighbors.pairwise(df, df).collect()))
     for name in ("LEFT", "RIGHT", "SHARE"):
         monkeypatch.setattr(blocks, name, 100)
+    for name in ("LEFT", "RIGHT"):
+        monkeypatch.setattr(metric, name, 100)
+    monkeypatch.setattr(metric, "SHARE", 2)
+    assert sorted(map(tuple, neighbors.pairwise(df, df).collect())) == every
     assert sorted(map(tuple, neighbors.kneighbors(df, df, 4).collect())) == whole
     assert sorted(map(tuple, neighbors.pairwise(df, df, within=0.55).collect())) == pairs
     near = {(r.id, r.other) for r in neighbors.radius_edges(df, 0.55).collect()}
@@ -557,3 +562,62 @@ def test_streaming_goes_on_where_it_ended(spark, regression, tmp_path):
     for _ in range(2):
         score_to_parquet(m, stream(), str(tmp_path / "out")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(x)
+
+
+def nearest_by_all(ids, x, other, y, k, metric):
+    """query_id, rank, neighbor_id, distance by all distances; rows at no distance are left out."""
+    from brindle.operators.metric import distances
+
+    with np.errstate(invalid="ignore", divide="ignore"):
+        d = distances(x, y, metric)
+    out = []
+    for i, row in zip(ids, d, strict=True):
+        order = sorted((v, int(o)) for v, o in zip(row.tolist(), other, strict=True) if np.isfinite(v))[:k]
+        out += [(int(i), n + 1, o, v) for n, (v, o) in enumerate(order)]
+    return out
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "sqeuclidean", "manhattan", "cosine"])
+@pytest.mark.parametrize("k", [1, 7, 60])
+def test_nearest_by_a_metric_partition(spark, monkeypatch, metric, k):
+    """Clusters, ties, repeated rows, a far row and a zero row, over many blocks, against all distances."""
+    from brindle.operators import metric as m
+    from brindle.operators.neighbors import kneighbors, pairwise
+
+    rng = np.random.default_rng(k)
+    centers = rng.normal(size=(9, 4)) * 20
+    x = np.round(np.vstack([centers[rng.integers(0, 9, 400)] + rng.normal(size=(400, 4)), np.zeros((1, 4)), np.full((1, 4), 1e4)]), 1)
+    x = np.vstack([x, x[:30]])
+    y = np.round(np.vstack([x[::7], rng.normal(size=(20, 4)) * 30]), 1)
+    monkeypatch.setattr(m, "LEFT", 80)
+    monkeypatch.setattr(m, "RIGHT", 60)
+    monkeypatch.setattr(m, "SHARE", 3)
+    train, queries = frame(spark, x).repartition(3), frame(spark, y).repartition(2)
+    got = sorted(map(tuple, kneighbors(train, queries, k, metric).collect()))
+    want = sorted(nearest_by_all(range(len(y)), y, range(len(x)), x, k, metric))
+    # Products of other shapes round otherwise, so rows of one direction may change places.
+    known = 2 if metric == "cosine" else 3
+    assert [g[:known] for g in got] == [w[:known] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
+    radius = {"euclidean": 2.0, "sqeuclidean": 4.0, "manhattan": 3.0, "cosine": 0.01}[metric]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        d = m.distances(y, x, metric)
+    assert {(r.left_id, r.right_id) for r in pairwise(queries, train, metric, radius).collect()} == {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= radius), strict=True)}
+
+
+def test_only_surviving_pairs_of_blocks_are_moved(spark, monkeypatch):
+    """On clustered vectors the pairs of blocks that are brought together grow with the blocks, not with their square."""
+    from brindle.operators import metric as m
+    from brindle.operators.neighbors import kneighbors
+
+    monkeypatch.setattr(m, "LEFT", 16 * 40)
+    monkeypatch.setattr(m, "RIGHT", 16 * 40)
+    seen, real = [], m.together
+    monkeypatch.setattr(m, "together", lambda q, data, pairs, *a: seen.append((q.count(), data.count(), pairs.count())) or real(q, data, pairs, *a))
+    for clusters in (10, 40):
+        rng = np.random.default_rng(clusters)
+        x = (rng.normal(size=(clusters, 16)) * 50)[np.repeat(np.arange(clusters), 80)] + rng.normal(size=(80 * clusters, 16))
+        df = frame(spark, x)
+        assert kneighbors(df, df, 5).count() == 5 * len(x)
+    for blocks, rings, pairs in seen:
+        assert rings >= 20 and pairs <= 4 * blocks and pairs < blocks * rings / 4
+    assert seen[1][2] <= 6 * seen[0][2]
