@@ -1,4 +1,4 @@
-"""K-Means by Lloyd's passes over the data, DBSCAN by joins and connected components."""
+"""K-Means by Lloyd's passes over the data, DBSCAN by a graph of cells."""
 
 from __future__ import annotations
 
@@ -7,16 +7,15 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..sources.frames import width
 from . import stats
 from .base import Estimator, relation
-from .graph import connected_components
-from .neighbors import distances, radius_edges
-from .shared import stage
+from .density import clusters
+from .metric import distances
 
 
 def assign(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,27 +177,20 @@ class DBSCAN(Estimator):
         self.eps, self.min_samples = eps, min_samples
 
     def fit(self, df: DataFrame) -> DBSCAN:
-        points = df.select(F.col("id").cast("long").alias("id"), "features")
-        edges = stage(radius_edges(points, self.eps), "radius-edges")
-        many = edges.groupBy("id").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= self.min_samples).select("id")
-        core = stage(many if self.min_samples > 1 else points.select("id"), "core")
-        to_core = edges.join(core.select(F.col("id").alias("other")), "other")
-        joined = to_core.join(core, "id", "left_semi").where("id < other").select("id", "other")
-        labels = connected_components(joined)
-        roots = core.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("root"))
-        roots = stage(roots, "roots")
-        border = to_core.join(core, "id", "left_anti").groupBy("id").agg(F.min("other").alias("other"))
-        border = border.join(roots.select(F.col("id").alias("other"), "root"), "other").select("id", "root")
-        names = roots.select("root").distinct()
-        # Clusters in order of their root: numbers are small, so the list of them is one partition.
-        numbers = names.select("root", (F.row_number().over(Window.orderBy("root")) - 1).cast("int").alias("cluster"))
-        found = roots.withColumn("is_core", F.lit(True)).unionByName(border.withColumn("is_core", F.lit(False))).join(numbers, "root")
-        self.labels_ = stage(
-            points.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core")),
-            "dbscan",
-        )
+        self._fitted = df
+        self.labels_ = clusters(df.select("id", "features"), self.eps, self.min_samples)
         return self
 
+    @property
+    def core_sample_indices_(self) -> DataFrame:
+        """The ids of the core points."""
+        return self.labels_.where("is_core").select("id")
+
+    @property
+    def components_(self) -> DataFrame:
+        """The core points themselves, as rows of what was fitted."""
+        return self._fitted.join(self.core_sample_indices_, "id", "left_semi")
+
     def predict(self, df: DataFrame) -> DataFrame:
         """``df``, which is the fitted one, with its clusters as ``prediction``."""
         return df.join(self.labels_.select("id", F.col("cluster").alias("prediction")), "id")

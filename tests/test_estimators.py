@@ -621,3 +621,54 @@ def test_only_surviving_pairs_of_blocks_are_moved(spark, monkeypatch):
     for blocks, rings, pairs in seen:
         assert rings >= 20 and pairs <= 4 * blocks and pairs < blocks * rings / 4
     assert seen[1][2] <= 6 * seen[0][2]
+
+
+def dbscan_by_all(x, eps, least):
+    """(cluster, is_core) of each row by all distances."""
+    near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= eps * eps
+    core = near.sum(axis=1) >= least
+    root = np.where(core, np.arange(len(x)), -1)
+    while True:
+        new = np.where(core, np.where(near & core[None], root[None], len(x)).min(axis=1), -1)
+        if (new == root).all():
+            break
+        root = new
+    names = {r: i for i, r in enumerate(sorted(set(root[core].tolist())))}
+    out = []
+    for i in range(len(x)):
+        mates = np.flatnonzero(near[i] & core)
+        out.append((names[root[mates[0] if not core[i] else i]] if core[i] or len(mates) else -1, bool(core[i])))
+    return out
+
+
+@pytest.mark.parametrize("d,eps,least", [(1, 0.3, 4), (2, 0.5, 5), (2, 0.25, 3), (3, 0.8, 8), (5, 1.2, 5), (6, 1.5, 12), (2, 0.4, 1)])
+def test_dbscan_by_cells_equals_all_pairs(spark, monkeypatch, d, eps, least):
+    """Blobs, a thin bridge, repeated points and far noise; cells over several tasks."""
+    from brindle.operators import density
+
+    monkeypatch.setattr(density, "PART", 30)
+    rng = np.random.default_rng(d * 10 + least)
+    x = np.vstack([rng.normal(size=(150, d)) * 0.4, rng.normal(size=(120, d)) * 0.2 + 2.0, np.linspace(0, 1, 25)[:, None] * np.full(d, 2.0), rng.uniform(-6, 6, size=(60, d)), np.full((20, d), -3.0)])
+    want = dbscan_by_all(x, eps, least)
+    assert len({c for c, _ in want}) > 2
+    m = DBSCAN(eps, least).fit(frame(spark, x).repartition(3))
+    got = {r.id: (r.cluster, r.is_core) for r in m.labels_.collect()}
+    assert [got[i] for i in range(len(x))] == want
+    ids = {r.id for r in m.core_sample_indices_.collect()}
+    assert ids == {i for i, (_, c) in enumerate(want) if c} == {r.id for r in m.components_.collect()}
+
+
+def test_dense_blobs_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Two blobs of many points: what is sent to cells and joined is in proportion to cells; close blobs that touch nowhere stay apart."""
+    from brindle.operators import density
+
+    sizes, real = [], density.stage
+    monkeypatch.setattr(density, "stage", lambda df, name: sizes.append((name, (out := real(df, name)).count())) or out)
+    rng = np.random.default_rng(7)
+    r, a = np.sqrt(rng.random(40_000)), rng.random(40_000) * 2 * np.pi
+    blob = np.column_stack([r * np.cos(a), r * np.sin(a)])
+    x = np.vstack([blob[:20_000], blob[20_000:] + [2.15, 0.0]])
+    found = DBSCAN(0.1, 10).fit(frame(spark, x)).labels_.groupBy("cluster").count().collect()
+    assert {r.cluster: r["count"] for r in found if r.cluster >= 0}.keys() == {0, 1}
+    cells = dict(sizes)["cells"]
+    assert cells < 2500 and all(n <= 25 * cells for name, n in sizes if name not in ("filed-points", "dbscan"))
