@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Values in one numpy step of a task.
 STEP = 1_000_000
-#: Rows of partial results that one reducer, and the driver, merge at a level of the tree beyond the first.
+#: How many times fewer rows of partial results each level of the tree has, and how many the driver merges at most.
 FAN = 64
 
 
@@ -34,9 +34,9 @@ def reduced(df: DataFrame, part: Callable[[pa.RecordBatch], dict[str, np.ndarray
     """What ``part`` gives for the batches of ``df``, named arrays, merged pairwise; None without rows.
 
     Each task merges its own batches in numpy and passes on one row, its arrays as
-    they are in memory. Those meet in a tree: reducers merge the tasks' rows, and
-    where there may be more than ``FAN`` of them, further levels merge theirs; the
-    driver merges the last few. So what is shuffled is a row for each task, however
+    they are in memory. Those meet in a tree: one reducer for each ``FAN`` partitions
+    that a shuffle has merges the tasks' rows, one after the other, further levels
+    merge theirs, and the driver the last few, ``FAN`` at most. So what is shuffled is a row for each task, however
     many numbers it holds, and no one gathers all of them. ``merge`` must be
     associative, for what it is given comes in the order of tasks, in any grouping.
     """
@@ -62,14 +62,14 @@ def reduced(df: DataFrame, part: Callable[[pa.RecordBatch], dict[str, np.ndarray
                 held = own if held is None else merge(held, own)
         yield from rows(held)
 
-    numbered = lambda x: x.withColumn("task", F.spark_partition_id())
-    level = numbered(df.mapInArrow(run, "state binary"))
-    # As many reducers as a shuffle has at most; Spark makes them fewer where the rows are small.
-    left = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    level = numbered(level.repartition("task").sortWithinPartitions("task").mapInArrow(again, "state binary"))
-    while left > FAN:
+    level, left = df.mapInArrow(run, "state binary"), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
         left = -(-left // FAN)
-        level = numbered(level.repartition(left, "task").sortWithinPartitions("task").mapInArrow(again, "state binary"))
+        level = level.withColumn("task", F.spark_partition_id()).withColumn("to", F.pmod("task", F.lit(left)))
+        level = level.repartition(left, "to").sortWithinPartitions("to", "task").mapInArrow(again, "state binary")
+        if left <= FAN:
+            break
+    level = level.withColumn("task", F.spark_partition_id())
     out = None
     for row in sorted(level.collect(), key=lambda r: r.task):
         own = pickle.loads(row.state)
