@@ -544,7 +544,7 @@ def _across(filed: DataFrame, hot: DataFrame, edges: DataFrame, limit: int, lane
 
 
 #: Cells of the table of rough shingle counts.
-CELLS = 1 << 20
+CELLS = 1 << 18
 
 
 def _unsettled(members: DataFrame, edges: DataFrame) -> DataFrame:
