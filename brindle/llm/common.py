@@ -22,23 +22,32 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != F.lit(""))
 
 
-def id_buckets(df: DataFrame, id_col: str, per_interval: int, intervals: int = 64) -> Column:
+def id_buckets(df: DataFrame, id_col: str, per_interval: int, tie: Column, intervals: int = 64) -> Column:
     """A bucket number that never falls as the id rises, for work in id order without one big sort.
 
     Quantiles of the ids (one pass over that column, ``intervals`` values to the
     driver) give intervals of about equal row counts; each is cut linearly into
-    ``per_interval`` buckets. Null ids come first, in bucket -1. The quantiles
-    only shape the buckets: any bounds give the same order.
+    ``per_interval`` buckets. Null ids come first, in buckets of their own. These, and
+    the rows of an id that fills an interval, are dealt to as many buckets as all
+    others by the hash ``tie``: the order of rows with one id is free, and they may be
+    very many. The quantiles only shape the buckets: any bounds give the same order.
     """
     cuts = df.agg(
         F.percentile_approx(F.col(id_col).cast("double"), [i / intervals for i in range(intervals + 1)], 1000)
-    ).first()[0]
-    bounds = sorted(set(cuts or [0.0]))
+    ).first()[0] or [0.0]
+    bounds, many = sorted(set(cuts)), per_interval * intervals
     if len(bounds) < 2:
         bounds = [bounds[0], bounds[0] + 1.0]
     array = F.array(*[F.lit(float(b)) for b in bounds])
-    x = F.col(id_col).cast("double")
+    x, part = F.col(id_col).cast("double"), F.pmod(tie, F.lit(many))
     at = F.greatest(F.lit(1), F.least(F.lit(len(bounds) - 1), F.size(F.filter(array, lambda b: b <= x))))
     low, high = F.element_at(array, at), F.element_at(array, at + 1)
     within = F.floor(F.least(F.lit(0.999999), F.greatest(F.lit(0.0), (x - low) / (high - low))) * per_interval)
-    return F.coalesce((at - 1) * per_interval + within, F.lit(-1)).cast("long")
+    bucket = (at - 1) * per_interval + within
+    # An id that is two bounds at once fills what lies between them.
+    full = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    if full:
+        # Its rows begin their bucket, those of the last bound end theirs.
+        place = F.when((x == bounds[-1]) & F.lit(bounds[-1] in full), part + many + 1).when(x.isin(full), part).otherwise(F.lit(many))
+        bucket = bucket * (many + 1) + place
+    return F.when(x.isNull(), part).otherwise(bucket + many).cast("long")

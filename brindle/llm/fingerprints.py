@@ -4,11 +4,13 @@ Every shingle hash in the lowest ``1 / scale`` of the 64-bit range is kept, so a
 sketch grows with its document and two sketches hold the same shingles for the
 same texts, whatever their lengths. Sketches merge by union, and counting common
 members estimates both resemblance and the containment of a short document in a
-very long one. So that short texts aren't left without a sketch, the smallest
-hash is kept even when it lies above the threshold and nothing else does; that
-rule too is kept by ``merge``. Such a sketch tells equal texts, but not what a
-longer one has of it: estimates from it are null, and ``exactly`` compares all
-shingles of the texts in their place.
+very long one. So that short texts have enough in their sketch, too, the ``LEAST``
+smallest hashes are kept whatever the threshold; that rule also holds under union, and
+a text with fewer shingles has all of them in its sketch.
+
+What two sketches tell comes from them alone: each says up to which hash it is whole
+(all of it, if it has fewer than ``LEAST`` members; else up to the threshold, or its last
+member if that is above), and both are compared up to the lower of the two.
 
 A shingle's hash is xxhash64 over the xxhash64 of its words.
 """
@@ -22,6 +24,8 @@ from . import common
 
 SHINGLE = 5
 SCALE = 8
+#: Members of a sketch at least, where the text has as many shingles.
+LEAST = 32
 
 
 def _limit(scale: int) -> int:
@@ -29,9 +33,9 @@ def _limit(scale: int) -> int:
 
 
 def _kept(hashes: Column, scale: int) -> Column:
-    low = F.filter(hashes, lambda h: h < F.lit(_limit(scale)))
-    least = F.array_min(hashes)
-    return F.when(F.size(low) > 0, F.sort_array(F.array_distinct(low))).when(least.isNotNull(), F.array(least)).otherwise(F.array().cast("array<long>"))
+    own = F.sort_array(F.array_distinct(hashes))
+    low = F.size(F.filter(own, lambda h: h < F.lit(_limit(scale))))
+    return F.slice(own, 1, F.greatest(low, F.lit(LEAST)))
 
 
 def _hashes(word_hashes: Column, shingle: int) -> Column:
@@ -65,52 +69,33 @@ def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     return _kept(F.array_union(a, b), scale)
 
 
-def _lone(a: Column, scale: int) -> Column:
-    """Whether a sketch is only a smallest hash above the threshold."""
-    return (F.size(a) == 1) & (F.get(a, F.lit(0)) >= F.lit(_limit(scale)))
-
+def _whole_up_to(a: Column, scale: int) -> Column:
+    """The largest hash up to which a sketch has all of its text."""
+    return F.when(F.size(a) < LEAST, F.lit(2**63 - 1)).otherwise(F.greatest(F.lit(_limit(scale) - 1), F.element_at(a, -1)))
 
-def _resemblance(a: Column, b: Column) -> Column:
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
-
-def _containment(a: Column, b: Column) -> Column:
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def _alike(a: Column, b: Column, scale: int) -> Column:
+    """both, either, own: how many members the sketches have in common, together, and ``a`` alone, up to where both are whole."""
+    both = F.struct(a.alias("a"), b.alias("b"), F.least(_whole_up_to(a, scale), _whole_up_to(b, scale)).alias("t"))
+    # One array of one struct, so that nothing is computed again for each member.
+    cut = F.transform(F.array(both), lambda s: F.struct(F.filter(s["a"], lambda h: h <= s["t"]).alias("a"), F.filter(s["b"], lambda h: h <= s["t"]).alias("b")))
+    counted = F.transform(cut, lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("both"), F.size(s["a"]).alias("own"), F.size(s["b"]).alias("other")))
+    return F.transform(counted, lambda s: F.struct(s["both"].alias("both"), (s["own"] + s["other"] - s["both"]).alias("either"), s["own"].alias("own")))[0]
 
 
 def resemblance(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """Common shingles over all shingles, estimated; 1 for two empty sketches, 0 for one.
-
-    Null, for no estimate, if one holds only a hash above the threshold.
-    """
-    return F.when(~_lone(a, scale) & ~_lone(b, scale), _resemblance(a, b))
+    """Common shingles over all shingles, estimated; exact where both sketches are whole; 1 for two empty sketches, 0 for one."""
+    x = _alike(a, b, scale)
+    return F.when(x["either"] == 0, F.lit(1.0)).otherwise(x["both"] / x["either"])
 
 
 def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """The share of ``a``'s shingles that ``b`` holds too, estimated; 1 if ``a`` is empty. Null as for ``resemblance``."""
-    return F.when(~_lone(a, scale) & ~_lone(b, scale), _containment(a, b))
-
-
-def exactly(df: DataFrame, pairs: dict[str, tuple[Column, Column, Column, Column]], shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
-    """``df`` with near_<name> and kept_in_<name> for each pair of ``pairs``, name: (text, its sketch, other text, its sketch).
+    """The share of ``a``'s shingles that ``b`` holds too, estimated; 1 if ``a`` is empty.
 
-    They are the estimates, or for pairs without one the values of all shingles,
-    which are found for these rows only.
+    Null, for no estimate, if ``a`` has no member up to where both are whole.
     """
-    for name, (text, sketched, other, other_sketched) in pairs.items():
-        without = _lone(sketched, scale) | _lone(other_sketched, scale)
-        own, both = [], [f"__{name}_0", f"__{name}_1"]
-        for i, t in enumerate((text, other)):
-            w, h = f"__{name}_w{i}", f"__{name}_h{i}"
-            df = df.withColumn(w, F.when(without, F.split(F.lower(F.coalesce(t, F.lit(""))), common.SPACES)))
-            df = df.withColumn(h, F.transform(F.filter(w, lambda x: x != F.lit("")), lambda x: F.xxhash64(x)))
-            df = df.withColumn(both[i], F.when(F.col(h).isNotNull(), F.array_distinct(_hashes(F.col(h), shingle))))
-            own += [w, h]
-        a, b = map(F.col, both)
-        df = df.withColumn(f"near_{name}", F.coalesce(resemblance(sketched, other_sketched, scale), _resemblance(a, b)))
-        df = df.withColumn(f"kept_in_{name}", F.coalesce(containment(sketched, other_sketched, scale), _containment(a, b))).drop(*own, *both)
-    return df
+    x = _alike(a, b, scale)
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(x["own"] > 0, x["both"] / x["own"])
 
 
 def as_text(a: Column) -> Column:
@@ -125,18 +110,19 @@ BUCKET = 2_000
 def with_next(docs: DataFrame, cols: list[str], id_col: str = "doc_id") -> DataFrame:
     """``docs`` with ``next_<col>`` for each of ``cols``: the values of the next row by ascending id, after the last the first.
 
-    Null ids come first; rows with equal ids are ordered by ``cols``. Repeated rows
+    Null ids come first; rows with equal ids are in an order that follows from ``cols``. Repeated rows
     follow each other; a single row follows itself; no rows give none. Other columns
     stay. Rows go to buckets that follow the id order, as many as the rows need, and
     are sorted within them, one shuffle; only each bucket's first row is looked up
     from the bucket before it.
     """
-    b = docs.withColumn("__b", common.id_buckets(docs, id_col, max(16, -(-docs.select(id_col).count() // (64 * BUCKET)))))
-    order = [F.col(id_col).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in cols if docs.schema[c].dataType.typeName() != "array"]]
+    plain = [c for c in cols if docs.schema[c].dataType.typeName() != "array"]
+    b = docs.withColumn("__b", common.id_buckets(docs, id_col, max(16, -(-docs.select(id_col).count() // (64 * BUCKET))), F.xxhash64(*plain)))
+    order = [F.col(id_col).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in plain]]
     w = Window.partitionBy("__b").orderBy(*order)
     value = F.struct(*cols)
     inner = b.select("*", F.lead(value).over(w).alias("__next"))
-    firsts = b.groupBy("__b").agg(F.min_by(value, F.struct(F.coalesce(id_col, F.lit(-(2**63))), *[c for c in cols if docs.schema[c].dataType.typeName() != "array"])).alias("__first"))
+    firsts = b.groupBy("__b").agg(F.min_by(value, F.struct(F.coalesce(id_col, F.lit(-(2**63))), *plain)).alias("__first"))
     firsts = common.stage(firsts, "bucket-firsts")
     round_ = Window.orderBy("__b")
     numbers = firsts.select("__b").distinct().select("__b", F.lead("__b").over(round_).alias("__to"), F.min("__b").over(Window.partitionBy()).alias("__low"))
@@ -151,7 +137,7 @@ def op1_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, kept_in_edited of every document.
 
     Null texts count as empty; texts without words have the empty fingerprint, and
-    two of them are 1 alike. Equal ids are ordered by text, null ids come first; no
+    two of them are 1 alike. Null ids come first, equal ones in an order that follows from text; no
     documents give no rows; other columns are ignored.
     """
     docs = common.documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -159,17 +145,15 @@ def op1_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = with_next(docs, ["text", "own"]).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    pairs = pairs.select("doc_id", "n_chars", "text", "next_text", "own", "next_own", edited.alias("edited"))
+    pairs = pairs.select("doc_id", "n_chars", "own", "next_own", edited.alias("edited"))
     pairs = sketch(pairs, F.col("edited"), "changed")
-    own = F.col("text"), F.col("own")
-    pairs = exactly(pairs, {"edited": (*own, F.col("edited"), F.col("changed")), "next": (*own, F.col("next_text"), F.col("next_own"))})
     return pairs.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("own")).alias("fingerprint"),
         as_text(F.col("changed")).alias("edited_fingerprint"),
-        "near_edited",
-        "near_next",
-        "kept_in_edited",
+        resemblance(F.col("own"), F.col("changed")).alias("near_edited"),
+        resemblance(F.col("own"), F.col("next_own")).alias("near_next"),
+        containment(F.col("own"), F.col("changed")).alias("kept_in_edited"),
     )

@@ -195,12 +195,12 @@ def _shard_roots(recipes: DataFrame) -> DataFrame:
 
 
 def write(docs: DataFrame, store: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the store. A null or empty text is the end id alone; repeated ids are kept, ordered by length and content; no rows give empty datasets."""
+    """Writes the store. A null or empty text is the end id alone; repeated ids are kept, in an order that follows from content; no rows give empty datasets."""
     spark = docs.sparkSession
     made = chunked(docs, path, end_id, id_col, text_col).withColumn("doc", F.monotonically_increasing_id())
     parts = spark.read.parquet(_write(made, f"{store}/parts"))
     n = parts.count()
-    parts = parts.withColumn("bucket", common.id_buckets(parts, "id", max(1, -(-n // (64 * SHARD)))))
+    parts = parts.withColumn("bucket", common.id_buckets(parts, "id", max(1, -(-n // (64 * SHARD))), F.xxhash64("hashes")))
     refs = parts.select("doc", F.posexplode(F.arrays_zip("hashes", "has")).alias("pos", "c"))
     refs = refs.select("doc", "pos", F.col("c.hashes").alias("hash"), F.col("c.has").alias("has"))
     # A chunk's home is the first place that has its payload; the other places that have it lose theirs.
@@ -275,7 +275,7 @@ def op3_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from a store in the shared folder that holds all ids.
 
     Null and empty texts are the end id alone; null ids come first, equal ones are
-    ordered by length and content; no documents give no rows; other columns are
+    in an order that follows from content; no documents give no rows; other columns are
     ignored. The store goes with what is staged.
     """
     store = f"{common.shared_dir(spark).rstrip('/')}/tokens-{common.uuid.uuid4().hex}"

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from brindle.llm import fingerprints, mixing, secrets
+from brindle.llm import common, fingerprints, mixing, secrets
 
 from .conftest import AWKWARD, sf
 
@@ -222,23 +222,42 @@ def test_mix_without_broadcast(spark, monkeypatch):
 
 
 def test_sketch_of_short_texts(spark, tmp_path):
-    """Texts of 1 to 30 words beside one that holds them word for word: exact where a sketch has nothing below the threshold."""
-    long = " ".join(f"word{i}" for i in range(600))
-    texts = [" ".join(f"word{j}" for j in range(7 * i, 7 * i + 1 + i)) if i % 2 else long for i in range(30)]
+    """Texts of 1 to 30 words beside each other: exact where both are whole in their sketches."""
+    texts = [" ".join(f"word{j}" for j in range(3 * i, 3 * i + 1 + i)) for i in range(30)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    rows = fingerprints.op1_scaled_sketch(spark, str(tmp_path)).orderBy("doc_id").collect()
-    lone = 0
-    for i, r in enumerate(rows):
+    for i, r in enumerate(fingerprints.op1_scaled_sketch(spark, str(tmp_path)).orderBy("doc_id").collect()):
         nxt = texts[(i + 1) % len(texts)]
         h = len(texts[i]) // 2
         a, b, c = shingles(texts[i]), shingles(texts[i][: len(texts[i]) - h] + nxt[:h]), shingles(nxt)
-        if len(r.fingerprint) == 16 and int(r.fingerprint, 16) - (int(r.fingerprint, 16) >> 63 << 64) >= fingerprints._limit(fingerprints.SCALE):
-            lone += 1
-            assert (r.near_edited, r.near_next, r.kept_in_edited) == pytest.approx((len(a & b) / len(a | b), len(a & c) / len(a | c), len(a & b) / len(a)))
-    assert lone > 3
-    pair = fingerprints.sketch(spark.createDataFrame([(t, long) for t in texts[5::2]], "a string, b string"), F.col("a"), "s")
-    pair = fingerprints.exactly(fingerprints.sketch(pair, F.col("b"), "t"), {"b": (F.col("a"), F.col("s"), F.col("b"), F.col("t"))})
-    assert all(r.kept_in_b == 1 for r in pair.collect())
+        assert (r.near_edited, r.near_next, r.kept_in_edited) == pytest.approx((len(a & b) / len(a | b), len(a & c) / len(a | c), len(a & b) / len(a)))
+    long = " ".join(f"word{i}" for i in range(600))
+    pair = fingerprints.sketch(spark.createDataFrame([(t, long) for t in texts], "a string, b string"), F.col("a"), "s")
+    pair = fingerprints.sketch(pair, F.col("b"), "t").select(fingerprints.containment(F.col("s"), F.col("t")).alias("c"), fingerprints.resemblance(F.col("s"), F.col("t")).alias("r"))
+    assert all(r.c in (None, 1.0) and 0 <= r.r < 0.3 for r in pair.collect()[4:])
+
+
+def test_sketches_merge(spark):
+    """The merged sketch is the sketch of both texts' shingles, below and above the least size."""
+    rng = random.Random(4)
+    sets = [sorted({rng.randrange(-(2**63), 2**63) for _ in range(rng.choice([0, 1, 5, 31, 32, 60, 400]))}) for _ in range(60)]
+    df = spark.createDataFrame([(a, b) for a, b in zip(sets, sets[1:], strict=False)], "a array<long>, b array<long>")
+    both = df.select(fingerprints.merge(fingerprints._kept(F.col("a"), 8), fingerprints._kept(F.col("b"), 8)).alias("m"), fingerprints._kept(F.array_union("a", "b"), 8).alias("w"))
+    assert all(r.m == r.w for r in both.collect())
+
+
+@pytest.mark.parametrize("ids", [[None] * 400 + [7] * 300 + list(range(300)), [5] * 700 + list(range(300)), [None] * 500, [9] * 500, [1] * 300 + [2] * 300 + [3] * 300, list(range(0, 10**6, 1000))])
+def test_hot_ids_go_to_many_buckets(spark, ids):
+    """Half of the ids null, or equal: buckets follow the ids' order, and no bucket holds the hot ones alone."""
+    df = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id long, n long")
+    rows = df.select("id", common.id_buckets(df, "id", 2, F.xxhash64("n")).alias("b")).collect()
+    low = lambda i: -1 if i is None else i
+    last = None
+    for i, b in sorted(((low(r.id), r.b) for r in rows), key=lambda x: (x[1], x[0])):
+        assert last is None or i >= last
+        last = i
+    assert max(Counter(r.b for r in rows).values()) <= 60
+    nxt = fingerprints.with_next(df.withColumn("text", F.col("n").cast("string")), ["text"], "id")
+    assert sorted(int(r.next_text) for r in nxt.collect()) == list(range(len(ids)))
 
 
 def plain_sketch(text):
@@ -251,8 +270,15 @@ def plain_sketch(text):
         for x in h[i : i + 5]:
             seed = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
         shingles_.append(seed - (seed >> 63 << 64))
-    low = {x for x in shingles_ if x < -(2**63) + 2**64 // 8}
-    return low or ({min(shingles_)} if shingles_ else set()), set(shingles_)
+    own = sorted(set(shingles_))
+    return own[: max(sum(x < -(2**63) + 2**64 // 8 for x in own), 32)]
+
+
+def read_sketch(text):
+    """A stored fingerprint's members, and up to which it is whole."""
+    own = [int(text[i : i + 16], 16) for i in range(0, len(text), 16)]
+    own = [x - (x >> 63 << 64) for x in own]
+    return set(own), 2**63 if len(own) < 32 else max(-(2**63) + 2**64 // 8 - 1, own[-1])
 
 
 def test_fingerprints_equal_plain_sketches(spark):
@@ -260,16 +286,20 @@ def test_fingerprints_equal_plain_sketches(spark):
     rows = {r.doc_id: r for r in fingerprints.op1_scaled_sketch(spark, sf("sf0.01")).collect()}
     docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf('sf0.01')}/documents.parquet").collect()))
     as_text = lambda s: "".join(f"{x % 2**64:016x}" for x in sorted(s))
-    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+
+    def like(a, b):
+        (x, s), (y, t) = read_sketch(a), read_sketch(b)
+        x, y = ({h for h in z if h <= min(s, t)} for z in (x, y))
+        return len(x & y) / len(x | y) if x | y else 1.0
+
     for i, (doc_id, text) in enumerate(docs):
-        nxt = docs[(i + 1) % len(docs)][1]
+        after = docs[(i + 1) % len(docs)]
         h = len(text) // 2
-        own, changed, after = map(plain_sketch, (text, text[: len(text) - h] + nxt[:h], nxt))
         r = rows[doc_id]
-        assert (r.fingerprint, r.edited_fingerprint) == (as_text(own[0]), as_text(changed[0]))
-        for got, other in ((r.near_edited, changed), (r.near_next, after)):
-            lone = any(len(s[0]) == 1 and min(s[0]) >= fingerprints._limit(8) for s in (own, other))
-            assert got == pytest.approx(like(own[lone], other[lone]))
+        assert (r.fingerprint, r.edited_fingerprint) == (as_text(plain_sketch(text)), as_text(plain_sketch(text[: len(text) - h] + after[1][:h])))
+        # What the columns say can be had again from the stored fingerprints.
+        assert r.near_edited == pytest.approx(like(r.fingerprint, r.edited_fingerprint))
+        assert r.near_next == pytest.approx(like(r.fingerprint, rows[after[0]].fingerprint))
 
 
 @pytest.mark.parametrize("unit", ["0123456789abcdef", "abcdefghij", "user", "a1.", "-9", "password ", "AKIA", "user: ", "1.2.3."])
