@@ -529,9 +529,9 @@ def _verified(proposed: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     return both.where(common_ * common_ >= similarity * similarity * F.size("x") * F.size("y") - 1e-9).select("a", "b")
 
 
-def _across(filed: DataFrame, hot: DataFrame, edges: DataFrame, limit: int, lanes: list[str], least: int) -> DataFrame:
+def _across(filed: DataFrame, hot: DataFrame, edges: DataFrame, labels: DataFrame, limit: int, lanes: list[str], least: int) -> DataFrame:
     """a, b: the members of hot keys beside the busiest node of each component with ``least`` or more members there, where they lie close and apart."""
-    labels = connected_components(edges).select(F.col("id").alias("node"), "component")
+    labels = labels.select(F.col("id").alias("node"), "component")
     degree = edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
     here = filed.join(hot.select("key"), "key", "left_semi")
     here = common.stage(here.join(labels, "node", "left").join(degree, "node", "left"), "hot-members")
@@ -547,9 +547,14 @@ def _across(filed: DataFrame, hot: DataFrame, edges: DataFrame, limit: int, lane
 CELLS = 1 << 18
 
 
-def _unsettled(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, component: the members of all long runs (node, key) that ``edges`` leave in several components."""
-    labels = connected_components(edges).select(F.col("id").alias("node"), "component")
+def _star(labels: DataFrame) -> DataFrame:
+    """a, b: as few edges as say the same as ``labels`` (id, component)."""
+    return labels.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, component: the members of all long runs (node, key) whose ``labels`` (id, component) differ within a run."""
+    labels = labels.select(F.col("id").alias("node"), "component")
     named = common.stage(members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "long-runs")
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     mixed = common.stage(mixed, "mixed-runs")
@@ -637,12 +642,13 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
         return common.stage(_verified(pairs, sets, similarity), "verified")
 
     edges = checked(proposed)
+    labels = connected_components(edges)
     if busy is not None:
         # Joins the large components that were dealt to several tasks.
-        more = common.stage(_across(filed, busy, edges, limit, lanes, hot * SAMPLED // 8), "proposed-across")
-        edges = edges.unionAll(checked(more))
+        more = common.stage(_across(filed, busy, edges, labels, limit, lanes, hot * SAMPLED // 8), "proposed-across")
+        labels = connected_components(_star(labels).unionAll(checked(more)))
     # Pairs in long runs that no edge joins yet are met by their rare shingles.
-    open_ = _unsettled(searched.where("key is not null").select(F.col("a").alias("node"), "key"), edges)
+    open_, edges = _unsettled(searched.where("key is not null").select(F.col("a").alias("node"), "key"), labels), _star(labels)
     if not open_.isEmpty():
         sets = common.stage(_shingle_sets(docs, nodes, open_.select("node"), shingle, id_col, text_col), "open-sets")
         met = common.stage(_met(sets.join(open_, "node"), similarity), "proposed-by-shingles")
