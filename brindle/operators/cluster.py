@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from ..sources.frames import width
@@ -18,6 +19,10 @@ from .density import clusters
 from .metric import distances
 
 
+#: Numbers in the centres from which on they aren't written out in an expression, which Spark could no longer compile.
+LITERALS = 2_000
+
+
 def assign(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centre of each row, the first among equals, and its squared distance.
 
@@ -145,11 +150,36 @@ class KMeans(Estimator):
                 break
         return centers, float(pass_over(centers)["inertia"][0]), i
 
+    def _by_matrix(self, df: DataFrame, name: str, kind: T.DataType, found) -> DataFrame:
+        """``df`` with a column of what ``found(x, centers)`` gives for a batch of rows; the centres go out as one matrix."""
+        shared = df.sparkSession.sparkContext.broadcast(self.cluster_centers_)
+        kept = df.drop(name)
+        schema = T.StructType([*kept.schema.fields, T.StructField(name, kind)])
+
+        def run(batches):
+            for batch in batches:
+                for piece in stats.slices(batch):
+                    x = stats.matrix(piece).astype(float) if len(piece) else np.empty(shared.value.shape)[:0]
+                    yield pa.RecordBatch.from_arrays([*piece.columns, found(x, shared.value)], schema.names)
+
+        return kept.mapInArrow(run, schema)
+
     def transform(self, df: DataFrame) -> DataFrame:
         """distances array<double>: to each centre."""
+        if self.cluster_centers_.size > LITERALS:
+
+            def away(x: np.ndarray, centers: np.ndarray) -> pa.Array:
+                step = max(1, stats.STEP // len(centers))
+                d = [distances(x[at : at + step], centers, "euclidean").ravel() for at in range(0, len(x), step)]
+                return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(centers)), pa.array(np.concatenate([*d, np.empty(0)])))
+
+            return self._by_matrix(df, "distances", T.ArrayType(T.DoubleType()), away)
         return df.withColumn("distances", F.array(*[F.sqrt(V.squared_distance(F.col("features"), V.literal(c))) for c in self.cluster_centers_]))
 
     def predict(self, df: DataFrame) -> DataFrame:
+        """``df`` with the nearest centre's number, the first among equals, as ``prediction``."""
+        if self.cluster_centers_.size > LITERALS:
+            return self._by_matrix(df, "prediction", T.IntegerType(), lambda x, centers: pa.array(assign(x, centers)[0].astype(np.int32)))
         d2 = F.array(*[V.squared_distance(F.col("features"), V.literal(c)) for c in self.cluster_centers_])
         return df.withColumn("__d", d2).withColumn("prediction", V.argmin(F.col("__d"))).drop("__d")
 

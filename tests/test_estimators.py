@@ -749,3 +749,18 @@ def test_boosting_refuses_infinities_and_ragged_rows(spark):
     for bad in ([[1.0], [float("inf")]], [[1.0], [1.0, 2.0]], [[1.0], None]):
         with pytest.raises(Exception, match="features must be"):
             HistGradientBoostingRegressor(max_iter=1).fit(spark.createDataFrame([(b, 1.0) for b in bad], "features array<double>, label double").coalesce(1))
+
+
+def test_many_centres_are_one_matrix(spark):
+    """500 centres of 64 features: assigned and measured as by numpy, without an expression for each."""
+    rng = np.random.default_rng(13)
+    x, centers = rng.normal(size=(2000, 64)), rng.normal(size=(500, 64))
+    centers[7] = centers[3]
+    m = KMeans(500, init=centers, max_iter=1)
+    m.cluster_centers_, m.n_features_in_ = centers, 64
+    df = frame(spark, x)
+    d = np.sqrt(((x[:, None] - centers[None]) ** 2).sum(axis=2))
+    assert (column(m.predict(df), "prediction") == d.argmin(axis=1)).all()
+    assert np.allclose(np.array(column(m.transform(df), "distances").tolist()), d) and m.predict(df.limit(0)).count() == 0
+    assert "zip_with" not in m.predict(df)._jdf.queryExecution().toString()
+    assert np.isclose(m.inertia(df), (d.min(axis=1) ** 2).sum())
