@@ -37,6 +37,8 @@ from .wordpool import PieceCache, WordPool, steps
 
 #: Characters of text that one numpy step works on.
 STEP = 3_000_000
+#: Words, and pieces of words, that a worker remembers: its memory, beside those of what else runs in it.
+WORDS, PIECES = 400_000, 500_000
 
 
 def byte_letters() -> list[str]:
@@ -184,7 +186,7 @@ class Bpe:
 @lru_cache(maxsize=2)
 def _bpe(path: str) -> tuple[Bpe, WordPool]:
     bpe = Bpe(path)
-    return bpe, WordPool(PieceCache(bpe.cut, bpe.merge))
+    return bpe, WordPool(PieceCache(bpe.cut, bpe.merge, PIECES), WORDS)
 
 
 def _ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
