@@ -1,13 +1,15 @@
-"""Truncated SVD and PCA from one pass for the Gram matrix, then a symmetric eigenproblem of the features' size."""
+"""Truncated SVD and PCA from one pass for the Gram matrix, then a symmetric eigenproblem of the features' size; of very many features by a
+range finder."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
-from . import stats
+from . import stats, wide
 from .base import Estimator, relation
 
 
@@ -15,10 +17,27 @@ class _Decomposition(Estimator):
     def _eigen(self, a: np.ndarray, k: int) -> np.ndarray:
         """The k largest eigenvalues; sets ``components_``, each with its entry of largest size positive."""
         values, vectors = np.linalg.eigh(a)
-        values, rows = np.maximum(values[::-1][:k], 0.0), vectors[:, ::-1].T[:k]
+        self._signed(vectors[:, ::-1].T[:k])
+        return np.maximum(values[::-1][:k], 0.0)
+
+    def _signed(self, rows: np.ndarray) -> None:
         lead = rows[np.arange(len(rows)), np.argmax(np.abs(rows), axis=1)]
         self.components_ = rows * np.where(lead < 0, -1.0, 1.0)[:, None]
-        return values
+
+    def _by_passes(self, df: DataFrame, centred: bool) -> None:
+        found = wide.leading(df, self.n_components, centred)
+        self._signed(found["vectors"])
+        self.n_features_in_ = len(found["mean"])
+        self.singular_values_ = found["values"]
+        self.explained_variance_ = found["values"] ** 2 / max(found["n"] - 1, 1)
+        total = found["m2"].sum() / max(found["n"] - 1, 1)
+        self.explained_variance_ratio_ = self.explained_variance_ / total if total > 0 else np.zeros(len(found["values"]))
+        if centred:
+            self.n_components_, self.mean_ = self.n_components, found["mean"]
+
+    def _moved(self, df: DataFrame, found, d: int) -> DataFrame:
+        """``df`` with features that ``found`` makes of theirs and the components, which go out as one matrix."""
+        return wide.appended(df, "features", T.ArrayType(T.DoubleType()), lambda x, c: wide.lists(found(x, c)), self.components_, d)
 
     def _components(self, x: Column) -> Column:
         return F.array(*[V.dot(x, V.literal(c)) for c in self.components_])
@@ -31,13 +50,16 @@ class _Decomposition(Estimator):
 
 
 class TruncatedSVD(_Decomposition):
-    """The leading right singular vectors, without centring."""
+    """The leading right singular vectors, without centring. ``method``: "gram", "passes" (no matrix of features by features), or "auto"."""
 
-    def __init__(self, n_components: int = 2):
-        self.n_components = n_components
+    def __init__(self, n_components: int = 2, method: str = "auto"):
+        self.n_components, self.method = n_components, method
 
     def fit(self, df: DataFrame) -> TruncatedSVD:
-        g = stats.gram(df)
+        g = stats.gram(df, most=wide.most_features(self.method))
+        if g is None:
+            self._by_passes(df, centred=False)
+            return self
         d = self.n_features_in_ = len(g["mean"])
         if not 1 <= self.n_components <= d:
             raise ValueError("n_components must lie between 1 and the number of features")
@@ -49,20 +71,33 @@ class TruncatedSVD(_Decomposition):
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if self.components_.size > wide.LITERALS:
+            return self._moved(df, lambda x, c: x @ c.T, self.components_.shape[1])
         return df.withColumn("features", self._components(F.col("features")))
 
     def inverse_transform(self, df: DataFrame) -> DataFrame:
+        if self.components_.size > wide.LITERALS:
+            return self._moved(df, lambda x, c: x @ c, self.components_.shape[0])
         return df.withColumn("features", F.array(*[V.dot(F.col("features"), V.literal(c)) for c in self.components_.T]))
 
 
 class PCA(_Decomposition):
-    """Principal axes of the centred data. ``n_components``: a number, None for all, or a share of variance between 0 and 1."""
+    """Principal axes of the centred data. ``n_components``: a number, None for all, or a share of variance between 0 and 1.
+
+    ``method`` as for ``TruncatedSVD``; all axes, or a share, need the Gram matrix.
+    """
 
-    def __init__(self, n_components: int | float | None = None):
-        self.n_components = n_components
+    def __init__(self, n_components: int | float | None = None, method: str = "auto"):
+        self.n_components, self.method = n_components, method
 
     def fit(self, df: DataFrame) -> PCA:
-        g = stats.gram(df)
+        number = isinstance(self.n_components, int)
+        if self.method == "passes" and not number:
+            raise ValueError("passes need a number of components")
+        g = stats.gram(df, most=wide.most_features(self.method) if number else None)
+        if g is None:
+            self._by_passes(df, centred=True)
+            return self
         self.mean_ = g["mean"]
         d = self.n_features_in_ = len(self.mean_)
         s2 = self._eigen(g["xx"], d)
@@ -80,9 +115,15 @@ class PCA(_Decomposition):
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if self.components_.size > wide.LITERALS:
+            mean = self.mean_
+            return self._moved(df, lambda x, c: (x - mean) @ c.T, len(mean))
         centred = F.zip_with("features", V.literal(self.mean_), lambda x, m: x - m)
         return df.withColumn("__x", centred).withColumn("features", self._components(F.col("__x"))).drop("__x")
 
     def inverse_transform(self, df: DataFrame) -> DataFrame:
+        if self.components_.size > wide.LITERALS:
+            mean = self.mean_
+            return self._moved(df, lambda x, c: x @ c + mean, self.components_.shape[0])
         back = F.array(*[V.dot(F.col("features"), V.literal(c)) + float(m) for c, m in zip(self.components_.T, self.mean_, strict=True)])
         return df.withColumn("features", back)

@@ -1,4 +1,5 @@
-"""Linear models. Squared-loss models need one pass for the Gram matrix and are solved from it; logistic ones take a pass for each step."""
+"""Linear models. Squared-loss models need one pass for the Gram matrix and are solved from it, those of very many features and logistic ones
+take a pass for each step."""
 
 from __future__ import annotations
 
@@ -7,15 +8,28 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
-from . import stats
+from . import stats, wide
 from .base import Classifier, Regressor, classes, relation
 
 
 class _Linear(Regressor):
-    def _gram(self, df: DataFrame) -> dict[str, np.ndarray]:
-        g = stats.gram(df, label=True)
+    """``method``: "gram" solves from the Gram matrix, "passes" takes proximal steps of one pass each, which need vectors of the
+    features' size only; "auto" is the first up to ``wide.WIDE`` features. Passes end at ``max_iter`` or within ``tol``."""
+
+    method, max_iter, tol = "auto", 1_000, 1e-9
+
+    def _by_passes(self, df: DataFrame, l1=lambda n: 0.0, l2=lambda n: 0.0) -> _Linear:
+        self.coef_, self.intercept_, self.n_iter_ = wide.penalised(df, l1, l2, self.fit_intercept, self.max_iter, self.tol)
+        self.n_features_in_ = len(self.coef_)
+        return self
+
+    def _gram(self, df: DataFrame) -> dict[str, np.ndarray] | None:
+        g = stats.gram(df, label=True, most=wide.most_features(self.method))
+        if g is None:
+            return None
         if not self.fit_intercept:  # about zero instead of the means
             g["xx"] = g["xx"] + g["n"] * np.outer(g["mean"], g["mean"])
             g["xy"] = g["xy"] + g["n"] * g["mean"] * g["y_mean"]
@@ -28,6 +42,9 @@ class _Linear(Regressor):
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
+        if len(self.coef_) > wide.LITERALS:
+            b = self.intercept_
+            return wide.appended(df, "prediction", T.DoubleType(), lambda x, w: pa.array(x @ w + b), self.coef_, len(self.coef_))
         return df.withColumn("prediction", V.linear(F.col("features"), self.coef_, self.intercept_))
 
     def to_df(self, spark: SparkSession) -> DataFrame:
@@ -50,33 +67,39 @@ def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class LinearRegression(_Linear):
-    def __init__(self, fit_intercept: bool = True):
-        self.fit_intercept = fit_intercept
+    def __init__(self, fit_intercept: bool = True, method: str = "auto"):
+        self.fit_intercept, self.method = fit_intercept, method
 
     def fit(self, df: DataFrame) -> LinearRegression:
         g = self._gram(df)
+        if g is None:
+            return self._by_passes(df)
         return self._set(_solve(g["xx"], g["xy"]), g)
 
 
 class Ridge(_Linear):
     """|y - Xw|^2 + alpha |w|^2; the intercept is free."""
 
-    def __init__(self, alpha: float = 1.0, fit_intercept: bool = True):
-        self.alpha, self.fit_intercept = alpha, fit_intercept
+    def __init__(self, alpha: float = 1.0, fit_intercept: bool = True, method: str = "auto"):
+        self.alpha, self.fit_intercept, self.method = alpha, fit_intercept, method
 
     def fit(self, df: DataFrame) -> Ridge:
         g = self._gram(df)
+        if g is None:
+            return self._by_passes(df, l2=lambda n: self.alpha / n)
         return self._set(_solve(g["xx"] + self.alpha * np.eye(len(g["xy"])), g["xy"]), g)
 
 
 class ElasticNet(_Linear):
-    """|y - Xw|^2 / 2n + alpha (l1_ratio |w|_1 + (1 - l1_ratio) |w|^2 / 2), by coordinate descent on the Gram matrix."""
+    """|y - Xw|^2 / 2n + alpha (l1_ratio |w|_1 + (1 - l1_ratio) |w|^2 / 2), by coordinate descent on the Gram matrix or by passes."""
 
-    def __init__(self, alpha: float = 1.0, l1_ratio: float = 0.5, fit_intercept: bool = True, max_iter: int = 10_000, tol: float = 1e-10):
-        self.alpha, self.l1_ratio, self.fit_intercept, self.max_iter, self.tol = alpha, l1_ratio, fit_intercept, max_iter, tol
+    def __init__(self, alpha: float = 1.0, l1_ratio: float = 0.5, fit_intercept: bool = True, max_iter: int = 10_000, tol: float = 1e-10, method: str = "auto"):
+        self.alpha, self.l1_ratio, self.fit_intercept, self.max_iter, self.tol, self.method = alpha, l1_ratio, fit_intercept, max_iter, tol, method
 
     def fit(self, df: DataFrame) -> ElasticNet:
         g = self._gram(df)
+        if g is None:
+            return self._by_passes(df, lambda n: self.alpha * self.l1_ratio, lambda n: self.alpha * (1 - self.l1_ratio))
         xx, xy, n = g["xx"], g["xy"], g["n"]
         l1, l2 = n * self.alpha * self.l1_ratio, n * self.alpha * (1 - self.l1_ratio)
         w = np.zeros(len(xy))
@@ -96,11 +119,11 @@ class ElasticNet(_Linear):
 
 
 class Lasso(ElasticNet):
-    def __init__(self, alpha: float = 1.0, fit_intercept: bool = True, max_iter: int = 10_000, tol: float = 1e-10):
-        super().__init__(alpha, 1.0, fit_intercept, max_iter, tol)
+    def __init__(self, alpha: float = 1.0, fit_intercept: bool = True, max_iter: int = 10_000, tol: float = 1e-10, method: str = "auto"):
+        super().__init__(alpha, 1.0, fit_intercept, max_iter, tol, method)
 
     def get_params(self) -> dict:
-        return {k: getattr(self, k) for k in ("alpha", "fit_intercept", "max_iter", "tol")}
+        return {k: getattr(self, k) for k in ("alpha", "fit_intercept", "max_iter", "tol", "method")}
 
 
 class LogisticRegression(Classifier):

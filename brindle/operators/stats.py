@@ -214,11 +214,12 @@ def quantiles(df: DataFrame, at: tuple[float, ...]) -> np.ndarray:
     return np.array([[value[j, int(np.floor(p))] + (p - np.floor(p)) * (value[j, int(np.ceil(p))] - value[j, int(np.floor(p))]) for j in range(d)] for p in place])
 
 
-def gram(df: DataFrame, label: bool = False) -> dict[str, np.ndarray]:
+def gram(df: DataFrame, label: bool = False, most: int | None = None) -> dict[str, np.ndarray] | None:
     """n, the sums x and products xx of all features, and with ``label`` y, yy and xy; centred on a first row against cancellation.
 
     Keys: n, mean (d), xx (d, d) about the mean; y_mean, yy, xy about the means.
-    The pass also checks the features: ValueError as for ``width``.
+    The pass also checks the features: ValueError as for ``width``. None, without a
+    pass, if a row has more than ``most`` features.
     """
     first = df.select("features", *(["label"] if label else [])).first()
     if first is None:
@@ -230,6 +231,8 @@ def gram(df: DataFrame, label: bool = False) -> dict[str, np.ndarray]:
     if x0.ndim != 1 or not np.isfinite(x0).all():
         sound(True)
     d = len(x0)
+    if most is not None and d > most:
+        return None
     names = ["n", "x", "xx", "y", "yy", "xy", "bad"]
 
     def part(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
