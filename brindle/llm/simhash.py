@@ -25,8 +25,8 @@ then verified by the exact cosine of the two sets, by joins.
 Rows are sorted by key, and each task goes through its runs of equal keys with
 numpy. A run's components are found by searching outward from a member among
 those not reached yet. They leave the task as trees, not as pairs: a group of
-thousands of near copies costs a few edges per member. Proposals are verified one
-by one, so they also go to the members nearest the group's centre, for that is
+thousands of near copies costs an edge per member. Proposals are verified one by
+one, so the trees' roots are the members nearest the group's centre, for that is
 where the text lies that all others were made from. Only distinct fingerprints
 take part.
 
@@ -288,7 +288,7 @@ def _links(key: np.ndarray, node: np.ndarray, f: np.ndarray, limit: int) -> tupl
     return both[:, 0], both[:, 1]
 
 
-#: Members at the centre of a component that all others are compared with.
+#: Members at the centre of a component, the nearest of which each other one is compared with.
 HUBS = 3
 
 
@@ -296,12 +296,40 @@ def _distance(f: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(f ^ x).sum(axis=-1, dtype=np.int64)
 
 
+def _tree(f: np.ndarray, limit: int) -> np.ndarray:
+    """A spanning tree of connected fingerprints: each one's parent, and -1 for the root, which lies nearest the centre.
+
+    A member goes with the nearest of the ``HUBS`` at the centre that were reached before
+    it, and else with the member from which it was reached. So parents come before
+    their children, and no edge is longer than ``limit``.
+    """
+    bits = np.unpackbits(f.view(np.uint8), axis=1)
+    center = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(f)).view(np.uint64)
+    hubs = np.argsort(_distance(f, center), kind="stable")[:HUBS]
+    parent, turn, left = np.full(len(f), -1), np.zeros(len(f), np.int64), np.delete(np.append(hubs, np.delete(np.arange(len(f)), hubs)), 0)
+    frontier, reached = deque(hubs[:1].tolist()), 1
+    while frontier and len(left):
+        i = frontier.popleft()
+        near = _distance(f[left], f[i]) <= limit
+        new, left = left[near], left[~near]
+        parent[new], turn[new] = i, reached + np.arange(len(new))
+        reached += len(new)
+        frontier.extend(new.tolist())
+    best = np.full(len(f), limit + 1)
+    for h in hubs:
+        d = _distance(f, f[h])
+        closer = (turn > turn[h]) & (d < best)
+        parent[closer], best[closer] = h, d[closer]
+    return parent
+
+
 def _proposals(key: np.ndarray, node: np.ndarray, f: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (member, other) at ``limit`` or fewer bits within runs of equal keys, and which rows are in long runs.
+    """Pairs (member, other) at ``limit`` or fewer bits within runs of equal keys, as rows, and which of these come from long runs.
 
-    Short runs give all pairs. Of a longer run's component come those by which it was
-    searched, and those with the ``HUBS`` members nearest its centre: enough to join
-    a group whose members are all alike. Other pairs in long runs are for ``_unsettled``.
+    Short runs give all pairs. Each row of a longer run comes once, with its parent in the
+    tree of its component, or with itself where it has none: enough to join a group
+    whose members are all alike, and no more rows than the run has. Other pairs in
+    long runs are for ``_unsettled``.
     """
     starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
     sizes = np.diff(np.append(starts, len(key)))
@@ -312,6 +340,12 @@ def _proposals(key: np.ndarray, node: np.ndarray, f: np.ndarray, limit: int) ->
         i = i[_distance(f[i], f[i + d]) <= limit]
         a.append(i)
         b.append(i + d)
+    a, b = np.concatenate([*a, np.empty(0, np.int64)]), np.concatenate([*b, np.empty(0, np.int64)])
+    # One row of each pair of nodes, however many keys they share here.
+    pairs = np.stack([node[a], node[b]], axis=1)
+    once = np.unique(pairs, axis=0, return_index=True)[1]
+    once = once[pairs[once, 0] != pairs[once, 1]]
+    a, b, parent = a[once], b[once], np.arange(len(key))
     for s, n in zip(starts[sizes > SHORT], sizes[sizes > SHORT], strict=True):
         left = np.arange(s, s + n)
         while len(left) > 1:
@@ -323,19 +357,12 @@ def _proposals(key: np.ndarray, node: np.ndarray, f: np.ndarray, limit: int) ->
                     new, left = left[near], left[~near]
                     members.append(new)
                     frontier.extend(new.tolist())
-                    a.append(new)
-                    b.append(np.full(len(new), i))
             m = np.concatenate(members)
-            if len(m) > 2:
-                bits = np.unpackbits(f[m].view(np.uint8), axis=1)
-                center = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(m)).view(np.uint64)
-                for h in m[np.argsort(_distance(f[m], center), kind="stable")[:HUBS]]:
-                    new = m[(_distance(f[m], f[h]) <= limit) & (m != h)]
-                    a.append(new)
-                    b.append(np.full(len(new), h))
-    a, b = np.concatenate([*a, np.empty(0, np.int64)]), np.concatenate([*b, np.empty(0, np.int64)])
-    both = np.unique(np.stack([node[a], node[b]], axis=1)[node[a] != node[b]], axis=0)
-    return both[:, 0], both[:, 1], ~short
+            if len(m) > 1:
+                up = _tree(f[m], limit)
+                parent[m] = np.where(up < 0, m, m[up])
+    own = np.flatnonzero(~short)
+    return np.append(a, own), np.append(b, parent[own]), np.repeat([False, True], [len(a), len(own)])
 
 
 def _edges(filed: DataFrame, lanes: list[str], limit: int, links=_links) -> DataFrame:
@@ -369,16 +396,14 @@ def _edges(filed: DataFrame, lanes: list[str], limit: int, links=_links) -> Data
 
 
 def _searched(filed: DataFrame, lanes: list[str], limit: int) -> DataFrame:
-    """a, b for the ``_proposals`` of the runs of equal ``run``, and a, key for each row in a long one. ``filed`` has run, key, node and ``lanes``."""
+    """a, b for the ``_proposals`` of the runs of equal ``run``; each row of a long one gives one row, with its key, and without b if nothing is proposed for it. ``filed`` has run, key, node and ``lanes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
 
         def out(table: np.ndarray) -> pa.RecordBatch:
             a, b, long = _proposals(table[:, 0], table[:, 2], table[:, 3:].copy().view(np.uint64), limit)
-            member, key = table[long, 2], table[long, 1]
-            none = [pa.nulls(n, pa.int64()) for n in (len(member), len(a))]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a), pa.array(member)]), pa.concat_arrays([pa.array(b), none[0]]), pa.concat_arrays([none[1], pa.array(key)])], ["a", "b", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(table[a, 2]), pa.array(table[b, 2], mask=a == b), pa.array(table[a, 1], mask=~long)], ["a", "b", "key"])
 
         for batch in batches:
             if not len(batch):

@@ -243,3 +243,37 @@ def test_a_group_of_copies_makes_no_pairs_by_shingles(spark):
     """One component shares its shingles with itself only: nothing is met, whatever its size."""
     df = spark.createDataFrame([(i, 0, list(range(i % 3, 100))) for i in range(3000)], "node long, component long, shingles array<long>")
     assert simhash._met(df, 0.8).count() == 0
+
+
+def test_a_long_run_makes_no_more_rows_than_it_has(spark):
+    """A row of a long run gives one row: its parent in a tree that joins what is close, or none. Short runs give their close pairs."""
+    rng, limit = np.random.default_rng(3), 40
+    base = rng.integers(0, 2**63, (3, 4)).astype(np.uint64)
+    f = np.repeat(base, (400, 100, 1), axis=0)
+    for row in f:
+        row[rng.integers(4)] ^= np.uint64(1) << np.uint64(rng.integers(64))
+        row[rng.integers(4)] ^= np.uint64(1) << np.uint64(rng.integers(64))
+    chain = np.zeros((60, 4), np.uint64)
+    for i in range(1, 60):
+        chain[i] = chain[i - 1]
+        chain[i, i % 4] ^= np.uint64((2**30 - 1) << 10 * (i // 4 % 3))
+    f = np.concatenate([f, chain])
+    f = f[rng.permutation(len(f))]
+    rows = [(5, 5, i, *map(int, x)) for i, x in enumerate(f.view(np.int64))] + [(6, 6, i, *map(int, f.view(np.int64)[i])) for i in range(4)]
+    df = spark.createDataFrame(rows, "run long, key long, node long, l0 long, l1 long, l2 long, l3 long")
+    got = simhash._searched(df, ["l0", "l1", "l2", "l3"], limit).collect()
+    long = [r for r in got if r.key is not None]
+    assert sorted(r.a for r in long) == list(range(len(f))) and len(got) <= len(rows) + 6
+    up = {r.a: r.b for r in long if r.b is not None}
+    assert all(int(np.bitwise_count(f[a] ^ f[b]).sum()) <= limit for a, b in up.items())
+    label = {}
+    for m in simhash._component_trees(f, limit):
+        label |= dict.fromkeys(m.tolist(), int(m[0]))
+    roots = {}
+    for i in range(len(f)):
+        at, steps = i, 0
+        while at in up:
+            at, steps = up[at], steps + 1
+            assert steps <= len(f)
+        roots.setdefault(at, set()).add(label.get(i, i))
+    assert all(len(x) == 1 for x in roots.values()) and len(roots) == len({label.get(i, i) for i in range(len(f))})
