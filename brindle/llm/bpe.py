@@ -129,7 +129,8 @@ class Bpe:
                     out += [self.special[part]] if part in self.special else self.cut([part])[:-1]
                 out.append("\n")
             return out
-        if not text.isascii() and (strange := unsettled(self.path)).search(text):
+        # A pattern of single characters: each that occurs is asked about once, as it is slow over a whole text.
+        if not text.isascii() and (strange := unsettled(self.path)).search("".join(set(text))):
             return [p for w in words for p in [*(self._asked(w) if strange.search(w) else self.cut([w])[:-1]), "\n"]]
         # One letter at a time: a capital sigma never becomes a final one.
         low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()

@@ -86,3 +86,21 @@ def test_order_of_merges_is_checked(tmp_path):
     with pytest.raises(ValueError, match="order"):
         bpe.Bpe(str(path))
     assert isinstance(bpe.Bpe(bpe.vocabulary()).decode(pa.array([[0, 1]], pa.list_(pa.int32()))), pa.Array)
+
+
+def test_each_character_is_asked_about_once(monkeypatch, library):
+    """The pattern of unsettled characters is slow, so it sees what characters there are, not the text; one at its end is still found."""
+    asked, real = [], bpe.unsettled(bpe.vocabulary())
+
+    class Counting:
+        def search(self, text):
+            asked.append(len(text))
+            return real.search(text)
+
+    monkeypatch.setattr(bpe, "unsettled", lambda path: Counting())
+    cut, words = bpe.Bpe(bpe.vocabulary()), ["straße", "naïve", "日本語"] * 2000
+    pieces = cut.cut(words)
+    assert pieces.count("\n") == len(words) and sum(asked) <= len(set("".join(words))) + 1
+    odd = next(chr(i) for i in range(0x300, 0x110000) if real.search(chr(i)))
+    ids, n = cut.merge([p for p in cut.cut([*words[:3], f"a{odd}b"]) if p != "\n"])
+    assert ids.tolist() == library.encode(" ".join([*words[:3], f"a{odd}b"]), add_special_tokens=False).ids
