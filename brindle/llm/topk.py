@@ -11,7 +11,8 @@ A query node and a data node are compared once for all their points: no inner
 product between them exceeds ``<c,d> + r|d| + s|c| + rs`` (centres c, d, radii
 r, s). If that is below the worst k-th score in the query node, the pair of
 nodes is done. Otherwise the wider node is opened, most promising child first;
-two leaves are multiplied with numpy.
+two leaves are multiplied with numpy, and so are two nodes of at most ``WHOLE``
+pairs of points if none of their pairs of leaves can be left out.
 
 The same bound is first taken between whole blocks. Every query block is searched
 together with its most promising data block; then, with the worst k-th scores that
@@ -39,6 +40,8 @@ from ..functions import vectors as V
 from . import common
 
 BLOCK, LEAF, FANOUT = 1024, 64, 8
+#: Pairs of points that are multiplied in one step at most: 8 MB.
+WHOLE = BLOCK * BLOCK
 #: Query blocks in a wave: 32,768 queries, 16 MB at 64 dimensions, which a task holds.
 WAVE = 32
 #: Rows of a sample from which pivots are picked, and pivots. They only shape the blocks.
@@ -58,6 +61,8 @@ class CoverTree:
         self.radius, self.child, self.children = nodes["radius"], nodes["child"], nodes["children"]
         self.first, self.last = nodes["first"], nodes["last"]
         self.centers = vectors[nodes["center"]]
+        leaves = np.flatnonzero(self.children == 0)
+        self.leaves = leaves[np.argsort(self.first[leaves], kind="stable")]
         with np.errstate(over="ignore"):
             self.norms = np.sqrt((self.centers**2).sum(axis=1))
             self.largest = float(np.sqrt((vectors**2).sum(axis=1).max(initial=0.0)))
@@ -109,6 +114,12 @@ class CoverTree:
         return self.centers[nodes] @ other.centers[node] + r * other.norms[node] + s * self.norms[nodes] + r * s
 
 
+    def under(self, node: int) -> np.ndarray:
+        """The leaves that a node's points are in, in their order."""
+        first = self.first[self.leaves]
+        return self.leaves[np.searchsorted(first, self.first[node]) : np.searchsorted(first, self.last[node])]
+
+
 class Best:
     """The k best (score, id) of each query of a tree, by falling score, then rising id."""
 
@@ -122,6 +133,17 @@ class Best:
         q = self.queries
         return self.scores[q.first[node] : q.last[node], -1].min()
 
+    def all_matter(self, i: int, data: CoverTree, j: int) -> bool:
+        """Whether no pair of leaves under query node i and data node j can be left out."""
+        q = self.queries
+        if (q.last[i] - q.first[i]) * (data.last[j] - data.first[j]) > WHOLE:
+            return False
+        a, b = q.under(i), data.under(j)
+        worst = np.minimum.reduceat(self.scores[q.first[i] : q.last[i], -1], q.first[a] - q.first[i])
+        r, s = q.radius[a][:, None], data.radius[b]
+        bound = q.centers[a] @ data.centers[b].T + r * data.norms[b] + s * q.norms[a][:, None] + r * s
+        return bool((bound + np.abs(bound) * 1e-9 + 1e-6 >= worst[:, None]).all())
+
     def offer(self, a: int, b: int, data: CoverTree, c: int, d: int) -> None:
         """Takes data points c to d into account for queries a to b."""
         if self.whole is not None or self.queries.largest * data.largest >= 2.0**52:
@@ -173,11 +195,12 @@ def search(best: Best, data: CoverTree) -> tuple[int, int, int]:
     while todo:
         i, j, bound = todo.pop()
         seen += 1
-        if bound + abs(bound) * 1e-9 + 1e-6 < best.worst(i):
+        worst = best.worst(i)
+        if bound + abs(bound) * 1e-9 + 1e-6 < worst:
             pruned += 1
             continue
         open_q, open_d = q.children[i] > 0, data.children[j] > 0
-        if not open_q and not open_d:
+        if not open_q and not open_d or worst > -np.inf and best.all_matter(i, data, j):
             best.offer(q.first[i], q.last[i], data, data.first[j], data.last[j])
             done += (q.last[i] - q.first[i]) * (data.last[j] - data.first[j])
         elif open_d and (not open_q or data.radius[j] >= q.radius[i]):

@@ -106,3 +106,23 @@ def test_several_waves(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 64)
     monkeypatch.setattr(topk, "WAVE", 2)
     assert sorted(map(tuple, topk.top_k(rows.repartition(3), F.col("id") % 2 == 0, 5).collect())) == whole
+
+
+def test_nodes_that_no_bound_tells_apart_are_multiplied_as_a_whole(monkeypatch):
+    """Evenly spread vectors: a few large products, not one for each pair of small leaves; the results are those of all pairs."""
+    rng = np.random.default_rng(8)
+    x = np.floor(rng.normal(size=(4000, 64)) * 64)
+    queries = topk.CoverTree.build(np.arange(500), x[:500])
+    best, steps, real = topk.Best(queries, 5), [], topk.Best.offer
+    monkeypatch.setattr(topk.Best, "offer", lambda self, *a: steps.append(1) or real(self, *a))
+    for at in range(0, len(x), 1000):
+        before = len(steps)
+        topk.search(best, topk.CoverTree.build(np.arange(at, at + 1000), x[at : at + 1000]))
+        assert not at or len(steps) - before <= 20
+    ids, others, scores = (np.concatenate(c) for c in zip(*best.results(), strict=True))
+    got = {}
+    for q, o, s in zip(ids.tolist(), others.tolist(), scores.tolist(), strict=True):
+        got.setdefault(q, []).append((-s, o))
+    products = x[:500] @ x.T
+    for q in range(500):
+        assert got[q] == sorted((-int(products[q, o]), o) for o in range(len(x)) if o != q)[:5]
