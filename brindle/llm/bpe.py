@@ -50,7 +50,7 @@ def byte_letters() -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def _library(path: str):
+def library(path: str):
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -63,20 +63,21 @@ def unsettled(path: str) -> re.Pattern:
     Those are the ones Python has no entry for, and the marks and parts of
     composed letters that the library's normalizer doesn't order or compose alike.
     """
-    normal, codes = _library(path).normalizer.normalize_str, set()
+    # A flag for each code point: a set of the nearly a million that have no entry would take a worker 60 MB.
+    normal, codes = library(path).normalizer.normalize_str, np.zeros(0x110000, bool)
     for i in range(0x110000):
         c = chr(i)
         kind, parts = unicodedata.category(c), unicodedata.decomposition(c)
         if kind == "Cn":
-            codes.add(i)
+            codes[i] = True
         elif kind[0] == "M" and unicodedata.combining(c):
             # The mark of the first string has the highest class but one, that of the second the lowest.
             alike = [normal(x) == unicodedata.normalize("NFC", x).lower() for x in (f"\u0345{c}", f"{c}\u0334")]
-            codes |= set() if all(alike) else {i}
+            codes[i] |= not all(alike)
         elif parts and parts[0] != "<":
             whole = "".join(chr(int(x, 16)) for x in parts.split())
-            codes |= set() if normal(whole) == unicodedata.normalize("NFC", whole).lower() else {i, *map(ord, whole)}
-    codes = np.array(sorted(codes))
+            codes[[i, *map(ord, whole)]] |= normal(whole) != unicodedata.normalize("NFC", whole).lower()
+    codes = np.flatnonzero(codes)
     runs = np.split(codes, np.flatnonzero(np.diff(codes) > 1) + 1)
     return re.compile("[" + "".join(f"\\U{x[0]:08x}-\\U{x[-1]:08x}" for x in runs) + "]")
 
@@ -138,8 +139,8 @@ class Bpe:
 
     def _asked(self, word: str) -> list[str]:
         """A word's pieces as the library cuts it; it gives them as letters that stand for bytes."""
-        library = _library(self.path)
-        cut = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(word))
+        own = library(self.path)
+        cut = own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(word))
         return [bytes(self.byte_of[x] for x in piece).decode() for piece, _ in cut]
 
     def merge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

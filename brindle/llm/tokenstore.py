@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import Bpe, vocabulary
+from .bpe import Bpe, library, vocabulary
 from .wordpool import PieceCache, WordPool, gather, steps
 
 #: A chunk ends where the low BITS bits of the rolling hash are zero: 256 ids on average, within these bounds.
@@ -40,7 +40,7 @@ BITS, SHORTEST, LONGEST = 8, 32, 2048
 #: Recipes in a shard, and nodes under a node of the Merkle tree.
 SHARD, FANOUT = 8_192, 1_024
 #: Characters of text in one step; chunk hashes a task remembers so as not to send a payload twice.
-STEP, SEEN = 5_000_000, 200_000
+STEP, SEEN = 3_000_000, 200_000
 #: The first letter beyond those that the words of Latin scripts are cut by here.
 LATIN = "\u0250"
 #: Marks of chunks with copies that are broadcast; beyond that they are joined by shuffle.
@@ -51,9 +51,8 @@ BROADCAST_MARKS = 1_000_000
 def _encoder(path: str):
     """The vocabulary's size, and what turns texts into (all ids in a row, how many each text has)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
+    # The one that words are cut with: a second copy would take a worker 40 MB.
+    t = library(path)
     t.no_truncation()
     t.no_padding()
 
@@ -86,7 +85,7 @@ def _encoder(path: str):
         for at in range(0, len(plain), 20_000):
             # White space is dropped and every piece ends with a token that says so.
             own = plain[at : at + 20_000]
-            got = np.array(t.encode(" ".join([new[i] for i in own]), add_special_tokens=False).ids, np.int32)
+            got = np.array(t.encode_batch_fast([" ".join([new[i] for i in own])], add_special_tokens=False)[0].ids, np.int32)
             ids.append(got)
             n.append(np.diff(np.flatnonzero(is_end[got]), prepend=-1))
             order += own

@@ -11,12 +11,16 @@ part in no composition.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Words, and pieces of words, that a worker remembers unless told otherwise: its memory, beside those of what else runs in it.
+WORDS, PIECES = 300_000, 400_000
+
+
 def steps(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes add up to about ``most``; a larger row is a range of its own."""
     start = total = 0
@@ -43,18 +47,46 @@ def strings(words: pa.Array) -> list[str]:
     return pc.binary_join(row, "\n")[0].as_py().split("\n")
 
 
-class PieceCache:
+class _Known:
+    """The ids of keys that were met, in one flat array. ``used`` tells which were met again after they were learned."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict = {}
+        self.ids, self.starts, self.lens, self.used = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+
+    def _learn(self, keys: list, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.at.update(zip(keys, range(len(self.at), len(self.at) + len(keys)), strict=True))
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lens) - lens)
+        self.ids, self.lens, self.used = np.concatenate([self.ids, ids]), np.append(self.lens, lens), np.append(self.used, np.zeros(len(keys), bool))
+
+    def _forget(self) -> None:
+        """Keeps what was met again, as most keys of a large corpus are met once; nothing where that is over half the limit."""
+        keep = np.flatnonzero(self.used)
+        if len(keep) > self.limit // 2:
+            return self._clear()
+        # Keys lie in the dictionary in the order of their places.
+        keys = list(compress(self.at, self.used.tolist()))
+        ids, lens = gather(self.ids, self.starts[keep], self.lens[keep]), self.lens[keep]
+        _Known._clear(self)
+        self._learn(keys, ids, lens)
+
+
+class PieceCache(_Known):
     """Encodes words by way of their distinct pieces, of which there are fewer; pieces are kept up to a limit."""
 
-    def __init__(self, cut: Callable[[list[str]], list], encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = 900_000):
+    def __init__(self, cut: Callable[[list[str]], list], encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = PIECES):
         """``cut`` gives the pieces of all words in a row with a line break after each word; a number is an id already. ``encode`` takes the others."""
-        self.cut, self.encode, self.limit = cut, encode, limit
-        self._clear()
+        self.cut, self.encode = cut, encode
+        super().__init__(limit)
 
     def _clear(self) -> None:
+        super()._clear()
         # The line break that ends a word has no ids.
-        self.at: dict = {"\n": 0}
-        self.ids, self.starts, self.lens = np.empty(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self._learn(["\n"], np.empty(0, np.int32), np.zeros(1, np.int64))
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many each has."""
@@ -62,35 +94,25 @@ class PieceCache:
         distinct = set(pieces)
         new = distinct - self.at.keys()
         if len(self.at) + len(new) > self.limit:
-            self._clear()
-            new = distinct - {"\n"}
+            self.used[[0, *map(self.at.__getitem__, distinct - new)]] = True
+            self._forget()
+            new = distinct - self.at.keys()
+        before = len(self.at)
         if new:
             plain, numbers = [p for p in new if not isinstance(p, int)], [p for p in new if isinstance(p, int)]
             ids, lens = self.encode(plain) if plain else (np.empty(0, np.int32), np.empty(0, np.int64))
-            lens = np.append(lens, np.ones(len(numbers), np.int64))
-            self.at.update(zip([*plain, *numbers], range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lens) - lens)
-            self.ids, self.lens = np.concatenate([self.ids, ids, np.array(numbers, np.int32)]), np.append(self.lens, lens)
+            self._learn([*plain, *numbers], np.append(ids, np.array(numbers, np.int32)), np.append(lens, np.ones(len(numbers), np.int64)))
         p = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+        self.used[p[p < before]] = True
         lens = self.lens[p]
         return gather(self.ids, self.starts[p], lens), np.diff(np.cumsum(lens)[p == 0], prepend=0)
 
 
-class WordPool:
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 700_000):
+class WordPool(_Known):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = WORDS):
         """``encode`` turns words into (all their ids in a row, how many each has)."""
-        self.encode, self.limit = encode, limit
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids, self.starts, self.lens = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        ids, lens = self.encode(new)
-        starts = len(self.ids) + np.cumsum(lens) - lens
-        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-        self.ids, self.starts, self.lens = np.concatenate([self.ids, ids]), np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
+        self.encode = encode
+        super().__init__(limit)
 
     def __call__(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many each text has. Only distinct words become Python strings."""
@@ -102,13 +124,14 @@ class WordPool:
         coded = split.flatten().dictionary_encode()
         words = strings(coded.dictionary)
         at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(at < 0)
-        if len(self.at) + len(new) > self.limit:
-            self._clear()
-            new = np.arange(len(words))
-        if len(new):
+        self.used[at[at >= 0]] = True
+        if len(self.at) + np.count_nonzero(at < 0) > self.limit:
+            self._forget()
+            at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(at < 0)):
             at[new] = len(self.at) + np.arange(len(new))
-            self._learn([words[i] for i in new.tolist()])
+            fresh = [words[i] for i in new.tolist()]
+            self._learn(fresh, *self.encode(fresh))
         w = at[coded.indices.to_numpy()]
         lens = self.lens[w]
         upto = np.append(0, np.cumsum(lens))[np.cumsum(n)]
