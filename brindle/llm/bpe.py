@@ -64,19 +64,22 @@ def unsettled(path: str) -> re.Pattern:
     composed letters that the library's normalizer doesn't order or compose alike.
     """
     # A flag for each code point: a set of the nearly a million that have no entry would take a worker 60 MB.
-    normal, codes = library(path).normalizer.normalize_str, np.zeros(0x110000, bool)
-    for i in range(0x110000):
-        c = chr(i)
-        kind, parts = unicodedata.category(c), unicodedata.decomposition(c)
-        if kind == "Cn":
-            codes[i] = True
-        elif kind[0] == "M" and unicodedata.combining(c):
-            # The mark of the first string has the highest class but one, that of the second the lowest.
-            alike = [normal(x) == unicodedata.normalize("NFC", x).lower() for x in (f"\u0345{c}", f"{c}\u0334")]
-            codes[i] |= not all(alike)
-        elif parts and parts[0] != "<":
-            whole = "".join(chr(int(x, 16)) for x in parts.split())
-            codes[[i, *map(ord, whole)]] |= normal(whole) != unicodedata.normalize("NFC", whole).lower()
+    normal, codes, page = library(path).normalizer.normalize_str, np.zeros(0x110000, bool), 0x1000
+    for first in range(0, len(codes), page):
+        own = list(map(chr, range(first, first + page)))
+        kinds = "".join(map(unicodedata.category, own))
+        codes[first : first + page] |= np.frombuffer(kinds.encode(), "S2") == b"Cn"
+        if not kinds.replace("Cn", "").replace("Co", ""):
+            continue
+        for c in (c for c, kind in zip(own, kinds[::2], strict=True) if kind == "M"):
+            if unicodedata.combining(c):
+                # The mark of the first string has the highest class but one, that of the second the lowest.
+                alike = [normal(x) == unicodedata.normalize("NFC", x).lower() for x in (f"\u0345{c}", f"{c}\u0334")]
+                codes[ord(c)] |= not all(alike)
+        for c, parts in zip(own, map(unicodedata.decomposition, own), strict=True):
+            if parts and parts[0] != "<" and not (unicodedata.category(c)[0] == "M" and unicodedata.combining(c)):
+                whole = "".join(chr(int(x, 16)) for x in parts.split())
+                codes[[ord(c), *map(ord, whole)]] |= normal(whole) != unicodedata.normalize("NFC", whole).lower()
     codes = np.flatnonzero(codes)
     runs = np.split(codes, np.flatnonzero(np.diff(codes) > 1) + 1)
     return re.compile("[" + "".join(f"\\U{x[0]:08x}-\\U{x[-1]:08x}" for x in runs) + "]")

@@ -47,6 +47,16 @@ LATIN = "\u0250"
 BROADCAST_MARKS = 1_000_000
 
 
+def merger(whole):
+    """The tokenizer ``whole`` for pieces that it, or ``Bpe``, has normalized and cut, with a space between any two: its model alone, which both share."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
+
+    own = Tokenizer(whole.model)
+    own.pre_tokenizer = Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
+    return own
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str):
     """The vocabulary's size, and what turns texts into (all ids in a row, how many each text has)."""
@@ -66,12 +76,13 @@ def _encoder(path: str):
     except (ValueError, KeyError, TypeError):  # another kind of vocabulary: whole texts
         return t.get_vocab_size(), lambda texts: encode(texts.to_pylist())
     is_end = np.array([x.endswith(cut.end) for x in cut.tokens])
+    merge = merger(t)
 
     def pieces(words: list[str]) -> list:
         # Words of Latin letters are cut here as the library cuts them; others are left to it whole.
-        own = [w.isascii() or max(w) < LATIN for w in words]
-        if all(own):
+        if max(map(max, filter(None, words)), default="") < LATIN:
             return cut.cut(words)
+        own = [w.isascii() or max(w) < LATIN for w in words]
         got = cut.cut([w if o else "" for w, o in zip(words, own, strict=True)])
         ends = (i for i, p in enumerate(got) if p == "\n")
         for o, w, i in zip(own, words, ends, strict=True):
@@ -83,9 +94,9 @@ def _encoder(path: str):
         ids, n, order = [], [], []
         plain = [i for i, p in enumerate(new) if isinstance(p, str)]
         for at in range(0, len(plain), 20_000):
-            # White space is dropped and every piece ends with a token that says so.
+            # The spaces between pieces are dropped and every piece ends with a token that says so.
             own = plain[at : at + 20_000]
-            got = np.array(t.encode_batch_fast([" ".join([new[i] for i in own])], add_special_tokens=False)[0].ids, np.int32)
+            got = np.array(merge.encode_batch_fast([" ".join([new[i] for i in own])], add_special_tokens=False)[0].ids, np.int32)
             ids.append(got)
             n.append(np.diff(np.flatnonzero(is_end[got]), prepend=-1))
             order += own

@@ -91,19 +91,21 @@ class PieceCache(_Known):
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many each has."""
         pieces = self.cut(words)
-        distinct = set(pieces)
-        new = distinct - self.at.keys()
+        p = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
+        self.used[p[p >= 0]] = True
+        fresh = [pieces[i] for i in np.flatnonzero(p < 0).tolist()]
+        new = list(dict.fromkeys(fresh))
         if len(self.at) + len(new) > self.limit:
-            self.used[[0, *map(self.at.__getitem__, distinct - new)]] = True
+            self.used[0] = True
             self._forget()
-            new = distinct - self.at.keys()
-        before = len(self.at)
+            p = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
+            fresh = [pieces[i] for i in np.flatnonzero(p < 0).tolist()]
+            new = list(dict.fromkeys(fresh))
         if new:
-            plain, numbers = [p for p in new if not isinstance(p, int)], [p for p in new if isinstance(p, int)]
+            plain, numbers = [x for x in new if not isinstance(x, int)], [x for x in new if isinstance(x, int)]
             ids, lens = self.encode(plain) if plain else (np.empty(0, np.int32), np.empty(0, np.int64))
             self._learn([*plain, *numbers], np.append(ids, np.array(numbers, np.int32)), np.append(lens, np.ones(len(numbers), np.int64)))
-        p = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
-        self.used[p[p < before]] = True
+            p[p < 0] = np.fromiter(map(self.at.__getitem__, fresh), np.int64, len(fresh))
         lens = self.lens[p]
         return gather(self.ids, self.starts[p], lens), np.diff(np.cumsum(lens)[p == 0], prepend=0)
 

@@ -95,3 +95,32 @@ def test_marks_joined_by_shuffle(spark, awkward, tmp_path, monkeypatch):
         chunks = spark.read.parquet(str(tmp_path / str(i)) + "/chunks")
         assert chunks.count() == chunks.select("hash").distinct().count()
     assert rows[0] == rows[1]
+
+
+def test_pieces_by_the_model_alone():
+    """What is cut already goes to the model without the library's normalizer and pattern."""
+    from brindle.llm.bpe import library
+
+    whole = library(vocabulary())
+    own = tokenstore.merger(whole)
+    assert own.normalizer is None and whole.normalizer is not None
+    pieces = ["word", "'s", "é", "ß", "...", "<|", "|>", "7", "¤¤", "q" * 300, "�", "\x01\x02", "̀"]
+    # Each alone, as the library tells neighbours apart by their kind.
+    want = [whole.encode(p, add_special_tokens=False).ids for p in pieces]
+    assert own.encode(" ".join(pieces), add_special_tokens=False).ids == [i for x in want for i in x]
+
+
+def test_known_pieces_are_not_encoded_again():
+    from brindle.llm.wordpool import PieceCache
+
+    asked = []
+
+    def encode(new):
+        asked.append(new)
+        return np.array([len(p) for p in new], np.int32), np.ones(len(new), np.int64)
+
+    cache = PieceCache(lambda words: [x for w in words for x in [*w.split("-"), "\n"]], encode, limit=6)
+    for words, ids, n in [(["a-bb", "a"], [1, 2, 1], [2, 1]), (["bb-ccc-ccc"], [2, 3, 3], [3]), (["dddd-a", "eeeee-ffffff", ""], [4, 1, 5, 6, 0], [2, 2, 1])]:
+        got = cache(words)
+        assert got[0].tolist() == ids and got[1].tolist() == n
+    assert asked[:2] == [["a", "bb"], ["ccc"]] and "a" not in asked[2]
