@@ -13,7 +13,7 @@ is moved is in proportion to them. Between blocks that no bound can tell apart,
 many dimensions without clusters, all pairs are left.
 
 Pairs that are left are screened in single precision, Euclidean and cosine ones by
-matrix products, with a bound on what rounding takes; those that the screen can't rule
+matrix products, Manhattan ones first by codes of a byte for each coordinate, with a bound on what rounding takes; those that the screen can't rule
 out get their distances in double precision, so the result is that of all distances.
 
 Pivots come from a bounded sample; they shape the work, not the result.
@@ -37,6 +37,8 @@ LEFT, RIGHT, PIVOTS, SHARE = 2_000_000, 250_000, 1024, 256
 SAMPLE, NUMBERS = 16, 4_000_000
 #: Numbers that numpy goes over at once, so that they stay in a core's cache; queries and rows of a screened tile.
 STEP, TILE = 32_768, 512
+#: The greatest code of a coordinate: four of them fit in a byte.
+CODE = 63
 
 
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -88,6 +90,47 @@ class Screen:
         self.norms = (own * own).sum(axis=1)
         self.sides = self._size(own)
         self.own = own.astype(np.float32)
+        half = min(float(np.abs(own).max(initial=0.0)), 3.5 * float(np.sqrt(np.mean(own * own)))) if own.size and metric == "manhattan" else 0.0
+        #: The range of the codes around the middle, and what a code is worth; no codes without a range.
+        self.half, self.unit = (half, 2 * half / CODE) if 1e-150 < half < 1e150 else (0.0, 0.0)
+        if self.unit:
+            self.codes, self.code_sums, self.rests = self._coded(own)
+
+    def _coded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Moved coordinates as codes (features, rows), each row's sum of codes, and how far it lies from them, not counting what is beyond the range."""
+        inside = np.clip(x, -self.half, self.half)
+        codes = np.rint((inside + self.half) / self.unit)
+        rests = np.abs(inside + self.half - codes * self.unit).sum(axis=1)
+        return np.ascontiguousarray(codes.T.astype(np.uint8)), codes.sum(axis=1), rests
+
+    def _apart(self, rows: np.ndarray, v: np.ndarray, worst: np.ndarray) -> np.ndarray:
+        """Which Manhattan distances may be at ``worst`` or less, by codes of a byte.
+
+        Coordinates drawn into a range are no further apart than they were, and codes tell how far
+        apart those are up to both rows' rests. Of two codes the difference is twice the greater less
+        both, so only greater ones are summed: four fit in a byte.
+        """
+        codes, sums, rests = self._coded(v)
+        own, d = self.codes[:, rows], len(self.codes)
+        size = float(self.sides[rows].max()) + float(self._size(v).max()) + float(worst.max())
+        slack = 1e-15 * (d + 16) * (float(np.abs(self.x[rows]).sum(axis=1).max()) + size + d * self.half)
+        # Half codes; the last term is what single precision may take.
+        most = ((worst + self.rests[rows] + slack) / self.unit + self.code_sums[rows]) / 2 + 0.01 + 2e-6 * CODE * d
+        less = ((rests / self.unit + sums) / 2).astype(np.float32)
+        out = np.empty((len(rows), len(v)), bool)
+        step = max(1, 2 * STEP // len(v))
+        four, one = (np.empty((step, len(v)), np.uint8) for _ in range(2))
+        for at in range(0, len(rows), step):
+            stop = min(len(rows), at + step)
+            a, b = four[: stop - at], one[: stop - at]
+            upto = np.zeros(a.shape, np.uint16 if CODE * d < 1 << 16 else np.int64)
+            for j in range(0, d, 4):
+                np.maximum(own[j, at:stop, None], codes[None, j], out=a)
+                for k in range(j + 1, min(d, j + 4)):
+                    np.add(a, np.maximum(own[k, at:stop, None], codes[None, k], out=b), out=a)
+                np.add(upto, a, out=upto)
+            out[at:stop] = upto - less <= most[at:stop, None].astype(np.float32)
+        return out
 
     def _moved(self, x: np.ndarray) -> np.ndarray:
         return x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if self.metric == "cosine" else x - self.middle
@@ -134,6 +177,11 @@ class Screen:
     def close(self, rows: np.ndarray, y: np.ndarray, worst: np.ndarray, k: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(i, j, distance) for all of ``rows[i]`` and ``y[j]`` at ``worst[i]`` or less; where that is infinite, for the ``k`` nearest and more."""
         known = np.isfinite(worst)
+        if self.unit and len(rows) and len(y) and known.all() and max(float(np.abs(y).max()), float(np.abs(worst).max())) < 1e150:
+            mask = self._apart(rows, self._moved(y), worst)
+            # Where codes leave many pairs, single precision is cheaper than measuring them.
+            if 16 * np.count_nonzero(mask) <= mask.size:
+                return self._measured(rows, y, worst, mask)
         score, error = self._scores(rows, self._moved(y), np.where(known, worst, 0.0))
         mask = score >= np.float32(-error * 1.001)
         if not known.all():
@@ -143,6 +191,9 @@ class Screen:
                 mask[~known] = own >= kth - np.float32(2.001 * error)
             else:
                 mask[~known] = True
+        return self._measured(rows, y, worst, mask)
+
+    def _measured(self, rows: np.ndarray, y: np.ndarray, worst: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(mask)
         i, j = np.divmod(at, len(y))
         if 4 * len(at) > mask.size and self.metric != "cosine":

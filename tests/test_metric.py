@@ -44,3 +44,27 @@ def test_few_pairs_are_measured_in_double_precision(metric, monkeypatch):
     assert sum(measured) < 0.02 * 2000 * 8000
     some = _all(x[:50], y, metric)
     assert np.array_equal(best.i[:50], np.argsort(some, axis=1, kind="stable")[:, :5])
+
+
+def test_manhattan_by_bytes(monkeypatch):
+    """Near rows are found by codes without single precision, none is lost, whatever the ranges, outliers and offsets."""
+    rng = np.random.default_rng(11)
+
+    def check(x, y, worst):
+        i, j, dist = M.Screen(x, "manhattan").close(np.arange(len(x)), y, worst)
+        want = M.distances(x, y, "manhattan")
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(c.tolist() for c in np.nonzero(want <= worst[:, None])), strict=True))
+        assert np.array_equal(dist, want[i, j])
+
+    for d in (1, 3, 64, 1100):
+        for scale, offset in ((1.0, 0.0), (1e-3, 1e6), (1e20, 0.0), (10.0 ** rng.integers(-6, 6, d), 0.0)):
+            x, y = (rng.normal(size=(n, d)) * scale + offset for n in (70, 90))
+            y[:5], y[5:8], x[3] = x[:5], x[:3] + np.asarray(scale) * 1e-9, x[3] * 1e3
+            every = np.sort(M.distances(x, y, "manhattan"), axis=1)
+            for rank in (0, 2, 89):
+                check(x, y, every[:, rank])
+            check(x, y, every[:, 2] * (1 - 1e-15))
+    check(np.ones((1, 4)), np.ones((3, 4)), np.zeros(1))
+    x, y = (rng.normal(size=(n, 64)) for n in (100, 3000))
+    monkeypatch.setattr(M.Screen, "_scores", None)
+    check(x, y, np.sort(M.distances(x, y, "manhattan"), axis=1)[:, 4])
