@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -80,6 +81,8 @@ def predict_all(features: Column, trees: list[Tree], baseline: float = 0.0) -> C
 MISSING, CODES = 255, 256
 #: Histogram numbers in one pass, and iterations after which the raw scores are written again.
 HISTOGRAMS, KEPT = 4_000_000, 8
+#: Rows are stored once for each combination of codes where there are this many times more of them than combinations there can be.
+REPEATS = 4
 
 
 def _with_missing(batch: pa.RecordBatch, d: int) -> np.ndarray:
@@ -130,6 +133,11 @@ class _Boosting:
     a tree takes about as many passes as it has levels. Raw scores are those stored
     plus the trees since, and are written again every ``KEPT`` iterations; nothing
     is cached over generations.
+
+    Raw scores follow from the codes, so rows alike in codes and label have the same
+    gradients, for a squared loss up to the label, in which it is linear. Where there are
+    many times more rows than combinations of codes (and classes), one row stands for
+    all that are alike, with their number and mean label.
     """
 
     def _value(self, hist: np.ndarray) -> float:
@@ -192,7 +200,8 @@ class _Boosting:
             leaves += 1
         return tree, coded
 
-    def _boost(self, df: DataFrame, y: Column, baseline: np.ndarray, gradients) -> None:
+    def _boost(self, df: DataFrame, y: Column, baseline: np.ndarray, gradients, labels: int = 0) -> None:
+        """``labels`` tells how many labels there are, which are kept apart where rows are put together; with 0 the gradients are linear in them."""
         first = df.select("features").first()
         if first is None or first[0] is None:
             raise ValueError("no rows to fit" if first is None else "features must be arrays of one length")
@@ -201,16 +210,21 @@ class _Boosting:
         d, k = len(first[0]), len(baseline)
         self.n_features_in_ = d
         at = lambda j: F.get("features", F.lit(j))
-        cuts = df.agg(*[F.percentile_approx(F.when(~F.isnan(at(j)), at(j)), [i / self.max_bins for i in range(1, self.max_bins)], 10_000).alias(f"q{j}") for j in range(d)]).first()
-        bins = [np.unique(np.array(c or [], float)) for c in cuts]
+        cuts = df.agg(*[F.percentile_approx(F.when(~F.isnan(at(j)), at(j)), [i / self.max_bins for i in range(1, self.max_bins)], 10_000).alias(f"q{j}") for j in range(d)], F.count("*").alias("rows")).first()
+        bins = [np.unique(np.array(c or [], float)) for c in cuts[:d]]
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = _with_missing(batch, d)
                 codes = np.stack([np.where(np.isnan(x[:, j]), MISSING, np.searchsorted(bins[j], x[:, j])) for j in range(d)], axis=1).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([_pack(codes), batch.column("y"), _pack(np.tile(baseline, (len(x), 1)))], ["codes", "y", "raw"])
+                yield pa.RecordBatch.from_arrays([_pack(codes), batch.column("y")], ["codes", "y"])
 
-        data = stage(df.select("features", y.cast("double").alias("y")).mapInArrow(encode, "codes binary, y double, raw binary"), "bin-codes")
+        coded = df.select("features", y.cast("double").alias("y")).mapInArrow(encode, "codes binary, y double")
+        if REPEATS * math.prod(len(b) + 2 for b in bins) * max(1, labels) <= cuts["rows"]:
+            coded = coded.groupBy("codes", *["y"] * bool(labels)).agg(*([] if labels else [F.avg("y").alias("y")]), F.count("*").cast("double").alias("n"))
+        else:
+            coded = coded.withColumn("n", F.lit(1.0))
+        data = stage(coded.select("codes", "y", "n", F.lit(baseline.astype("<f8").tobytes()).alias("raw")), "bin-codes")
         self.baseline_, self.trees_ = baseline, []
         since: list[list[Tree]] = []
 
@@ -227,13 +241,14 @@ class _Boosting:
 
                 def part(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
                     codes = _packed(batch.column("codes"), "u1")
-                    g, h = gradients(scores(batch, codes, trees), batch.column("y").to_numpy())
+                    n = batch.column("n").to_numpy()
+                    g, h = (x * n[:, None] for x in gradients(scores(batch, codes, trees), batch.column("y").to_numpy()))
                     slot = np.zeros(len(codes), np.int64)
                     if splits is not None:
                         slot[:] = -1
                         leaf = tree.leaves(codes, MISSING)
-                        for n, (i, j, b, missing_left, small_left) in number.items():
-                            own = np.flatnonzero(leaf == n)
+                        for node, (i, j, b, missing_left, small_left) in number.items():
+                            own = np.flatnonzero(leaf == node)
                             v = codes[own, j]
                             goes_left = np.where(v == MISSING, missing_left, v <= b)
                             slot[own[goes_left == small_left]] = i
@@ -242,7 +257,7 @@ class _Boosting:
                     base = slot[keep] * CODES
                     for j in range(d):
                         key = base + codes[keep, j]
-                        for c, w in enumerate((g[keep, output], h[keep, output], None)):
+                        for c, w in enumerate((g[keep, output], h[keep, output], n[keep])):
                             out[:, c, j] = np.bincount(key, w, slots * CODES).reshape(slots, CODES)
                     return {"hist": out}
 
@@ -259,7 +274,7 @@ class _Boosting:
                 def update(batches: Iterator[pa.RecordBatch], trees: list[list[Tree]] = list(since)) -> Iterator[pa.RecordBatch]:
                     for batch in batches:
                         codes = _packed(batch.column("codes"), "u1")
-                        yield pa.RecordBatch.from_arrays([batch.column("codes"), batch.column("y"), _pack(scores(batch, codes, trees))], ["codes", "y", "raw"])
+                        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("codes", "y", "n")), _pack(scores(batch, codes, trees))], ["codes", "y", "n", "raw"])
 
                 data, since = stage(data.mapInArrow(update, data.schema), "boosted"), []
 
@@ -317,7 +332,7 @@ class HistGradientBoostingClassifier(_Boosting, Classifier):
                 p = 1 / (1 + np.exp(-raw))
                 return p - y[:, None], p * (1 - p)
 
-            self._boost(df, at, np.array([np.log(share[1] / share[0])]), two)
+            self._boost(df, at, np.array([np.log(share[1] / share[0])]), two, 2)
         else:
 
             def many(raw, y):
@@ -325,7 +340,7 @@ class HistGradientBoostingClassifier(_Boosting, Classifier):
                 p /= p.sum(axis=1, keepdims=True)
                 return p - (y[:, None] == np.arange(raw.shape[1])), p * (1 - p)
 
-            self._boost(df, at, np.log(share), many)
+            self._boost(df, at, np.log(share), many, len(self.classes_))
         return self
 
     def predict_proba(self, df: DataFrame) -> DataFrame:

@@ -62,3 +62,27 @@ def test_dbscan_sends_no_single_points_about(spark, monkeypatch):
             label[i] = label[c.min()]
     assert found == {i: (int(label[i]), bool(core[i])) for i in range(120)} and n > 0 and (label < 0).any()
     assert not any(sent)
+
+
+def test_boosting_stores_rows_alike_once(spark, monkeypatch):
+    from brindle.operators import trees
+
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((4000, 2)) < 0.1, np.nan, rng.integers(0, 6, (4000, 2)).astype(float))
+    y = np.nan_to_num(x[:, 0]) * 2 + np.nan_to_num(x[:, 1]) ** 2 + rng.normal(size=4000)
+    rows = [([float(v) for v in r], float(t), int(t // 10)) for r, t in zip(x, y, strict=True)]
+    df = spark.createDataFrame(rows, "features array<double>, y double, class int")
+    monkeypatch.setattr(trees, "KEPT", 1)
+    stored, stage = [], trees.stage
+    monkeypatch.setattr(trees, "stage", lambda df, name, *a: (lambda s: stored.append(s.count()) or s)(stage(df, name, *a)))
+    for model, label in ((trees.HistGradientBoostingRegressor, "y"), (trees.HistGradientBoostingClassifier, "class"), (trees.HistGradientBoostingClassifier, "int(class > 0)")):
+        found = []
+        for repeats in (4, 10_000):
+            monkeypatch.setattr(trees, "REPEATS", repeats)
+            stored.clear()
+            m = model(max_iter=2, max_leaf_nodes=3).fit(df.selectExpr("features", f"{label} as label"))
+            found.append([t for row in m.trees_ for t in row])
+            assert len(stored) == 2 and all(n == 4000 if repeats > 4 else n < 500 for n in stored)
+        for a, b in zip(*found, strict=True):
+            assert (a.feature, a.threshold, a.left, a.missing_left) == (b.feature, b.threshold, b.left, b.missing_left)
+            assert np.allclose(a.value, b.value, atol=1e-9)
