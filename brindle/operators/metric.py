@@ -39,6 +39,8 @@ SAMPLE, NUMBERS = 16, 4_000_000
 STEP, TILE = 32_768, 512
 #: The greatest code of a coordinate: four of them fit in a byte.
 CODE = 63
+#: Edges that a task holds before it draws them together; all pairs of blocks over those that bounds leave, from which on only those are brought together.
+EDGES, SPARSE = 1_000_000, 4
 
 
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -268,8 +270,8 @@ def _matrix(x: bytes, n: int, d: int) -> np.ndarray:
 RING = "cell int, size long, low double, high double, ids binary, x binary, r binary"
 
 
-def pack(df: DataFrame, d: int, at: Space, numbers: int, name: str) -> DataFrame:
-    """block, cell, size, low, high, ids, x, r: rows (id, features) in blocks, each a ring of a cell in order of distance r from its pivot."""
+def pack(df: DataFrame, d: int, at: Space, numbers: int, name: str, files: int | None = None) -> DataFrame:
+    """block, cell, size, low, high, ids, x, r: rows (id, features) in blocks, each a ring of a cell in order of distance r from its pivot. ``files``: in so many."""
     most = max(1, numbers // max(1, d))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +311,7 @@ def pack(df: DataFrame, d: int, at: Space, numbers: int, name: str) -> DataFrame
             yield out()
 
     rows = df.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"))
-    dealt = rows.mapInArrow(deal, "id long, features array<double>, cell int, r double").repartitionByRange("cell", "r", "id").sortWithinPartitions("cell", "r", "id")
+    dealt = rows.mapInArrow(deal, "id long, features array<double>, cell int, r double").repartitionByRange(*([files] if files else []), "cell", "r", "id").sortWithinPartitions("cell", "r", "id")
     return stage(dealt.mapInArrow(rings, RING).withColumn("block", F.monotonically_increasing_id()), name)
 
 
@@ -542,3 +544,155 @@ def within(left: DataFrame, right: DataFrame, d: int, radius: float, metric: str
                     yield pa.RecordBatch.from_arrays([pa.array(own_ids[own[i]]), pa.array(ids[begin + j]), pa.array(dist)], ["left_id", "right_id", "distance"])
 
     return together(own.select("left", "ids", "x"), data, pairs, d, start, step, None, "left_id long, right_id long, distance double")
+
+
+class Counts:
+    """id, n: how many rows are near each query."""
+
+    schema = "id long, n long"
+
+    def __init__(self):
+        self.ids = self.n = np.empty(0, np.int64)
+
+    def begin(self, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from self.end()
+        self.ids, self.n = ids, np.zeros(len(ids), np.int64)
+
+    def add(self, i: np.ndarray, others: np.ndarray) -> None:
+        self.n += np.bincount(i, minlength=len(self.n))
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        some = self.n > 0
+        yield pa.RecordBatch.from_arrays([pa.array(self.ids[some]), pa.array(self.n[some])], ["id", "n"])
+
+
+class Least:
+    """id, least: the smallest id near each query that has any."""
+
+    schema = "id long, least long"
+
+    def __init__(self):
+        self.ids = self.least = np.empty(0, np.int64)
+
+    def begin(self, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from self.end()
+        self.ids, self.least = ids, np.full(len(ids), np.iinfo(np.int64).max)
+
+    def add(self, i: np.ndarray, others: np.ndarray) -> None:
+        np.minimum.at(self.least, i, others)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        some = self.least < np.iinfo(np.int64).max
+        yield pa.RecordBatch.from_arrays([pa.array(self.ids[some]), pa.array(self.least[some])], ["id", "least"])
+
+
+class Stars:
+    """u, v: what is near each other, as an edge from each id to the smallest it reaches by the pairs of a task."""
+
+    schema = "u long, v long"
+
+    def __init__(self):
+        self.ids, self.held, self.size = np.empty(0, np.int64), [], 0
+
+    def begin(self, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.ids = ids
+        yield from ()
+
+    def add(self, i: np.ndarray, others: np.ndarray) -> None:
+        u = self.ids[i]
+        some = u != others
+        self.held.append(np.stack([u[some], others[some]]))
+        self.size += self.held[-1].shape[1]
+        if self.size > EDGES:
+            self.held = [stars(*np.concatenate(self.held, axis=1))]
+            self.size = 0
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            u, v = stars(*np.concatenate(self.held, axis=1))
+            self.held = []
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Edges from each end of the edges (u, v) to the smallest it reaches, but for that itself."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while not np.array_equal(up := root[root], root):
+            root = up
+    moved = root != np.arange(len(nodes))
+    return np.stack([nodes[moved], nodes[root[moved]]])
+
+
+def gather(left: DataFrame, right: DataFrame, d: int, radius: float, metric: str, kind: type) -> DataFrame:
+    """What a collector (``Counts``, ``Least``, ``Stars``) makes of all pairs at ``radius`` or less, without a list of them; both have id and features.
+
+    Where bounds leave out few pairs of blocks, tasks read a part of either side and go over
+    the product; nothing is shuffled then. Else the pairs that are left are brought together.
+    """
+    spark = right.sparkSession
+    rows = right.count()
+    at = space(right, d, metric, rows)
+    files = lambda n: max(1, min(2 * spark.sparkContext.defaultParallelism, -(-n * max(1, d) // RIGHT)))
+    data = pack(right, d, at, RIGHT, "rings", files(rows))
+    own = (data if left is right else pack(left, d, at, RIGHT, "queries", files(left.count()))).withColumnRenamed("block", "left").select("left", "ids", "x")
+    radii, _ = _radii(data, len(at.pivots))
+    reach = float(at.reach(np.array([float(radius)]))[0])
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, x, _ = _arrays(row["ids"], row["x"], row["ids"], d)
+                cells, low, high = _intervals(at.away(x), np.full(len(ids), reach), radii)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), row["left"])), pa.array(cells), pa.array(low), pa.array(high)], ["left", "cell", "low", "high"])
+
+    def start(row: dict) -> tuple:
+        ids = np.frombuffer(row["ids"], np.int64)
+        return ids, Screen(_matrix(row["x"], len(ids), d), metric)
+
+    def meet(screen: Screen, cell: int, ids: np.ndarray, y: np.ndarray, r: np.ndarray, into) -> None:
+        away = at.away(screen.x, np.array([cell]))[:, 0]
+        rows = np.flatnonzero((away - reach <= r[-1]) & (away + reach >= r[0]))
+        for begin in range(0, len(ids), TILE):
+            for first in range(0, len(rows), TILE):
+                own = rows[first : first + TILE]
+                i, j, _ = screen.close(own, y[begin : begin + TILE], np.full(len(own), float(radius)))
+                if len(i):
+                    into.add(own[i], ids[begin + j])
+
+    pairs = stage(surviving(own.mapInArrow(reached, "left long, cell int, low double, high double"), data), "near-blocks")
+    if SPARSE * pairs.count() < own.count() * data.count():
+
+        def first(row: dict, _) -> tuple:
+            ids, screen = start(row)
+            into = kind()
+            # Nothing is held yet, so a collector has nothing to put out.
+            list(into.begin(ids))
+            return screen, into
+
+        def step(state: tuple, cell: int, ids: np.ndarray, y: np.ndarray, r: np.ndarray) -> Iterator[pa.RecordBatch]:
+            meet(state[0], cell, ids, y, r, state[1])
+            yield from ()
+
+        return together(own, data, pairs, d, first, step, lambda state: state[1].end(), kind.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into, last, screen = kind(), None, None
+        for batch in batches:
+            for i in range(len(batch)):
+                here = batch.column("left")[i].as_py()
+                if here != last:
+                    ids, screen = start({c: batch.column(f"own_{c}")[i].as_py() for c in ("ids", "x")})
+                    yield from into.begin(ids)
+                    last = here
+                meet(screen, batch.column("cell")[i].as_py(), *_arrays(*(batch.column(c)[i].as_py() for c in ("ids", "x", "r")), d), into)
+        yield from into.end()
+
+    queries = own.select("left", F.col("ids").alias("own_ids"), F.col("x").alias("own_x"))
+    return queries.hint("shuffle_replicate_nl").crossJoin(data.select("cell", "ids", "x", "r")).mapInArrow(run, kind.schema)

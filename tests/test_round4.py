@@ -75,3 +75,65 @@ def test_working_sets_are_solved_beside_each_other(spark):
     z = [np.array([r.decision for r in m.decision_function(df).orderBy("id").collect()]) for m in (parts, whole)]
     assert np.abs(z[0] - z[1]).max() < 1e-3
     assert np.all(np.abs(np.concatenate(parts.dual_coef_)) <= 1.0 + 1e-9) and abs(sum(c.sum() for c in parts.dual_coef_)) < 1e-8
+
+
+def by_all(x, eps, min_samples):
+    near = distances(x, x, "sqeuclidean") <= eps * eps
+    core = near.sum(axis=1) >= min_samples
+    label, n = np.full(len(x), -1), 0
+    for i in np.flatnonzero(core):
+        todo = [i] if label[i] < 0 else []
+        while todo:
+            if label[j := todo.pop()] < 0:
+                label[j] = n
+                todo += np.flatnonzero(near[j] & core).tolist()
+        n = label.max() + 1
+    for i in np.flatnonzero(~core):
+        if (near[i] & core).any():
+            label[i] = label[np.flatnonzero(near[i] & core)[0]]
+    return [(i, int(label[i]), bool(core[i])) for i in range(len(x))]
+
+
+@pytest.mark.parametrize(("min_samples", "first", "sparse"), [(4, 10, 4), (4, 10**6, 0.5), (1, 10, 4)])
+def test_points_alone_in_cells_are_joined_without_a_list_of_pairs(spark, monkeypatch, min_samples, first, sparse):
+    from brindle.operators import density, metric
+
+    monkeypatch.setattr(density, "FIRST", first)
+    monkeypatch.setattr(density, "SOME", 3)
+    monkeypatch.setattr(metric, "RIGHT", 200)
+    monkeypatch.setattr(metric, "EDGES", 50)
+    monkeypatch.setattr(metric, "SPARSE", sparse)
+    monkeypatch.setattr(metric, "within", None)
+    x = np.random.default_rng(6).random((200, 5)) * np.array([2.0, 1, 1, 1, 1])
+    found = density.clusters(frame(spark, x), 0.33, min_samples)
+    assert sorted((r.id, r.cluster, r.is_core) for r in found.collect()) == by_all(x, 0.33, min_samples)
+
+
+@pytest.mark.parametrize(("min_samples", "first"), [(4, 10), (2, 10**6), (1, 10)])
+def test_cells_of_a_few_points_send_nothing_about(spark, monkeypatch, min_samples, first):
+    from brindle.operators import density, metric
+
+    monkeypatch.setattr(density, "FIRST", first)
+    monkeypatch.setattr(density, "SOME", 3)
+    monkeypatch.setattr(metric, "RIGHT", 200)
+    sent, meet = [], density._meet
+    monkeypatch.setattr(density, "_meet", lambda s, *a: sent.append(s.where("of is not null").count() if a[-1] != "u long, v long" else 0) or meet(s, *a))
+    rng = np.random.default_rng(8)
+    x = rng.random((150, 5)) * np.array([2.0, 1, 1, 1, 1])
+    x = np.vstack([x, x[:30] + 1e-6, np.repeat(x[40:43], 6, axis=0), x[41] + rng.normal(size=(8, 5)) * 0.01, np.full((3, 5), 9.0)])
+    found = density.clusters(frame(spark, x), 0.33, min_samples)
+    assert sorted((r.id, r.cluster, r.is_core) for r in found.collect()) == by_all(x, 0.33, min_samples) and not any(sent)
+
+
+def test_stars_reach_what_edges_reach():
+    from brindle.operators.metric import stars
+
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 30, 60, 200):
+        u, v = rng.integers(0, 60, (2, n)) * 10
+        least = {int(i): int(i) for i in {*u.tolist(), *v.tolist()}}
+        for _ in range(60):
+            for a, b in zip(u.tolist(), v.tolist(), strict=True):
+                least[a] = least[b] = min(least[a], least[b])
+        got = dict(zip(*stars(u, v).tolist(), strict=True))
+        assert got == {a: b for a, b in least.items() if a != b}
